@@ -122,7 +122,9 @@ def banded_distance(p: Column, t: Column, threshold: int) -> Column:
 
     start = F.struct(F.lit(full & ~((1 << pad) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (m - n).cast("int").alias("score"))
     swept = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["score"])
-    return F.when(m - n > threshold, threshold + 1).when(n == 0, m).otherwise(swept)
+    # of strings that differ at both ends, an edit mends one end at most
+    ends = F.when((m > 1) & (F.substring(p, 1, 1) != F.substring(t, 1, 1)) & (F.substring(p, -1, 1) != F.substring(t, -1, 1)), 2).otherwise(0)
+    return F.when((m - n > threshold) | (ends > threshold), threshold + 1).when(n == 0, m).otherwise(swept)
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
