@@ -87,7 +87,7 @@ def tuned_thresholds(scored: DataFrame, label: str, truth: str, score: str, leas
     graded = counts.withColumn("f1", F.round(_ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 9))
     few = (F.col("pos") < least) | (F.col("neg") < least)
     order = Window.partitionBy(label).orderBy(F.when(few, F.abs(F.col("threshold") - 0.5)).otherwise(-F.col("f1")), "threshold")
-    return graded.withColumn("k", F.row_number().over(order)).where("k = 1").select(label, "threshold", F.round("f1", 6).alias("f1"))
+    return graded.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(label, "threshold", F.round("f1", 6).alias("f1"))
 
 
 def sigmoid(x: Column) -> Column:

@@ -12,7 +12,7 @@ def silver_judgments(hits: DataFrame, shared: Column, same_dimension: Column, po
     """The best ranked positives (a shared label) and negatives of each query, as relevance 2, 1 or 0."""
     marked = hits.withColumn("positive", shared).withColumn("relevance", F.when(shared & same_dimension, 2).when(shared, 1).otherwise(0))
     place = F.row_number().over(Window.partitionBy("query", "positive").orderBy("rank"))
-    return marked.withColumn("n", place).where((F.col("positive") & (F.col("n") <= positives)) | (~F.col("positive") & (F.col("n") <= negatives))).drop("n")
+    return marked.withColumn("__n", place).where((F.col("positive") & (F.col("__n") <= positives)) | (~F.col("positive") & (F.col("__n") <= negatives))).drop("__n")
 
 
 def hard_negatives(hits: DataFrame, shared: Column, q_dims: Column, d_dims: Column, limit: int = 3) -> DataFrame:
@@ -21,7 +21,7 @@ def hard_negatives(hits: DataFrame, shared: Column, q_dims: Column, d_dims: Colu
     positive = marked.where("shared").groupBy("query").agg(F.min_by("doc", "rank").alias("positive_id"))
     rest = marked.join(positive, "query").where(F.col("doc") != F.col("positive_id")).where(~F.col("shared") | (F.col("negative_type") == "same_charge_different_behavior"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
-    return rest.withColumn("n", place).where(F.col("n") <= limit).select("query", "positive_id", F.col("doc").alias("negative_id"), "negative_type", "score")
+    return rest.withColumn("__n", place).where(F.col("__n") <= limit).select("query", "positive_id", F.col("doc").alias("negative_id"), "negative_type", "score")
 
 
 def triplets(mined: DataFrame, queries: DataFrame, chunks: DataFrame, case: str, text: str, order: str) -> DataFrame:

@@ -68,8 +68,8 @@ def selected(hits: DataFrame, k: int = 3) -> DataFrame:
     one = F.row_number().over(Window.partitionBy("query", "doc").orderBy(F.desc("score"), "part"))
     quota = F.row_number().over(Window.partitionBy("query", "part").orderBy(F.desc("score"), "doc"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    single = hits.withColumn("n", one).where("n = 1").withColumn("n", quota).where("n <= quota")
-    return single.withColumn("rank", rank).where(F.col("rank") <= k).drop("n")
+    single = hits.withColumn("__n", one).where("__n = 1").withColumn("__n", quota).where("__n <= quota")
+    return single.withColumn("rank", rank).where(F.col("rank") <= k).drop("__n")
 
 
 def search(index: bm25.Index, queries: DataFrame, key: str, text: str, given: DataFrame, k: int, multiplier: int = 20) -> DataFrame:
@@ -77,4 +77,4 @@ def search(index: bm25.Index, queries: DataFrame, key: str, text: str, given: Da
     scored = bm25.scores(index, queries, key, text, parts=given.select("query", "part"))
     ranked = scored.join(given, ["query", "part"])
     order = Window.partitionBy("query", "part").orderBy(F.desc("score"), "doc")
-    return ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.greatest(F.col("quota") * multiplier, F.lit(k))).select("query", "part", "doc", F.col("score").alias("bm25"), "probability", "quota")
+    return ranked.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.greatest(F.col("quota") * multiplier, F.lit(k))).select("query", "part", "doc", F.col("score").alias("bm25"), "probability", "quota")

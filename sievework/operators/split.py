@@ -21,9 +21,9 @@ def temporal_split(df: DataFrame, group: str, date: str, validation: float = 0.1
     dated, undated = groups.where("first is not null"), groups.where("first is null")
     days = dated.groupBy("first").agg(F.count("*").alias("n"))
     before = days.select("first", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranked = dated.join(before, "first").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("first").orderBy(group)) - 1)
+    ranked = dated.join(before, "first").withColumn("__k", F.col("before") + F.row_number().over(Window.partitionBy("first").orderBy(group)) - 1)
     train_end, validation_end = F.floor(F.col("total") * F.lit(1 - validation - test)), F.floor(F.col("total") * F.lit(1 - test))
-    named = ranked.select(group, F.when(F.col("k") < train_end, "train").when(F.col("k") < validation_end, "validation").otherwise("test").alias("split"))
+    named = ranked.select(group, F.when(F.col("__k") < train_end, "train").when(F.col("__k") < validation_end, "validation").otherwise("test").alias("split"))
     u = F.conv(F.substring(F.sha2(F.col(group).cast("string"), 256), 1, 8), 16, 10).cast("long") % UNIT / UNIT
     dealt = undated.select(group, F.when(u < 1 - validation - test, "train").when(u < 1 - test, "validation").otherwise("test").alias("split"))
     return named.unionByName(dealt)
@@ -81,7 +81,7 @@ def coverage_subset(df: DataFrame, key: str, labels: str, size: int, seed: int =
     """
     ordered = df.select(key, F.array_sort(F.array_distinct(labels)).alias("labels"), seeded_order(F.col(key), seed).alias("h"))
     each = ordered.select(key, "h", "labels", F.explode("labels").alias("label"))
-    heads = each.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.size("labels")), "h"))).where("k <= 8")
+    heads = each.withColumn("__k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.size("labels")), "h"))).where("__k <= 8")
     rows = heads.select(key, "labels", "h").distinct().sort("h").collect()
     support = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count("*").alias("n")).collect()}
     open_, chosen = set(support), []
@@ -99,8 +99,8 @@ def coverage_subset(df: DataFrame, key: str, labels: str, size: int, seed: int =
 def length_buckets(df: DataFrame, key: str, length: str, edges: list[int], batch: int, seed: int = 42) -> DataFrame:
     """key, bucket, batch: rows of similar length, batched in a seeded order."""
     bucket = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= F.col(length)))
-    ranked = df.select(key, length, bucket.alias("bucket")).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(seeded_order(F.col(key), seed), key)) - 1)
-    return ranked.select(key, length, "bucket", F.floor(F.col("k") / batch).alias("batch"))
+    ranked = df.select(key, length, bucket.alias("bucket")).withColumn("__k", F.row_number().over(Window.partitionBy("bucket").orderBy(seeded_order(F.col(key), seed), key)) - 1)
+    return ranked.select(key, length, "bucket", F.floor(F.col("__k") / batch).alias("batch"))
 
 
 def token_budget_batches(df: DataFrame, key: str, length: str, edges: list[int], budget: int, seed: int = 42) -> DataFrame:

@@ -58,8 +58,8 @@ def modal_value(df: DataFrame, groups: list[str], values: list[str]) -> DataFram
     counts = df.groupBy(*groups, *values).agg(F.count("*").alias("n"))
     order = Window.partitionBy(*groups).orderBy(F.desc("n"), F.concat_ws("|", *[F.coalesce(F.col(v).cast("string"), F.lit("None")) for v in values]))
     kinds = F.count("*").over(Window.partitionBy(*groups))
-    ranked = counts.withColumn("k", F.row_number().over(order)).withColumn("conflict", kinds > 1)
-    return ranked.where("k = 1").select(*groups, *values, "n", "conflict")
+    ranked = counts.withColumn("__k", F.row_number().over(order)).withColumn("conflict", kinds > 1)
+    return ranked.where("__k = 1").select(*groups, *values, "n", "conflict")
 
 
 def merge_duplicates(df: DataFrame, key: str, order: str, text: str, labels: str) -> DataFrame:
@@ -98,13 +98,16 @@ def schema_variants(json_texts: DataFrame, column: str) -> DataFrame:
     return json_texts.select(F.coalesce(keys, F.lit("<invalid>")).alias("keys")).groupBy("keys").agg(F.count("*").alias("n"))
 
 
-def padding(df: DataFrame, length: str, order: Column, batch: int, multiple: int = 8, cap: int = 2048) -> DataFrame:
-    """Share of padding if consecutive rows form batches padded to a multiple of their longest row.
+def padding(df: DataFrame, length: str, tie: str, batch: int, multiple: int = 8, cap: int = 2048) -> DataFrame:
+    """Share of padding if rows in order of (length, tie) form batches padded to a multiple of their longest row.
 
-    Rows are ranked within blocks of the order key's range, so no window holds
-    the whole table.
+    Rows of a length are ranked among themselves, behind the counts of all
+    shorter ones, so no window holds the whole table.
     """
-    ranked = df.select(F.least(F.col(length), F.lit(cap)).alias("n"), (F.row_number().over(Window.orderBy(order)) - 1).alias("k"))
+    counts = df.groupBy(F.col(length).alias("__n")).agg(F.count("*").alias("__c"))
+    before = counts.select("__n", (F.sum("__c").over(Window.orderBy("__n")) - F.col("__c")).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__n").orderBy(tie)) - 1
+    ranked = df.withColumn("__n", F.col(length)).join(before, "__n").select(F.least(F.col("__n"), F.lit(cap)).alias("n"), place.alias("k"))
     batches = ranked.groupBy(F.floor(F.col("k") / batch).alias("b")).agg(F.sum("n").alias("used"), F.count("*").alias("rows"), F.max("n").alias("longest"))
     width = F.least(F.ceil(F.col("longest") / multiple) * multiple, F.lit(cap))
     return batches.agg(F.count("*").alias("batches"), F.sum("used").alias("used"), F.sum(F.col("rows") * width).alias("padded")).withColumn("padding_ratio", 1 - F.col("used") / F.col("padded"))

@@ -130,7 +130,7 @@ select count(*) as batches, sum(used)::bigint as used, sum(rows * least(ceil(lon
 """)
 def padding_stats(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    return stats.padding(docs, "n", F.struct("n", "doc_id"), 4).withColumn("padding_ratio", F.round("padding_ratio", 6))
+    return stats.padding(docs, "n", "doc_id", 4).withColumn("padding_ratio", F.round("padding_ratio", 6))
 
 
 @query("""
