@@ -161,7 +161,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int =
     def flush(dim: int) -> None:
         nonlocal out
         rows = held.pop(dim)
-        found = _selected(every.where(F.size("v") == dim), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(-1, dim), k)
+        found = _selected(every.where(F.size("v") == dim), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), dim), k)
         out = found if out is None else out.union(found)
 
     for r in asked.groupBy("id").agg(F.min("v").alias("v")).sort("id").toLocalIterator():
