@@ -34,12 +34,14 @@ from . import components, storage, textops
 
 #: Buckets of the corpus-wide count sketch, and rows in which tasks send it.
 _SKETCH_BITS, _SKETCH_ROWS = 18, 64
-#: Buckets of a set's signature.
-_SIG_BITS = 6
+#: Buckets of a set's signature: about one for eight items, 2**6 to 2**13.
+_SIG_BITS, _SIG_MOST, _SIG_ITEMS = 6, 13, 8
 #: Documents of a region in one task; larger ones are cut into blocks of half that size.
 REGION = 1500
 #: Below this a Voronoi cell is joined directly.
 _CELL, _PIVOTS = 192, 6
+#: Keys of texts to compare that are still sent to every task; more are joined by shuffling.
+SENT = 500_000
 
 
 def _sketch(n: int, text_col: str):
@@ -86,8 +88,10 @@ def _describe(n: int, t: Fraction, sketch):
             need = size + (size > 0) - -(-size * t.numerator // t.denominator)
             order = np.lexsort((g, rank[(g >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)], doc))
             first = g[order][np.arange(len(g)) - at[:-1][doc] < need[doc]]
-            sig = np.bincount((doc << _SIG_BITS) + (g >> np.uint64(64 - _SIG_BITS)).astype(np.int64), minlength=len(size) << _SIG_BITS)
-            sig = np.minimum(sig, 65535).astype("<u2").reshape(len(size), -1)
+            bits = np.clip(np.ceil(np.log2(np.maximum(size, 1) / _SIG_ITEMS)), _SIG_BITS, _SIG_MOST).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(1 << bits)])
+            sig = np.bincount(begin[doc] + (g >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64), minlength=begin[-1])
+            sig = np.minimum(sig, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -95,7 +99,7 @@ def _describe(n: int, t: Fraction, sketch):
                     pa.array(size, pa.int64()),
                     pa.array(_set_hash(g, at).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(first.view(np.int64))),
-                    pa.array([x.tobytes() for x in sig], pa.binary()),
+                    pa.array([sig[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary()),
                 ],
                 ["doc_id", "text_key", "n_shingles", "h", "prefix", "sig"],
             )
@@ -141,44 +145,64 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
 _KEYS = ["pivot", "i", "j"]
 
 
-def _allowed(block: np.ndarray, a: np.ndarray, b: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Pairs that this task has to join: of two blocks, those across them."""
-    return (block[a] != block[b]) if i != j else np.ones(len(a), bool)
+class _Signatures:
+    """Bucketed counts of some sets; sets of neighbouring sizes are compared at the coarser of their scales.
+
+    Counts end at 255. A bucket of a coarser scale is the sum of some of a finer
+    one, so the L1 distance is at most the symmetric difference at every scale.
+    """
+
+    def __init__(self, raw: list[bytes]):
+        sig = [np.frombuffer(x, np.uint8) for x in raw]
+        self.level = np.array([len(x) for x in sig])
+        self.place = np.zeros((2, len(sig)), dtype=np.int64)
+        self.rows = {}
+        for width in np.unique(self.level).tolist():
+            own, finer = np.flatnonzero(self.level == width), np.flatnonzero(self.level == 2 * width)
+            self.place[0, own] = np.arange(len(own))
+            self.place[1, finer] = np.arange(len(finer)) + len(own)
+            rows = [sig[i].astype(np.int32) for i in own] + [np.minimum(sig[i].reshape(width, 2).sum(axis=1, dtype=np.int32), 255) for i in finer]
+            self.rows[width] = np.stack(rows)
+
+    def distances(self, x: int, others: np.ndarray) -> np.ndarray:
+        """L1 distances of x to sets that are as large or larger, by less than two scales (else 0)."""
+        width = self.level[x]
+        rows, out = self.rows[width], np.zeros(len(others), dtype=np.int64)
+        for step in (0, 1):
+            there = self.level[others] == width << step
+            out[there] = np.abs(rows[self.place[step, others[there]]] - rows[self.place[0, x]]).sum(axis=1)
+        return out
 
 
 def _possible(t: Fraction):
-    """Leaves the documents of a region that can have a partner there, by signature."""
+    """Leaves the documents of a region that can have a partner there, by size and signature."""
     num, den = t.numerator, t.denominator
 
     def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, _KEYS):
             at = _bounds(table, _KEYS)
             size = np.asarray(table.column("n_shingles"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(size), -1).astype(np.int32)
+            sigs = table.column("sig")
             block, i, j = (np.asarray(table.column(c)) for c in ("block", "i", "j"))
             keep = np.zeros(len(size), dtype=bool)
-
-            def near(a, b):
-                both = size[a] + size[b]
-                ok = (np.minimum(size[a], size[b]) * den >= num * np.maximum(size[a], size[b])) & ((i[a] == j[a]) | (block[a] != block[b]))
-                ok[ok] = np.abs(sig[a[ok]] - sig[b[ok]]).sum(axis=1) * (den + num) <= (den - num) * both[ok]
-                return ok
-
             n = np.diff(at)
-            two = at[:-1][n == 2]
-            ok = near(two, two + 1)
-            keep[two[ok]] = keep[two[ok] + 1] = True
-            for k in np.flatnonzero(n > 2):
+            # pairs whose sizes are too far apart need no further look
+            low, high = np.minimum(size[at[:-1]], size[at[1:] - 1]), np.maximum(size[at[:-1]], size[at[1:] - 1])
+            for k in np.flatnonzero((n > 2) | ((n == 2) & (low * den >= num * high))):
                 own = np.arange(at[k], at[k + 1])
-                own = own[np.argsort(size[own], kind="stable")]
-                ends = np.searchsorted(size[own], size[own] * den // num, side="right")
-                for x in range(len(own)):
-                    others = own[x + 1 : ends[x]]
-                    if len(others) and not (keep[own[x]] and keep[others].all()):
-                        ok = near(np.full(len(others), own[x]), others)
+                order = np.argsort(size[own], kind="stable")
+                sig = _Signatures([bytes(x) for x in sigs.slice(at[k], n[k]).to_pylist()])
+                own_size, across, own_block = size[own], i[at[k]] != j[at[k]], block[own]
+                ends = np.searchsorted(own_size[order], own_size[order] * den // num, side="right")
+                for x in range(len(order)):
+                    me, others = order[x], order[x + 1 : ends[x]]
+                    if across:
+                        others = others[own_block[others] != own_block[me]]
+                    if len(others) and not (keep[own[me]] and keep[own[others]].all()):
+                        ok = sig.distances(me, others) * (den + num) <= (den - num) * (own_size[me] + own_size[others])
                         if ok.any():
-                            keep[own[x]] = True
-                            keep[others[ok]] = True
+                            keep[own[me]] = True
+                            keep[own[others[ok]]] = True
             yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(keep)) for c in (*_KEYS, "block", "h")], [*_KEYS, "block", "h"])
 
     return survive
@@ -319,6 +343,27 @@ def _with_blocks(regions: DataFrame, limit: int) -> DataFrame:
     return dealt.withColumn("ij", F.explode(pairs)).where((F.col("blocks") == 1) | (F.col("ij.i") != F.col("ij.j")) | (F.col("ij.i") == b)).select("pivot", "ij.i", "ij.j", "block", "h")
 
 
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, h) for the documents of each token, of rows sorted by token and h; the first is the pivot.
+
+    Only the last token and its pivot are carried from batch to batch. A token of
+    one document has no row, and with each other document's row there is one of
+    the pivot itself (distinct() follows).
+    """
+    token = pivot = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        begin = np.concatenate([[token is None or t[0] != token], t[1:] != t[:-1]])
+        own = h[begin] if begin[0] else np.append(np.array([pivot], h.dtype), h[begin])
+        p = own[np.cumsum(begin) - int(begin[0])]
+        other = p != h
+        both = np.unique(np.stack([np.concatenate([p[other], p[other]]), np.concatenate([h[other], p[other]])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["pivot", "h"])
+        token, pivot = t[-1], p[-1]
+
+
 def join_classes(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), region: int = REGION) -> tuple[DataFrame, DataFrame]:
     """(documents, links' components).
 
@@ -331,18 +376,22 @@ def join_classes(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4,
     described = storage.stored(rows.mapInArrow(_describe(n, threshold, sketch), _DESCRIBED), "described")
     one = described.where("n_shingles > 0").groupBy("h").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
     classes = storage.stored(one, "classes")
-    cells = classes.select("h", F.explode("prefix").alias("token"))
-    pivots = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("h").alias("pivot")).where("c > 1").select("token", "pivot")
-    regions = cells.join(pivots, "token").select("pivot", "h").distinct()
+    documents = storage.stored(described.select("doc_id", "n_shingles", "h"), "documents")
+    storage.dropped(spark, described)
+    cells = classes.select(F.explode("prefix").alias("token"), "h").repartition("token").sortWithinPartitions("token", "h")
+    regions = storage.stored(cells.mapInArrow(_starred, "pivot long, h long").distinct(), "regions")
     small = classes.select("h", "n_shingles", "sig")
-    dealt = storage.stored(_with_blocks(storage.stored(regions, "regions"), region), "dealt")
+    dealt = _with_blocks(regions, region)
     grouped = dealt.join(small, "h").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "h")
     possible = storage.stored(grouped.mapInArrow(_possible(threshold), "pivot long, i int, j int, block int, h long"), "possible")
-    wanted = classes.join(possible.select("h").distinct(), "h", "left_semi").select("text_key").distinct()
-    items = rows.join(wanted, "text_key", "left_semi").select("text_key", "text").groupBy("text_key").agg(F.first("text").alias("text")).select("text").mapInArrow(_sets(n), "h long, items binary")
+    wanted = storage.stored(classes.join(possible.select("h").distinct(), "h", "left_semi").select("text_key").distinct(), "wanted")
+    storage.dropped(spark, classes, regions)
+    few = wanted.count() <= SENT
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "text_key", "left_semi")
+    items = texts.select("text").mapInArrow(_sets(n), "h long, items binary").groupBy("h").agg(F.first("items").alias("items"))
     filled = possible.join(items, "h").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "h")
     links = filled.mapInArrow(_links(threshold), "u long, v long")
-    return described.select("doc_id", "n_shingles", "h"), components.components(links)
+    return documents, components.components(links)
 
 
 def near_classes(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), region: int = REGION) -> DataFrame:

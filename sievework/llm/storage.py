@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -23,10 +24,16 @@ def fresh_uri(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read back."""
+    """df, written to the shared folder as Parquet and read back.
+
+    Shuffle files that only served the writing are no longer needed then; Spark
+    removes them once the driver has collected its garbage, so it is asked to.
+    """
     spark = df.sparkSession
     uri = fresh_uri(spark, name)
     df.write.parquet(uri)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(uri)
     back.stored_uri = uri
     return back
