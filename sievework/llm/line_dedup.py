@@ -188,8 +188,8 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     """docs without repeating lines, plus lines_removed; documents of which nothing is left go unless ``keep_empty``."""
     docs = docs.drop("lines_removed")
     gone = repeated_lines(docs, threshold, min_chars).groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("gone"))
-    keyed = docs.withColumn("tkey", F.xxhash64("text")).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.tkey") == F.col("g.tkey"))
+    keyed = docs.withColumn("__tkey", F.xxhash64("text")).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__tkey") == F.col("g.tkey"))
     met = keyed.join(gone.alias("g"), on, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("g.gone").alias("__gone"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     out = met.withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))

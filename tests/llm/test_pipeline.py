@@ -52,3 +52,32 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_take_odd_rows(spark):
+    line = "a line of some forty characters, repeated often"
+    rows = [
+        (1, None, None, None, None, 1.0, ["x"], 7),
+        (2, "", "en", "s", 0, None, None, None),
+        (None, f"{line}\nmore", None, "s", None, 1.0, ["x"], 7),
+        (3, f"{line}\nmore of it", "en", "s", 9, 1.0, ["x"], 7),
+        (3, f"{line}\nmore of it", "en", "s", 9, 1.0, ["x"], 7),
+        (4, line, "en", "s", 9, 1.0, ["x"], 7),
+        (5, "very long words " * 40_000, "en", "s", 9, 1.0, ["x"], 7),
+        (6, "very long words " * 40_000 + "end", "en", "s", 9, 1.0, ["x"], 7),
+    ]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, items array<string>, tkey int")
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns
+            if docs is not odd:
+                assert got == []
+            elif name == "line_dedup":
+                # the null id comes first; equal rows are one document; 4 has nothing left
+                assert sorted((str(r["doc_id"]), r["text"]) for r in got if r["doc_id"] not in (5, 6)) == sorted([("None", f"{line}\nmore"), ("1", None), ("2", ""), ("3", "more of it"), ("3", "more of it")])
+                assert all(r["tkey"] in (7, None) for r in got)
+            elif name == "ngram_jaccard_join":
+                assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "3", "4", "5", "6", "None"]
