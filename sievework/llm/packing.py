@@ -24,9 +24,8 @@ from . import textops, tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WINDOW = 4096
-#: Bytes of text in a shard, about; terms of a seed that are looked up.
+#: Bytes of text in a shard, about.
 SHARD_BYTES = 8_000_000
-QUERY_TERMS = 16
 _K1, _B = 1.2, 0.75
 
 
@@ -46,13 +45,13 @@ class ShardIndex:
         norm = _K1 * (1 - _B + _B * size / max(size.mean(), 1e-9))
         self.weight = (idf[term] * tf * (_K1 + 1) / (tf + norm[doc])).astype(np.float32)
         self.doc = doc
-        # each document's strongest terms, strongest first
-        order = np.lexsort((term, -self.weight, doc))
+        # each document's terms
+        order = np.argsort(doc, kind="stable")
         self.terms, self.first = term[order], np.searchsorted(doc[order], np.arange(n + 1))
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        own = self.terms[self.first[seed] : self.first[seed + 1]][:QUERY_TERMS]
+        own = self.terms[self.first[seed] : self.first[seed + 1]]
         parts = [slice(self.at[t], self.at[t + 1]) for t in own]
         return np.bincount(np.concatenate([self.doc[p] for p in parts]), weights=np.concatenate([self.weight[p] for p in parts]), minlength=self.n)
 

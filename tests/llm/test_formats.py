@@ -97,6 +97,15 @@ def test_packing_takes_neighbours():
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 2
 
 
+def test_packing_asks_with_all_terms():
+    # the seed's rarest terms are its own; what it shares with one other document is more common
+    own, shared = list(range(1000, 1030)), list(range(100, 140))
+    docs = [own + shared, *[[k, 2] for k in range(200, 230)], shared + [2], *[[*range(100, 140, 8), 50 + k] for k in range(8)]]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    pieces = packing.pack_shard(np.concatenate(docs).astype(np.uint32), off, 100)
+    assert [p[0] for p in pieces][:2] == [0, 31]
+
+
 def brute_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:
