@@ -97,6 +97,19 @@ def test_packing_takes_neighbours():
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 2
 
 
+def test_packing_finds_neighbours_in_other_shards(spark):
+    # documents of ten subjects, each too short for a window, in shards of a few documents
+    rng = random.Random(4)
+    words = [["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)] for _ in range(10)]
+    rows = [(d, " ".join(rng.choices(words[d % 10], k=60))) for d in range(400)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=1024, shard_bytes=4000).collect()
+    kinds = defaultdict(list)
+    for r in pieces:
+        kinds[r["sequence_id"]].append(r["doc_id"] % 10)
+    pure = sum(max(map(k.count, k)) for k in kinds.values()) / len(pieces)
+    assert pure > 0.8, pure
+
+
 def test_packing_asks_with_all_terms():
     # the seed's rarest terms are its own; what it shares with one other document is more common
     own, shared = list(range(1000, 1030)), list(range(100, 140))
@@ -106,6 +119,37 @@ def test_packing_asks_with_all_terms():
     assert [p[0] for p in pieces][:2] == [0, 31]
 
 
+def test_packing_lanes_take_the_best_of_all_shards():
+    rng = np.random.default_rng(8)
+    docs = [np.append(rng.choice(300, rng.integers(1, 60), p=np.arange(300) / np.arange(300).sum()) + 3, 2) for _ in range(150)]
+    ids, off = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    size, cut = np.diff(off), [0, 40, 41, 97, 150]
+    df = np.zeros(400, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    index = packing.ShardIndex(ids, off)
+    own = [np.unique(d) for d in docs]
+    shards = [(size[a:b], *packing.postings(ids[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in zip(cut, cut[1:])]
+    for share in (0.01, 0.6):  # all terms in the matrix, or few
+
+        def neighbours(seeds, rooms, free):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(packing, "DENSE_SHARE", share)
+                sets = [own[s] for s in seeds]
+                q = packing.Query(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), rooms, free, dict(enumerate(cut)), df, len(docs), size.mean())
+            found = [x for k, s in enumerate(shards) for x in q.ask(k, *s)]
+            k, doc, score, _, more = packing.best(*(np.concatenate(x) for x in zip(*found)), q.enough) if found else [np.zeros(0, np.int64)] * 5
+            for i, s in enumerate(seeds):  # what is certain is the head of the full ranking
+                want = np.where(free, index.scores(s), 0)
+                got = doc[k == i]
+                assert np.allclose(score[k == i], np.sort(want)[::-1][: len(got)], rtol=1e-4)
+            return k, doc, score, more.astype(bool)
+
+        assert [p for batch in packing.pack_lanes(size, 1, 128, neighbours) for p in batch] == packing.pack_shard(ids, off, 128)
+        many = [p for batch in packing.pack_lanes(size, 5, 128, neighbours) for p in batch]
+        assert sum(p[2] for p in many) == len(ids)
+
+
 def brute_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:
