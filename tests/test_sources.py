@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.plans import generation
 from sievework.sources import html, models, records, sinks, statutes
 from sievework.streaming import scoring
 
@@ -102,3 +103,14 @@ def test_streaming(spark, tmp_path):
     q = scoring.write_stream(scoring.deduplicated(stream, "text", "ts"), str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: df.withColumn("n", F.length("text")))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_statute_articles_are_of_all_parts(spark):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name").collect()
+    best = {}
+    for r in sorted(parts, key=lambda r: r["p_partkey"]):
+        number, body = (1, 2, 10, 21, 102)[r["p_partkey"] % 5], " ".join(r["p_name"].split())
+        if len(body) > len(best.get(number, "")):
+            best[number] = body
+    got = generation.statute_articles(spark, "/root/testdata/sf0.001").collect()
+    assert {r["number"]: r["body"] for r in got} == best
