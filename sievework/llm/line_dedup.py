@@ -1,9 +1,11 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-A line repeats an earlier one if both have ``min_chars`` characters at least and
-their edit distance is at most ``threshold``; earlier means a smaller (doc_id,
-text hash, line number). Repeating lines are removed, and so are documents of
-which nothing is left.
+A line that is not blank repeats an earlier one if both are equal, or if both have
+``min_chars`` characters at least and their edit distance is at most ``threshold``;
+earlier means a smaller (doc_id, text hash, line number) of its first occurrence.
+Repeating lines are removed, and so are documents of which nothing is left.
+Shorter lines repeat equal ones only, because two edits make another statement of
+a short line.
 
 Equal lines are found by a 128-bit hash. Every distinct line is split into
 threshold + 1 segments; of two lines within the threshold one segment of the
@@ -13,66 +15,67 @@ bounded substrings of every line probe this index, and candidates are verified
 by a banded bit-parallel edit distance on what common prefixes and suffixes
 leave.
 
-Nulls and edge cases: null texts and texts without long lines are kept as they
-are; null ids come first; rows that are equal in id and text are one document and
-get the same result; shorter lines and blank lines always stay; an empty table
-gives an empty result; other columns are kept.
+A line needs one earlier partner, not all of them, so a key that many lines share
+makes no pairs of all of them. Its lines are first compared with the earliest of
+them only. If many are then still without a partner, the rest of each line (what
+the key does not cover) is cut again and again: of some pieces, all but
+``threshold`` stay unchanged, and these make finer keys, until a group has few
+lines or few open ones. Each step adds rows in proportion to the lines.
+
+Nulls and edge cases: null texts and texts without lines are kept as they are;
+null ids come first; rows that are equal in id and text are one document and get
+the same result; blank lines always stay; an empty table gives an empty result;
+other columns are kept, but for ``lines_removed``, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
 
-THRESHOLD, MIN_CHARS = 1, 32
-#: Lines to verify that are still sent to every task; more are joined by shuffling.
-SENT = 200_000
+THRESHOLD, MIN_CHARS = 2, 32
+#: Hashes of lines or keys that are still sent to every task; more are joined by shuffling.
+SENT = 500_000
+#: Lines of a key that are compared with each other; of larger groups the earliest line, then finer keys.
+FEW = 8
+#: Pieces into which each open part of a line is cut for finer keys.
+PIECES = 4
 _LOC = ["doc_id", "tkey", "pos"]
 
 
-def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the threshold + 1 segments of a line; the last ones are longer."""
-    k = threshold + 1
-    base = F.floor(length / k).cast("int")
-    longer = length - base * k
-    out, start = [], F.lit(0)
-    for i in range(k):
-        size = base + F.when(longer >= k - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
-
+def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """(start from 0, size) of part i when ``length`` is cut into ``parts``; the last ones are longer."""
+    base = F.floor(length / parts).cast("int")
+    first_longer = parts - (length - base * parts)
+    return (i * base + F.greatest(i - first_longer, F.lit(0))).cast("int"), (base + (i >= first_longer).cast("int")).cast("int")
 
-def index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), F.substring(line, s + 1, n)) for i, (s, n) in enumerate(segments(length, threshold))]
 
+def roles(threshold: int) -> list[tuple[int, int, int]]:
+    """(length less, segment, shift) of every key of a line; the first threshold + 1 are those of the index."""
+    k = threshold
+    probes = [(d, i, s) for d in range(k + 1) for i in range(k + 1) for s in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    return [(0, i, 0) for i in range(k + 1)] + [r for r in probes if r[0] or r[2]]
 
-def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of the substrings that can equal a segment of a line that is up to ``threshold`` shorter.
 
-    Those that are index keys as well (same length, no shift) are left out; keys
-    beyond the line's bounds are null.
-    """
+def keys(line: Column, length: Column, threshold: int) -> list[Column]:
+    """The keys of a line in the order of roles(); keys beyond the line's bounds are null."""
     out = []
-    for delta in range(threshold + 1):
-        other = length - delta
-        for i, (s, n) in enumerate(segments(other, threshold)):
-            low, high = max(-i, delta - (threshold - i)), min(i, delta + (threshold - i))
-            for shift in range(low, high + 1):
-                if delta == 0 and shift == 0:
-                    continue
-                at = s + shift
-                out.append(F.when((at >= 0) & (at + n <= length), F.xxhash64(other, F.lit(i), F.substring(line, at + 1, n))))
+    for less, i, shift in roles(threshold):
+        s, n = segment(length - less, F.lit(i), threshold + 1)
+        at = s + shift
+        out.append(F.when((at >= 0) & (at + n <= length), F.xxhash64(length - less, F.lit(i), F.substring(line, at + 1, n))))
     return out
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, tkey, pos, line, chars, h1, h2 of every line that is long enough."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey, pos, line, chars, h1, h2 of every line that is not blank."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long = keyed.withColumn("chars", F.length("line")).where(F.col("chars") >= min_chars)
-    return long.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    real = keyed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("chars", F.length("line"))
+    return real.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def common_prefix(a: Column, b: Column, length: Column, bits: int = 31) -> Column:
@@ -122,9 +125,15 @@ def banded_distance(p: Column, t: Column, threshold: int) -> Column:
 
     start = F.struct(F.lit(full & ~((1 << pad) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), (m - n).cast("int").alias("score"))
     swept = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["score"])
+    # one of the threshold + 1 parts of the shorter string is in the other one, nearly at its place
+    kept = F.lit(False)
+    for i in range(threshold + 1):
+        s, size = segment(n, F.lit(i), threshold + 1)
+        low = F.greatest(s - threshold, F.lit(0))
+        kept = kept | F.substring(p, low + 1, s + size + threshold - low).contains(F.substring(t, s + 1, size))
     # of strings that differ at both ends, an edit mends one end at most
     ends = F.when((m > 1) & (F.substring(p, 1, 1) != F.substring(t, 1, 1)) & (F.substring(p, -1, 1) != F.substring(t, -1, 1)), 2).otherwise(0)
-    return F.when((m - n > threshold) | (ends > threshold), threshold + 1).when(n == 0, m).otherwise(swept)
+    return F.when((m - n > threshold) | (ends > threshold) | ~kept, threshold + 1).when(n == 0, m).otherwise(swept)
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -138,62 +147,155 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.get(F.transform(core, lambda v: banded_distance(v["a"], v["b"], threshold)), F.lit(0)) <= threshold
 
 
-def similar_lines(lines: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """Ids (h1, h2) of distinct lines with an earlier line within the threshold."""
-    line_id = F.struct("h1", "h2").alias("id")
-    index = firsts.select(line_id, F.explode("index").alias("key"))
-    probe = firsts.select(line_id, F.explode("probe").alias("key")).where("key is not null")
-    both = index.withColumn("same", F.lit(True)).unionByName(probe.withColumn("same", F.lit(False)))
-    pairs = (
-        index.select(F.col("id").alias("b"), "key")
-        .join(both.select(F.col("id").alias("a"), "key", "same"), "key")
-        .where((F.col("same") & (F.col("b") < F.col("a"))) | (~F.col("same") & (F.col("b") != F.col("a"))))
-        .select("a", "b")
-        .distinct()
-    )
-    pairs = storage.stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.h1", "id.h2")
-    where = storage.stored(firsts.join(ids, ["h1", "h2"], "left_semi").select("h1", "h2", "chars", *_LOC), "candidates")
-    small = where.count() <= SENT
-    wanted = where.select("doc_id", "tkey", "pos")
-    found = lines_of(docs, min_chars).alias("l")
-    on = F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.tkey") == F.col("w.tkey")) & (F.col("l.pos") == F.col("w.pos"))
-    texts = found.join((F.broadcast(wanted) if small else wanted).alias("w"), on, "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    known = where.join(texts, ["h1", "h2"]).select(F.struct("h1", "h2").alias("id"), F.struct(*_LOC).alias("loc"), "chars", "line")
-    a = known.select(F.col("id").alias("a"), F.col("loc").alias("a_loc"), F.col("line").alias("a_line"), F.col("chars").alias("a_chars"))
-    b = known.select(F.col("id").alias("b"), F.col("loc").alias("b_loc"), F.col("line").alias("b_line"), F.col("chars").alias("b_chars"))
-    met = pairs.join(a, "a").join(b, "b")
+def finer(spark: SparkSession, threshold: int, parts: int) -> DataFrame:
+    """All ways in which ``threshold`` edits can lie in the pieces of ``parts`` open parts.
+
+    code tells how much longer each part is than that of the indexed line; of the
+    pieces, ``dropped`` are open again, with ``more`` characters each than the
+    indexed line's, and ``moved`` is by how much each piece is shifted in its part.
+    """
+    n, k = parts * PIECES, threshold
+    rows = []
+    for number, drop in enumerate(combinations(range(n), k)):
+        for change in product(range(-k, k + 1), repeat=k):
+            if sum(map(abs, change)) > k:
+                continue
+            by = dict(zip(drop, change))
+            longer = [sum(by.get(t * PIECES + j, 0) for j in range(PIECES)) for t in range(parts)]
+            moved = [sum(by.get(x, 0) for x in range(p - p % PIECES, p)) for p in range(n)]
+            rows.append((sum((d + k) * (2 * k + 1) ** t for t, d in enumerate(longer)), number, list(drop), list(change), moved))
+    return spark.createDataFrame(rows, "code int, number int, dropped array<int>, more array<int>, moved array<int>")
+
+
+def refined(members: DataFrame, texts: DataFrame, plan: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """The members of some groups under all their finer keys; ``parts`` are (start, size in the indexed line, own size)."""
+    k, n = threshold, parts * PIECES
+    part = [F.col("parts")[i] for i in range(parts)]
+    code = sum(((p["own"] - p["size"] + k) * (2 * k + 1) ** i for i, p in enumerate(part)), F.lit(0))
+    met = members.withColumn("code", code.cast("int")).join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(F.broadcast(plan), "code")
+    cut = {}
+    for x in range(n):
+        s, size = segment(part[x // PIECES]["size"], F.lit(x % PIECES), PIECES)
+        cut[f"at{x}"], cut[f"size{x}"] = part[x // PIECES]["start"] + s + F.col("moved")[x], size
+    met = met.withColumns(cut)
+    same = [F.when(F.array_contains("dropped", x), "").otherwise(F.substring("line", F.col(f"at{x}") + 1, F.col(f"size{x}"))) for x in range(n)]
+    at, size = F.array(*[F.col(f"at{x}") for x in range(n)]), F.array(*[F.col(f"size{x}") for x in range(n)])
+    still = []
+    for i in range(k):
+        own = F.get(size, F.col("dropped")[i])
+        still.append(F.struct(F.get(at, F.col("dropped")[i]).alias("start"), own.alias("size"), (own + F.col("more")[i]).alias("own")))
+    out = met.select(F.xxhash64("key", "number", *same).alias("key"), "h1", "h2", "loc", "indexed", "settled", F.array(*still).alias("parts"))
+    return out.where(F.least(F.lit(0), *[F.col("parts")[i]["own"] for i in range(k)]) >= 0)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """h1, h2, loc of the later line of each pair (a, b: h1) within the threshold."""
+    side = lambda x: texts.select(F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("h2", "loc", "line", "chars")])
+    met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     # the longer line comes first
     swap = F.col("a_chars") < F.col("b_chars")
     near = met.where(within(F.when(swap, F.col("b_line")).otherwise(F.col("a_line")), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")), threshold))
-    later = F.when(F.col("a_loc") < F.col("b_loc"), F.col("b")).otherwise(F.col("a"))
-    return near.select(later.alias("id")).distinct().select("id.h1", "id.h2")
+    a, b = (F.struct(F.col(f"{x}_loc").alias("loc"), F.col(x).alias("h1"), F.col(f"{x}_h2").alias("h2")) for x in "ab")
+    return near.select(F.greatest(a, b).alias("late")).select("late.h1", "late.h2", "late.loc").distinct()
+
+
+def met_in(members: DataFrame, only: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of the members of each key of which one is indexed; ``only``: of which a fulfils that."""
+    b = members.select("key", F.col("h1").alias("b"), F.col("indexed").alias("also"))
+    a = members if only is None else members.where(only)
+    return a.select("key", F.col("h1").alias("a"), "indexed").join(b, "key").where("a <> b and (indexed or also)" if only is not None else "a < b and (indexed or also)").select("a", "b")
+
+
+def similar_lines(firsts: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """h1, h2, loc of distinct lines with an earlier line within the threshold."""
+    spark, k = docs.sparkSession, threshold
+    named, spread = roles(k), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = firsts.select("h1", F.posexplode("keys").alias("role", "key")).where("key is not null")
+    grouped = entries.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") <= k).cast("int")).alias("indexed"), F.min("h1").alias("a"), F.max("h1").alias("b"))
+    groups = storage.stored(grouped.where("n > 1 and indexed = 1 and a <> b").select("key", "n", "a", "b"), "line-groups")
+    wide = groups.where("n > 2").select("key")
+    few = wide.count() <= SENT
+    members = storage.stored(entries.join(F.broadcast(wide) if few else wide, "key"), "line-members")
+    ids = storage.stored(groups.where("n = 2").select(F.explode(F.array("a", "b")).alias("h1")).union(members.select("h1")).distinct(), "line-ids")
+    small = ids.count() <= SENT
+    found = lines_of(docs).join(F.broadcast(ids) if small else ids, "h1", "left_semi")
+    texts = storage.stored(found.groupBy("h1", "h2").agg(F.min(F.struct(*_LOC)).alias("loc"), F.first("line").alias("line"), F.first("chars").alias("chars")), "line-texts")
+
+    def of(which: int) -> Column:
+        return F.element_at(F.array(*[F.lit(r[which]) for r in named]), F.col("role") + 1)
+
+    s, n = segment(F.col("chars") - of(0), of(1), k + 1)
+    end = s + of(2) + n
+    parts = F.array(
+        F.struct(F.lit(0).alias("start"), s.alias("size"), (s + of(2)).alias("own")),
+        F.struct(end.alias("start"), (F.col("chars") - of(0) - s - n).alias("size"), (F.col("chars") - end).alias("own")),
+    )
+    now = members.join(texts.select("h1", "h2", "loc", "chars"), "h1").select("key", "h1", "h2", "loc", (F.col("role") <= k).alias("indexed"), F.lit(False).alias("settled"), parts.alias("parts"))
+    now = storage.stored(now, "line-level")
+    pairs, settled, count, gone = groups.where("n = 2").select("a", "b"), [], 2, [members, ids]
+    while True:
+        n_open = F.sum((~F.col("settled")).cast("long"))
+        size = now.groupBy("key").agg(F.count("*").alias("n"), n_open.alias("n_open"), F.min(F.struct("loc", "h1")).alias("first"), F.max("indexed").alias("some"), F.min("h1").alias("least"), F.max("h1").alias("most"))
+        live = now.join(size.where("some and n_open > 0 and least <> most").drop("least", "most", "some"), "key")
+        live = storage.stored(live, "line-live")
+        storage.dropped(spark, now)
+        alone = F.aggregate("parts", F.lit(0), lambda x, p: x + p["size"]) <= k
+        direct = live.where((F.col("n") <= FEW) | (F.col("n_open") <= FEW) | alone)
+        met = met_in(direct, ~F.col("settled"))
+        pivots = live.where((F.col("n") > FEW) & (F.col("n_open") > FEW) & ~alone & ~F.col("settled")).select(F.col("h1").alias("a"), F.col("first.h1").alias("b"))
+        late = storage.stored(verified(pairs.union(met).union(pivots), texts, k), "line-late")
+        settled.append(late)
+        hot = live.where((F.col("n") > FEW) & (F.col("n_open") > FEW) & ~alone)
+        mark = late.select("h1", "h2", F.lit(True).alias("late"))
+        left = hot.join(mark, ["h1", "h2"], "left").withColumn("settled", F.col("settled") | F.col("late").isNotNull())
+        still = left.groupBy("key").agg(n_open.alias("n_open")).where("n_open > 0").select("key")
+        open_groups = storage.stored(left.select("key", "h1", "h2", "loc", "indexed", "settled", "parts").join(still, "key").repartition(spread), "line-open")
+        storage.dropped(spark, live)
+        if not open_groups.head(1):
+            storage.dropped(spark, open_groups)
+            break
+        now = storage.stored(refined(open_groups, texts, finer(spark, k, count), k, count), "line-level")
+        storage.dropped(spark, open_groups)
+        pairs, count = pairs.limit(0), k
+    late = settled[0]
+    for more in settled[1:]:
+        late = late.union(more)
+    late = storage.stored(late.select("h1", "h2", "loc").distinct(), "line-near")
+    storage.dropped(spark, groups, texts, *gone, *settled)
+    return late
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, tkey and pos of every line that repeats an earlier one."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs)
     line, chars = F.col("line"), F.col("chars")
-    keyed = lines.select("h1", "h2", "chars", F.struct(*_LOC).alias("loc"), F.array(*index_keys(line, chars, threshold)).alias("index"), F.array(*probe_keys(line, chars, threshold)).alias("probe"))
-    firsts = keyed.groupBy("h1", "h2").agg(F.min("loc").alias("loc"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("index").alias("index"), F.first("probe").alias("probe"))
-    firsts = storage.stored(firsts.select("h1", "h2", "copies", "chars", "index", "probe", "loc.*"), "lines")
-    near = similar_lines(lines, firsts, docs, threshold, min_chars)
-    copied = firsts.where("copies > 1").select("h1", "h2", F.struct(*_LOC).alias("loc"))
-    copies = lines.select("h1", "h2", *_LOC).join(copied, ["h1", "h2"]).where(F.struct(*_LOC) != F.col("loc")).select(*_LOC)
-    single = firsts.join(near, ["h1", "h2"], "left_semi").select(*_LOC)
-    return copies.unionByName(single)
+    keyed = lines.select("h1", "h2", F.struct(*_LOC).alias("loc"), F.when(chars >= min_chars, F.array(*keys(line, chars, threshold))).alias("keys"))
+    firsts = keyed.groupBy("h1", "h2").agg(F.min("loc").alias("loc"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    firsts = storage.stored(firsts, "lines")
+    near = similar_lines(firsts.where("keys is not null"), docs, threshold)
+    copied = firsts.where("copies > 1").select("h1", "h2", F.col("loc").alias("first"))
+    copies = lines.select("h1", "h2", F.struct(*_LOC).alias("loc")).join(copied, ["h1", "h2"]).where("loc <> first").select("loc.*")
+    gone = storage.stored(copies.unionByName(near.select("loc.*")), "repeated")
+    storage.dropped(docs.sparkSession, firsts, near)
+    return gone
+
+
+def without(text: Column, gone: Column) -> Column:
+    """text without the lines at the positions ``gone``, in time linear in its lines."""
+    one = F.array(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone")))
+    left = F.transform(one, lambda v: F.struct(v["lines"].alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(v["lines"]) - 1), v["gone"]).alias("kept")))
+    return F.get(F.transform(left, lambda v: F.array_join(F.transform(v["kept"], lambda i: F.get(v["lines"], i)), "\n")), F.lit(0))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep_empty: bool = False) -> DataFrame:
     """docs without repeating lines, plus lines_removed; documents of which nothing is left go unless ``keep_empty``."""
     docs = docs.drop("lines_removed")
-    gone = repeated_lines(docs, threshold, min_chars).groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_lines(docs.select("doc_id", "text"), threshold, min_chars).groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("gone"))
     keyed = docs.withColumn("__tkey", F.xxhash64("text")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__tkey") == F.col("g.tkey"))
     met = keyed.join(gone.alias("g"), on, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("g.gone").alias("__gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = met.withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    out = out.withColumn("lines_removed", F.greatest("lines_removed", F.lit(0).cast("long")))
+    out = met.withColumn("lines_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
+    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("__gone"))))
     if not keep_empty:
         out = out.where((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.drop("__gone")

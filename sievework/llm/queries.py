@@ -83,12 +83,11 @@ _OP1 = f"""
 with l as (
   select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null
 ), u as (
-  select line, length(line) as n, min((doc_id, pos)) as loc from l where length(line) >= {line_dedup.MIN_CHARS} group by line
+  select line, length(line) as n, min((doc_id, pos)) as loc from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by line
 ), near as (
   select distinct case when a.loc < b.loc then b.line else a.line end as line
-  from u a join u b on a.n between b.n and b.n + {line_dedup.THRESHOLD} and a.line <> b.line
-   and abs(length(replace(a.line, ' ', '')) - length(replace(b.line, ' ', ''))) <= {line_dedup.THRESHOLD}
-   and (substr(a.line, 1, b.n // 2) = substr(b.line, 1, b.n // 2) or right(a.line, b.n - b.n // 2) = right(b.line, b.n - b.n // 2))
+  from u a join u b on a.n between b.n and b.n + {line_dedup.THRESHOLD} and a.line <> b.line and b.n >= {line_dedup.MIN_CHARS}
+   and (contains(a.line, substr(b.line, 1, b.n // 3)) or contains(a.line, substr(b.line, b.n // 3 + 1, b.n // 3)) or contains(a.line, substr(b.line, b.n // 3 * 2 + 1)))
   where levenshtein(a.line, b.line) <= {line_dedup.THRESHOLD}
 ), marked as (
   select l.doc_id, l.pos, l.line, (u.line is not null and ((l.doc_id, l.pos) <> u.loc or near.line is not null)) as gone

@@ -130,11 +130,11 @@ def lines_kept(rows, threshold, least):
             continue
         kept = []
         for line in text.split("\n"):
-            if len(line) >= least:
-                if any(near(line, s) for s in seen):
-                    seen.append(line)
-                    continue
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                again = any(line == s or min(len(line), len(s)) >= least and near(line, s) for s in seen)
                 seen.append(line)
+                if again:
+                    continue
             kept.append(line)
         out[i] = "\n".join(kept)
     return out
@@ -163,6 +163,48 @@ def test_line_dedup(spark, threshold):
     assert left == {i for i, t in rows if want[i] == t or want[i].strip()}
 
 
+def made_rows(spark, at_least=0):
+    """The largest number of rows that a join of the plans run since the last call made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsList()
+    most = 0
+    for i in range(ran.size()):
+        run = ran.apply(i)
+        if run.executionId() <= at_least:
+            continue
+        values = store.executionMetrics(run.executionId())
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            for m in range(node.metrics().size()) if "Join" in node.name() else ():
+                metric = node.metrics().apply(m)
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, max([at_least, *[ran.apply(i).executionId() for i in range(ran.size())]])
+
+
+def test_hot_segments_make_rows_in_proportion(spark):
+    """5,000 different lines that share their first half, and 1,000 that differ by a few edits of one line."""
+    rng = random.Random(8)
+    letters = "abcdefghij "
+    base = "".join(rng.choice(letters) for _ in range(60))
+    rows = [(i, "A common beginning that many lines share: " + "".join(rng.choice(letters) for _ in range(40))) for i in range(5000)]
+    for i in range(1000):
+        line = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        rows.append((10_000 + i, "".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, before = made_rows(spark)
+    got = {r["doc_id"] for r in line_dedup.dedup(docs).select("doc_id").collect()}
+    most, _ = made_rows(spark, before)
+    a, b = docs.alias("a"), docs.alias("b")
+    late = a.join(b, (F.col("a.doc_id") > F.col("b.doc_id")) & (F.levenshtein("a.text", "b.text", 2) >= 0)).select("a.doc_id").distinct()
+    assert got == {i for i, _ in rows} - {r["doc_id"] for r in late.collect()}
+    assert 0 < most < 100 * len(rows), "a hot segment makes pairs"
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
