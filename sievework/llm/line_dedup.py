@@ -16,11 +16,10 @@ by a banded bit-parallel edit distance on what common prefixes and suffixes
 leave.
 
 A line needs one earlier partner, not all of them, so a key that many lines share
-makes no pairs of all of them. Its lines are first compared with the earliest of
-them only. If many are then still without a partner, the rest of each line (what
-the key does not cover) is cut again and again: of some pieces, all but
-``threshold`` stay unchanged, and these make finer keys, until a group has few
-lines or few open ones. Each step adds rows in proportion to the lines.
+makes no pairs of all of them: such lines are compared with a pivot, and those
+within the threshold meet as equal strings after edits that the pivot tells
+(``pairs_of_groups``). That takes rows in proportion to the lines, times the
+logarithm of the group.
 
 Nulls and edge cases: null texts and texts without lines are kept as they are;
 null ids come first; rows that are equal in id and text are one document and get
@@ -30,9 +29,7 @@ other columns are kept, but for ``lines_removed``, which is replaced.
 
 from __future__ import annotations
 
-from itertools import combinations, product
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
@@ -40,10 +37,8 @@ from . import storage
 THRESHOLD, MIN_CHARS = 2, 32
 #: Hashes of lines or keys that are still sent to every task; more are joined by shuffling.
 SENT = 500_000
-#: Lines of a key that are compared with each other; of larger groups the earliest line, then finer keys.
+#: Lines of a key that are compared with each other; larger groups meet by their edits of a pivot.
 FEW = 8
-#: Pieces into which each open part of a line is cut for finer keys.
-PIECES = 4
 _LOC = ["doc_id", "tkey", "pos"]
 
 
@@ -73,8 +68,9 @@ def keys(line: Column, length: Column, threshold: int) -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, pos, line, chars, h1, h2 of every line that is not blank."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    real = keyed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("chars", F.length("line"))
+    split = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(split).alias("pos", "l")).select("doc_id", "tkey", "pos", "l.line", "l.chars")
+    real = keyed.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return real.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -131,8 +127,12 @@ def banded_distance(p: Column, t: Column, threshold: int) -> Column:
         s, size = segment(n, F.lit(i), threshold + 1)
         low = F.greatest(s - threshold, F.lit(0))
         kept = kept | F.substring(p, low + 1, s + size + threshold - low).contains(F.substring(t, s + 1, size))
-    # of strings that differ at both ends, an edit mends one end at most
-    ends = F.when((m > 1) & (F.substring(p, 1, 1) != F.substring(t, 1, 1)) & (F.substring(p, -1, 1) != F.substring(t, -1, 1)), 2).otherwise(0)
+    # of strings that differ at both ends, an edit mends one end at most, and two leave what is between them
+    ways, between = ((1, 1), (1, 0), (0, 1)), F.lit(False)
+    for i, i2 in ways:
+        for j, j2 in ways:
+            between = between | ((m - i - j == n - i2 - j2) & (F.substring(p, F.lit(i + 1), m - i - j) == F.substring(t, F.lit(i2 + 1), n - i2 - j2)))
+    ends = F.when((m > 1) & (F.substring(p, 1, 1) != F.substring(t, 1, 1)) & (F.substring(p, -1, 1) != F.substring(t, -1, 1)), F.when((n > 2) & ~between, 3).otherwise(2)).otherwise(0)
     return F.when((m - n > threshold) | (ends > threshold) | ~kept, threshold + 1).when(n == 0, m).otherwise(swept)
 
 
@@ -147,45 +147,69 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.get(F.transform(core, lambda v: banded_distance(v["a"], v["b"], threshold)), F.lit(0)) <= threshold
 
 
-def finer(spark: SparkSession, threshold: int, parts: int) -> DataFrame:
-    """All ways in which ``threshold`` edits can lie in the pieces of ``parts`` open parts.
+def edited(layer: DataFrame) -> DataFrame:
+    """The strings that one edit makes of ``text`` where it leaves ``pivot`` (behind ``p`` characters) and that agree with the pivot there."""
+    text, p = F.col("text"), F.col("p")
+    head, here = F.substring(F.col("pivot"), F.lit(1), p), F.substring(F.col("pivot"), p + 1, F.lit(1))
+    tail = lambda n: F.substring(text, p + 1 + n, F.length(text))
+    inside, more = p < F.length("text"), p < F.length("pivot")
+    made = F.array(F.when(inside & more, F.concat(head, here, tail(1))), F.when(inside, F.concat(head, tail(1))), F.when(more, F.concat(head, here, tail(0))))
+    return led(layer.withColumn("used", F.col("used") + 2).withColumn("text", F.explode(made)).where("text is not null"))
+
+
+def led(layer: DataFrame) -> DataFrame:
+    """With p, the number of characters for which ``text`` and ``pivot`` agree."""
+    return layer.withColumn("p", common_prefix(F.col("text"), F.col("pivot"), F.least(F.length("text"), F.length("pivot"))))
+
 
-    code tells how much longer each part is than that of the indexed line; of the
-    pieces, ``dropped`` are open again, with ``more`` characters each than the
-    indexed line's, and ``moved`` is by how much each piece is shifted in its part.
+def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
+    """Stored pairs (a, b: h1) of the lines of each group: with each line that has an earlier one within the threshold, such a one.
+
+    members: g, h1, loc, used, text. Of two different strings within the threshold,
+    the first edit can be made where they part. Let p(x) tell for how long x agrees
+    with the group's pivot. If p(x) < p(y), they part where x leaves the pivot, and
+    there the edit of x is known from the pivot: ``edited`` makes it. If p is equal
+    and the next character too, they are in a smaller group with a pivot of its own;
+    if only p is equal, what follows, with and without that character, makes a group
+    with an edit less. So lines within the threshold meet as equal strings, of which
+    the earliest is enough for all others. ``used`` counts half edits: what both
+    strings of a pair have used is what the pair has.
     """
-    n, k = parts * PIECES, threshold
-    rows = []
-    for number, drop in enumerate(combinations(range(n), k)):
-        for change in product(range(-k, k + 1), repeat=k):
-            if sum(map(abs, change)) > k:
-                continue
-            by = dict(zip(drop, change))
-            longer = [sum(by.get(t * PIECES + j, 0) for j in range(PIECES)) for t in range(parts)]
-            moved = [sum(by.get(x, 0) for x in range(p - p % PIECES, p)) for p in range(n)]
-            rows.append((sum((d + k) * (2 * k + 1) ** t for t, d in enumerate(longer)), number, list(drop), list(change), moved))
-    return spark.createDataFrame(rows, "code int, number int, dropped array<int>, more array<int>, moved array<int>")
-
-
-def refined(members: DataFrame, texts: DataFrame, plan: DataFrame, threshold: int, parts: int) -> DataFrame:
-    """The members of some groups under all their finer keys; ``parts`` are (start, size in the indexed line, own size)."""
-    k, n = threshold, parts * PIECES
-    part = [F.col("parts")[i] for i in range(parts)]
-    code = sum(((p["own"] - p["size"] + k) * (2 * k + 1) ** i for i, p in enumerate(part)), F.lit(0))
-    met = members.withColumn("code", code.cast("int")).join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(F.broadcast(plan), "code")
-    cut = {}
-    for x in range(n):
-        s, size = segment(part[x // PIECES]["size"], F.lit(x % PIECES), PIECES)
-        cut[f"at{x}"], cut[f"size{x}"] = part[x // PIECES]["start"] + s + F.col("moved")[x], size
-    met = met.withColumns(cut)
-    same = [F.when(F.array_contains("dropped", x), "").otherwise(F.substring("line", F.col(f"at{x}") + 1, F.col(f"size{x}"))) for x in range(n)]
-    at, size = F.array(*[F.col(f"at{x}") for x in range(n)]), F.array(*[F.col(f"size{x}") for x in range(n)])
-    still = []
-    for i in range(k):
-        own = F.get(size, F.col("dropped")[i])
-        still.append(F.struct(F.get(at, F.col("dropped")[i]).alias("start"), own.alias("size"), (own + F.col("more")[i]).alias("own")))
-    out = met.select(F.xxhash64("key", "number", *same).alias("key"), "h1", "h2", "loc", "indexed", "settled", F.array(*still).alias("parts"))
-    return out.where(F.least(F.lit(0), *[F.col("parts")[i]["own"] for i in range(k)]) >= 0)
+    most_used, spark, found = 2 * threshold, members.sparkSession, []
+    now = storage.stored(members, "line-group")
+    while True:
+        size = now.groupBy("g").agg(
+            F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most"), F.min("used").alias("low"), F.min_by("text", F.xxhash64("g", "text")).alias("pivot")
+        )
+        size = size.where(F.expr(f"least <> most and 2 * low + 2 <= {most_used}")).select("g", "n", "low", "pivot")
+        live = storage.stored(led(now.join(size, "g").where(F.col("used") + F.col("low") + 2 <= most_used).drop("low")), "line-live")
+        storage.dropped(spark, now)
+        if not live.head(1):
+            storage.dropped(spark, live)
+            return found
+        few, hot = live.where(F.col("n") <= FEW), live.where(F.col("n") > FEW)
+        side = few.select("g", F.col("h1").alias("b"), F.col("used").alias("also"))
+        met = few.select("g", F.col("h1").alias("a"), "used").join(side, "g").where((F.col("a") < F.col("b")) & (F.col("used") + F.col("also") + 2 <= most_used)).select("a", "b")
+        layers = [hot]
+        for _ in range(threshold):
+            layers.append(edited(layers[-1].where(F.col("used") + 2 <= most_used)))
+        every = layers[0]
+        for layer in layers[1:]:
+            every = every.union(layer)
+        text, p = F.col("text"), F.col("p")
+        apart = every.where((text != F.col("pivot")) & (F.col("used") + 2 <= most_used))
+        behind = F.array(F.substring(text, p + 1, F.length(text)), F.when(p < F.length(text), F.substring(text, p + 2, F.length(text))))
+        loose = apart.select(F.xxhash64("g", "p", F.lit("*")).alias("g"), "h1", "loc", (F.col("used") + 1).alias("used"), F.explode(behind).alias("text")).where("text is not null")
+        equal = every.select("g", "h1", "loc", "used", "text").union(loose).select(F.xxhash64("g", "text").alias("e"), F.xxhash64(F.lit(1), "g", "text").alias("e2"), "h1", "loc", "used")
+        equal = storage.stored(equal, "line-equal")
+        first = [F.min(F.when(F.col("used") <= most_used - u, F.struct("loc", "h1"))).alias(f"first{u}") for u in range(most_used + 1)]
+        best = equal.groupBy("e", "e2").agg(*first, F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most")
+        one = F.coalesce(*[F.when(F.col("used") == u, F.col(f"first{u}")["h1"]) for u in range(most_used + 1)])
+        met_equal = equal.join(best, ["e", "e2"]).select(F.col("h1").alias("a"), one.alias("b")).where("a <> b").distinct()
+        found.append(storage.stored(met.union(met_equal), "line-pairs"))
+        same = apart.select(F.xxhash64("g", "p", F.substring(text, p + 1, F.lit(1))).alias("g"), "h1", "loc", "used", "text")
+        now = storage.stored(same.union(loose.where(F.col("used") + 3 <= most_used)), "line-group")
+        storage.dropped(spark, live, equal)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -199,69 +223,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return near.select(F.greatest(a, b).alias("late")).select("late.h1", "late.h2", "late.loc").distinct()
 
 
-def met_in(members: DataFrame, only: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of the members of each key of which one is indexed; ``only``: of which a fulfils that."""
-    b = members.select("key", F.col("h1").alias("b"), F.col("indexed").alias("also"))
-    a = members if only is None else members.where(only)
-    return a.select("key", F.col("h1").alias("a"), "indexed").join(b, "key").where("a <> b and (indexed or also)" if only is not None else "a < b and (indexed or also)").select("a", "b")
-
-
 def similar_lines(firsts: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """h1, h2, loc of distinct lines with an earlier line within the threshold."""
-    spark, k = docs.sparkSession, threshold
-    named, spread = roles(k), int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = firsts.select("h1", F.posexplode("keys").alias("role", "key")).where("key is not null")
-    grouped = entries.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") <= k).cast("int")).alias("indexed"), F.min("h1").alias("a"), F.max("h1").alias("b"))
+    grouped = entries.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") <= threshold).cast("int")).alias("indexed"), F.min("h1").alias("a"), F.max("h1").alias("b"))
     groups = storage.stored(grouped.where("n > 1 and indexed = 1 and a <> b").select("key", "n", "a", "b"), "line-groups")
-    wide = groups.where("n > 2").select("key")
+    wide = groups.where("n > 2").select("key", "n")
     few = wide.count() <= SENT
-    members = storage.stored(entries.join(F.broadcast(wide) if few else wide, "key"), "line-members")
+    members = storage.stored(entries.join(F.broadcast(wide) if few else wide, "key").select("key", "n", "h1", (F.col("role") <= threshold).alias("indexed")), "line-members")
     ids = storage.stored(groups.where("n = 2").select(F.explode(F.array("a", "b")).alias("h1")).union(members.select("h1")).distinct(), "line-ids")
     small = ids.count() <= SENT
     found = lines_of(docs).join(F.broadcast(ids) if small else ids, "h1", "left_semi")
     texts = storage.stored(found.groupBy("h1", "h2").agg(F.min(F.struct(*_LOC)).alias("loc"), F.first("line").alias("line"), F.first("chars").alias("chars")), "line-texts")
-
-    def of(which: int) -> Column:
-        return F.element_at(F.array(*[F.lit(r[which]) for r in named]), F.col("role") + 1)
-
-    s, n = segment(F.col("chars") - of(0), of(1), k + 1)
-    end = s + of(2) + n
-    parts = F.array(
-        F.struct(F.lit(0).alias("start"), s.alias("size"), (s + of(2)).alias("own")),
-        F.struct(end.alias("start"), (F.col("chars") - of(0) - s - n).alias("size"), (F.col("chars") - end).alias("own")),
-    )
-    now = members.join(texts.select("h1", "h2", "loc", "chars"), "h1").select("key", "h1", "h2", "loc", (F.col("role") <= k).alias("indexed"), F.lit(False).alias("settled"), parts.alias("parts"))
-    now = storage.stored(now, "line-level")
-    pairs, settled, count, gone = groups.where("n = 2").select("a", "b"), [], 2, [members, ids]
-    while True:
-        n_open = F.sum((~F.col("settled")).cast("long"))
-        size = now.groupBy("key").agg(F.count("*").alias("n"), n_open.alias("n_open"), F.min(F.struct("loc", "h1")).alias("first"), F.max("indexed").alias("some"), F.min("h1").alias("least"), F.max("h1").alias("most"))
-        live = now.join(size.where("some and n_open > 0 and least <> most").drop("least", "most", "some"), "key")
-        live = storage.stored(live, "line-live")
-        storage.dropped(spark, now)
-        alone = F.aggregate("parts", F.lit(0), lambda x, p: x + p["size"]) <= k
-        direct = live.where((F.col("n") <= FEW) | (F.col("n_open") <= FEW) | alone)
-        met = met_in(direct, ~F.col("settled"))
-        pivots = live.where((F.col("n") > FEW) & (F.col("n_open") > FEW) & ~alone & ~F.col("settled")).select(F.col("h1").alias("a"), F.col("first.h1").alias("b"))
-        late = storage.stored(verified(pairs.union(met).union(pivots), texts, k), "line-late")
-        settled.append(late)
-        hot = live.where((F.col("n") > FEW) & (F.col("n_open") > FEW) & ~alone)
-        mark = late.select("h1", "h2", F.lit(True).alias("late"))
-        left = hot.join(mark, ["h1", "h2"], "left").withColumn("settled", F.col("settled") | F.col("late").isNotNull())
-        still = left.groupBy("key").agg(n_open.alias("n_open")).where("n_open > 0").select("key")
-        open_groups = storage.stored(left.select("key", "h1", "h2", "loc", "indexed", "settled", "parts").join(still, "key").repartition(spread), "line-open")
-        storage.dropped(spark, live)
-        if not open_groups.head(1):
-            storage.dropped(spark, open_groups)
-            break
-        now = storage.stored(refined(open_groups, texts, finer(spark, k, count), k, count), "line-level")
-        storage.dropped(spark, open_groups)
-        pairs, count = pairs.limit(0), k
-    late = settled[0]
-    for more in settled[1:]:
-        late = late.union(more)
-    late = storage.stored(late.select("h1", "h2", "loc").distinct(), "line-near")
-    storage.dropped(spark, groups, texts, *gone, *settled)
+    side = members.where(F.col("n") <= FEW).select("key", F.col("h1").alias("b"), F.col("indexed").alias("also"))
+    met = members.where(F.col("n") <= FEW).select("key", F.col("h1").alias("a"), "indexed").join(side, "key").where("a < b and (indexed or also)").select("a", "b")
+    hot = members.where(F.col("n") > FEW).select(F.col("key").alias("g"), "h1").distinct().join(texts.select("h1", "loc", F.col("line").alias("text")), "h1")
+    more = pairs_of_groups(hot.select("g", "h1", "loc", F.lit(0).alias("used"), "text"), threshold)
+    pairs = groups.where("n = 2").select("a", "b").union(met)
+    for part in more:
+        pairs = pairs.union(part)
+    late = storage.stored(verified(pairs, texts, threshold), "line-near")
+    storage.dropped(docs.sparkSession, groups, members, ids, texts, *more)
     return late
 
 
