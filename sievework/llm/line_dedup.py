@@ -57,12 +57,11 @@ def roles(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """The keys of a line in the order of roles(); keys beyond the line's bounds are null."""
+    """The keys of a line in the order of roles(); one beyond a very short line's bounds is of no use, but does no harm."""
     out = []
     for less, i, shift in roles(threshold):
         s, n = segment(length - less, F.lit(i), threshold + 1)
-        at = s + shift
-        out.append(F.when((at >= 0) & (at + n <= length), F.xxhash64(length - less, F.lit(i), F.substring(line, at + 1, n))))
+        out.append(F.xxhash64(length - less, F.lit(i), F.substring(line, s + (shift + 1), n)))
     return out
 
 
@@ -196,10 +195,13 @@ def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
         every = layers[0]
         for layer in layers[1:]:
             every = every.union(layer)
+        every = storage.stored(every.select("g", "h1", "loc", "used", "text", "p", (F.col("text") != F.col("pivot")).alias("parts")), "line-layers")
         text, p = F.col("text"), F.col("p")
-        apart = every.where((text != F.col("pivot")) & (F.col("used") + 2 <= most_used))
+        apart = every.where(F.col("parts") & (F.col("used") + 2 <= most_used))
+        after = F.substring(text, p + 1, F.lit(1))
+        forks = apart.groupBy("g", "p").agg(F.min(after).alias("low"), F.max(after).alias("high")).where("low <> high").select("g", "p")
         behind = F.array(F.substring(text, p + 1, F.length(text)), F.when(p < F.length(text), F.substring(text, p + 2, F.length(text))))
-        loose = apart.select(F.xxhash64("g", "p", F.lit("*")).alias("g"), "h1", "loc", (F.col("used") + 1).alias("used"), F.explode(behind).alias("text")).where("text is not null")
+        loose = apart.join(forks, ["g", "p"]).select(F.xxhash64("g", "p", F.lit("*")).alias("g"), "h1", "loc", (F.col("used") + 1).alias("used"), F.explode(behind).alias("text")).where("text is not null")
         equal = every.select("g", "h1", "loc", "used", "text").union(loose).select(F.xxhash64("g", "text").alias("e"), F.xxhash64(F.lit(1), "g", "text").alias("e2"), "h1", "loc", "used")
         equal = storage.stored(equal, "line-equal")
         first = [F.min(F.when(F.col("used") <= most_used - u, F.struct("loc", "h1"))).alias(f"first{u}") for u in range(most_used + 1)]
@@ -207,9 +209,9 @@ def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
         one = F.coalesce(*[F.when(F.col("used") == u, F.col(f"first{u}")["h1"]) for u in range(most_used + 1)])
         met_equal = equal.join(best, ["e", "e2"]).select(F.col("h1").alias("a"), one.alias("b")).where("a <> b").distinct()
         found.append(storage.stored(met.union(met_equal), "line-pairs"))
-        same = apart.select(F.xxhash64("g", "p", F.substring(text, p + 1, F.lit(1))).alias("g"), "h1", "loc", "used", "text")
+        same = apart.select(F.xxhash64("g", "p", after).alias("g"), "h1", "loc", "used", "text")
         now = storage.stored(same.union(loose.where(F.col("used") + 3 <= most_used)), "line-group")
-        storage.dropped(spark, live, equal)
+        storage.dropped(spark, live, every, equal)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -225,7 +227,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 def similar_lines(firsts: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """h1, h2, loc of distinct lines with an earlier line within the threshold."""
-    entries = firsts.select("h1", F.posexplode("keys").alias("role", "key")).where("key is not null")
+    entries = firsts.select("h1", F.posexplode("keys").alias("role", "key"))
     grouped = entries.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") <= threshold).cast("int")).alias("indexed"), F.min("h1").alias("a"), F.max("h1").alias("b"))
     groups = storage.stored(grouped.where("n > 1 and indexed = 1 and a <> b").select("key", "n", "a", "b"), "line-groups")
     wide = groups.where("n > 2").select("key", "n")
@@ -251,10 +253,10 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     """doc_id, tkey and pos of every line that repeats an earlier one."""
     lines = lines_of(docs)
     line, chars = F.col("line"), F.col("chars")
-    keyed = lines.select("h1", "h2", F.struct(*_LOC).alias("loc"), F.when(chars >= min_chars, F.array(*keys(line, chars, threshold))).alias("keys"))
-    firsts = keyed.groupBy("h1", "h2").agg(F.min("loc").alias("loc"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    keyed = lines.select("h1", "h2", F.struct(*_LOC).alias("loc"), "chars", F.array(*keys(line, chars, threshold)).alias("keys"))
+    firsts = keyed.groupBy("h1", "h2").agg(F.min("loc").alias("loc"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
     firsts = storage.stored(firsts, "lines")
-    near = similar_lines(firsts.where("keys is not null"), docs, threshold)
+    near = similar_lines(firsts.where(F.col("chars") >= min_chars), docs, threshold)
     copied = firsts.where("copies > 1").select("h1", "h2", F.col("loc").alias("first"))
     copies = lines.select("h1", "h2", F.struct(*_LOC).alias("loc")).join(copied, ["h1", "h2"]).where("loc <> first").select("loc.*")
     gone = storage.stored(copies.unionByName(near.select("loc.*")), "repeated")
