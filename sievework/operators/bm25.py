@@ -17,11 +17,13 @@ from sievework.session import spread
 K1, B = 1.5, 0.75
 #: Query terms below this idf are noise, unless a query has no others; terms that a query keeps; cap of a term's query frequency.
 MIN_IDF, MAX_TERMS, MAX_QTF = 0.2, 64, 3
+#: Kept query terms that are still sent to every task; more are joined by shuffling.
+SENT = 500_000
 
 
 @dataclass
 class Index:
-    """docs: doc, part, dl; terms: doc, part, term, tf; sizes: part, n, avgdl."""
+    """docs: doc, part, dl; terms: doc, part, dl, term, tf, dealt by doc; sizes: part, n, avgdl."""
 
     docs: DataFrame
     terms: DataFrame
@@ -30,9 +32,14 @@ class Index:
 
 def build(docs: DataFrame, key: str, text: str, part: str | None = None, n: int = 2) -> Index:
     """The index of the n-grams of a text column; with ``part`` one for each of its values."""
-    rows = spread(docs.select(F.col(key).alias("doc"), (F.col(part) if part else F.lit("")).alias("part"), F.col(text).alias("text")))
-    lengths = rows.select("doc", "part", ngram_count(F.col("text"), n).alias("dl"))
-    terms = rows.select("doc", "part", F.explode(character_ngrams(F.col("text"), n)).alias("term")).groupBy("doc", "part", "term").agg(F.count("*").alias("tf"))
+    named = docs.select(F.col(key).alias("doc"), (F.col(part) if part else F.lit("")).alias("part"), F.col(text).alias("text"))
+    lengths = spread(named).select("doc", "part", ngram_count(F.col("text"), n).alias("dl"))
+    # texts are dealt by document once, so that their grams are counted where they are made
+    # (with a number, because texts grow when they are cut and few bytes would be few tasks)
+    rows = named.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism), "doc")
+    counted = rows.select("doc", "part", ngram_count(F.col("text"), n).alias("dl"), character_ngrams(F.col("text"), n).alias("grams"))
+    grams = counted.select("doc", "part", "dl", F.explode("grams").alias("term"))
+    terms = grams.groupBy("doc", "part", "dl", "term").agg(F.count("*").alias("tf"))
     sizes = lengths.groupBy("part").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Index(lengths, terms, sizes)
 
@@ -63,9 +70,12 @@ def scores(index: Index, queries: DataFrame, key: str, text: str, n: int = 2, pa
     kept = informative(asked, weights)
     if parts is not None:
         kept = kept.join(parts, ["query", "part"], "left_semi")
-    norm = index.docs.join(index.sizes, "part").select("doc", "part", (K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))).alias("norm"))
-    hits = index.terms.join(kept, ["part", "term"]).join(norm, ["doc", "part"])
-    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
+    kept = kept.join(index.sizes.select("part", "avgdl"), "part")
+    # a query keeps MAX_TERMS terms at most in each part
+    few = parts is None and queries.select(key).distinct().count() * MAX_TERMS * index.sizes.count() <= SENT
+    hits = index.terms.join(F.broadcast(kept) if few else kept, ["part", "term"])
+    norm = K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
+    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("query", "doc", "part").agg(F.round(F.sum(gain), 9).alias("score"))
 
 
@@ -76,9 +86,9 @@ def okapi_scores(index: Index, queries: DataFrame, key: str, text: str, n: int =
     raw = df.select("part", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.groupBy("part").agg(F.avg("idf").alias("mean"))
     weights = raw.join(mean, "part").select("part", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    norm = index.docs.join(index.sizes, "part").select("doc", "part", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    hits = index.terms.join(asked.join(weights, "term"), ["part", "term"]).join(norm, ["doc", "part"])
-    found = hits.groupBy("query", "doc", "part").agg(F.sum(F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("s"))
+    hits = index.terms.join(asked.join(weights, "term").join(index.sizes.select("part", "avgdl"), "part"), ["part", "term"])
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    found = hits.groupBy("query", "doc", "part").agg(F.sum(F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("s"))
     every = queries.select(F.col(key).alias("query")).distinct().crossJoin(index.docs.select("doc", "part"))
     return every.join(found, ["query", "doc", "part"], "left").select("query", "doc", "part", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
 

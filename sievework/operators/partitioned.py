@@ -2,48 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bm25
 
 
-def allocate(labels: list[str], probabilities: list[float], k: int) -> dict[str, int]:
-    """How many of k places each label gets: largest remainders, one at least for a positive probability.
+def quotas(predicted: DataFrame, k: int) -> DataFrame:
+    """query, part, probability, quota of predicted labels (query, label, probability): how many of k places each gets.
 
-    The order of the labels breaks ties.
+    Whole shares first, one place at least for a positive probability. Places
+    that are left go to the largest remainders. Places too many are taken from
+    labels that have several, by what each would still lack, and then from the
+    least likely ones. The more likely label, then its name, breaks ties; a query
+    without a positive probability gives all places to its first label.
     """
-    if not labels or k <= 0:
-        return {}
-    total = sum(p for p in probabilities if p > 0)
-    if total <= 0:
-        return {labels[0]: k}
-    share = [k * p / total for p in probabilities]
-    places = [max(int(s), int(p > 0)) for s, p in zip(share, probabilities)]
-    every = range(len(labels))
-    while sum(places) > k:
-        several = [i for i in every if places[i] > 1]
-        if several:
-            places[min(several, key=lambda i: share[i] - places[i])] -= 1
-        else:
-            places[min((i for i in every if places[i]), key=lambda i: probabilities[i])] = 0
-    while sum(places) < k:
-        places[max(every, key=lambda i: share[i] - places[i])] += 1
-    return {labels[i]: places[i] for i in every if places[i] > 0}
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("quota", T.IntegerType())])))
-def _quotas(labels: pd.Series, probabilities: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([[{"label": x, "quota": n} for x, n in allocate(list(a), list(p), int(m)).items()] for a, p, m in zip(labels, probabilities, k)])
-
-
-def quotas(predicted: DataFrame, k: int) -> DataFrame:
-    """query, part, probability, quota of predicted labels (query, label, probability), most likely first."""
-    listed = predicted.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("o"), "label"))).alias("x"))
-    given = listed.select("query", F.explode(_quotas(F.transform("x", lambda v: v["label"]), F.transform("x", lambda v: -v["o"]), F.lit(k))).alias("q"))
-    return given.select("query", F.col("q.label").alias("part"), F.col("q.quota").alias("quota")).join(predicted.withColumnRenamed("label", "part"), ["query", "part"])
+    each = Window.partitionBy("query")
+    p = F.col("probability")
+    total = F.sum(F.greatest(p, F.lit(0.0))).over(each)
+    ranked = predicted.withColumn("__i", F.row_number().over(each.orderBy(F.desc("probability"), "label"))).withColumn("__t", total)
+    share = F.when(F.col("__t") > 0, k * p / F.col("__t")).otherwise(F.when(F.col("__i") == 1, float(k)).otherwise(0.0))
+    whole = ranked.withColumn("__s", share).withColumn("__n", F.greatest(F.col("__s").cast("int"), (p > 0).cast("int")))
+    rest = F.col("__s") - F.col("__n")
+    open_places = k - F.sum("__n").over(each)
+    dealt = whole.withColumn("__o", open_places).withColumn("__r", F.row_number().over(each.orderBy(rest.desc(), "__i")))
+    # every place beyond a label's first is a row; at most k of them for a query
+    spare = dealt.where("__o < 0 and __n > 1").select("query", "label", "__i", "__o", F.posexplode(F.sequence(F.lit(2), F.col("__n"))).alias("__u", "__place"), rest.alias("__rest"))
+    first = F.row_number().over(each.orderBy(F.col("__rest") + F.col("__u"), "__i"))
+    taken = spare.withColumn("__k", first).where("__k <= -__o").groupBy("query", "label").agg(F.count("*").cast("int").alias("__less"))
+    met = dealt.join(taken, ["query", "label"], "left").withColumn("__less", F.coalesce("__less", F.lit(0)))
+    still = F.greatest(-F.col("__o") - F.sum("__less").over(each), F.lit(0))
+    least = F.row_number().over(each.orderBy((F.col("__n") == 0), "probability", "__i"))
+    out = met.withColumn("__still", still).withColumn("__l", least)
+    more = F.when((F.col("__o") > 0) & (F.col("__r") <= F.col("__o")), 1).otherwise(0)
+    quota = F.when(F.col("__l") <= F.col("__still"), 0).otherwise(F.col("__n") - F.col("__less") + more)
+    return out.select("query", F.col("label").alias("part"), quota.cast("int").alias("quota"), "probability").where("quota > 0")
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str, labels: str) -> DataFrame:

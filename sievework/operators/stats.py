@@ -79,16 +79,27 @@ def duplicate_count(df: DataFrame, fingerprint: Column, groups: list[str] = ())
     return per.groupBy(*groups).agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_texts"), (F.sum("n") - F.count("*")).alias("duplicates"), F.max("n").alias("largest_group"))
 
 
-def subset_report(df: DataFrame, key: str, labels: str, universe: list[str]) -> DataFrame:
-    """How a subset supports a label set, with a digest of its sorted ids."""
-    present = F.array_distinct(F.flatten(F.collect_set(labels)))
+def subset_report(df: DataFrame, key: str, labels: str, universe: list[str], size: int = 65536) -> DataFrame:
+    """How a subset supports a label set, with a digest of its ids.
+
+    The ids (integers) of each range of ``size`` have a digest in their order, and
+    the digest of the whole is that of these, in the order of the ranges.
+    """
     everything = F.array(*[F.lit(x) for x in universe])
-    return df.agg(
+    listed = lambda x, order: F.array_join(F.transform(F.array_sort(F.collect_list(order)), x), ",")
+    ranges = df.groupBy(F.floor(F.col(key) / size).alias("r")).agg(
         F.count("*").alias("rows"),
-        F.count_if(F.size(labels) > 1).alias("multi_label_rows"),
+        F.count_if(F.size(labels) > 1).alias("several"),
+        F.array_distinct(F.flatten(F.collect_set(labels))).alias("present"),
+        F.sha2(listed(lambda x: x.cast("string"), key), 256).alias("d"),
+    )
+    present = F.array_distinct(F.flatten(F.collect_set("present")))
+    return ranges.agg(
+        F.sum("rows").alias("rows"),
+        F.sum("several").alias("multi_label_rows"),
         F.size(F.array_intersect(everything, present)).alias("labels_present"),
         F.array_sort(F.array_except(everything, present)).alias("labels_missing"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
+        F.sha2(listed(lambda x: x["d"], F.struct("r", "d")), 256).alias("ids_sha256"),
     )
 
 

@@ -51,16 +51,19 @@ def accepted(hits: DataFrame, column: str = "reasons") -> tuple[DataFrame, DataF
 
 
 def in_force(intervals: DataFrame, points: DataFrame, key: str, start: str, end: str, at: str, days: int = 1) -> DataFrame:
-    """Points joined with the intervals of their key that hold them: start <= point < end.
+    """Points joined with the intervals of their key that hold them: start <= point < end; without end an interval is open.
 
-    Intervals are cut into buckets of ``days``, so the join is on (key, bucket)
-    and a hot key is spread over its buckets.
+    Intervals are cut into buckets, so the join is on (key, bucket) and a hot key
+    is spread over its buckets. A bucket is as long as the mean interval, ``days``
+    at least, so an interval is cut into two on average.
     """
-    unit = 86400 * days
-
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_seconds(c.cast("timestamp")) / unit)
-
-    i = intervals.withColumn("__b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.coalesce(F.col(end), F.col(start))))))
-    p = points.withColumn("__b", bucket(F.col(at)))
-    return p.join(i, [key, "__b"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__b")
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    last = points.agg(F.max(seconds(F.col(at)))).first()[0] or 0
+    ends = F.coalesce(seconds(F.col(end)), F.greatest(F.lit(last), seconds(F.col(start))))
+    mean = intervals.agg(F.avg(ends - seconds(F.col(start)))).first()[0] or 0
+    unit = int(max(86400 * days, mean))
+    bucket = lambda c: F.floor(c / unit)
+    cut = F.sequence(bucket(seconds(F.col(start))), F.greatest(bucket(ends), bucket(seconds(F.col(start)))))
+    i = intervals.where(F.col(start).isNotNull()).withColumn("__b", F.explode(cut))
+    p = points.withColumn("__b", bucket(seconds(F.col(at))))
+    return p.join(i, [key, "__b"]).where((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("__b")

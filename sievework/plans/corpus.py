@@ -174,16 +174,16 @@ def merge_duplicates(spark, sf_dir):
 
 
 @query("""
-with u as (select user_id, list_distinct(list(event_type)) as labels from events where user_id % 5 = 0 group by user_id)
+with u as (select user_id, list_distinct(list(event_type)) as labels from events group by user_id),
+r as (select user_id // 65536 as r, sha256(string_agg(user_id::varchar, ',' order by user_id)) as d from u group by 1)
 select count(*) as rows, count(*) filter (len(labels) > 1) as multi_label_rows, len(list_distinct(flatten(list(labels))))::int as labels_present,
-  list_filter(['click', 'never', 'view'], lambda x: not list_contains(flatten(list(labels)), x)) as labels_missing, sha256(string_agg(user_id::varchar, ',' order by user_id)) as ids_sha256 from u
+  list_filter(list_sort(list_append((select list(distinct event_type) from events), 'never')), lambda x: not list_contains(flatten(list(labels)), x)) as labels_missing, (select sha256(string_agg(d, ',' order by r)) from r) as ids_sha256 from u
 """)
 def subset_report(spark, sf_dir):
     events = read_table(spark, sf_dir, "events")
-    users = events.where("user_id % 5 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("labels"))
+    users = events.groupBy("user_id").agg(F.collect_set("event_type").alias("labels"))
     known = sorted(r[0] for r in events.select("event_type").distinct().collect())
-    out = stats.subset_report(users, "user_id", "labels", [*known, "never"])
-    return out.withColumn("labels_missing", F.array_except("labels_missing", F.array(*[F.lit(k) for k in known if k not in ("click", "view")])))
+    return stats.subset_report(users, "user_id", "labels", [*known, "never"])
 
 
 @query("select array_to_string(list_sort(json_keys(props)), ',') as keys, count(*) as n from events group by 1")

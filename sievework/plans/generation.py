@@ -36,25 +36,25 @@ def key_facts(spark, sf_dir):
 
 @query("""
 with c as (select o_orderkey, list_distinct(list(l_suppkey % 7)) as cited from lineitem join orders on l_orderkey = o_orderkey group by o_orderkey), k as (select *, [0, 1, 2, 3, o_orderkey % 7] as known from c)
-select o_orderkey, list_sort(list_filter(cited, lambda x: not list_contains(known, x))) as unknown, len(list_filter(cited, lambda x: not list_contains(known, x))) = 0 as valid from k where o_orderkey % 11 = 0
+select o_orderkey, list_sort(list_filter(cited, lambda x: not list_contains(known, x))) as unknown, len(list_filter(cited, lambda x: not list_contains(known, x))) = 0 as valid from k
 """)
 def citation_validation(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
+    o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.collect_set(F.col("l_suppkey") % 7).alias("cited"))
     known = F.array(*[F.lit(x).cast("long") for x in range(4)], F.col("o_orderkey") % 7)
     return c.select("o_orderkey", grounding.citation_check(F.col("cited"), known).alias("c")).select("o_orderkey", "c.unknown", "c.valid")
 
 
 @query("""
-with c as (select l_orderkey as request, case when l_linenumber % 2 = 1 then 'legal_basis' else 'analogous_cases' end as section, l_partkey % 20 as evidence_id from lineitem where l_orderkey % 50 = 0),
-g as (select distinct l_orderkey as request, l_partkey % 20 as evidence_id from lineitem where l_orderkey % 50 = 0 and l_partkey % 20 <> 7),
+with c as (select l_orderkey as request, case when l_linenumber % 2 = 1 then 'legal_basis' else 'analogous_cases' end as section, l_partkey % 20 as evidence_id from lineitem),
+g as (select distinct l_orderkey as request, l_partkey % 20 as evidence_id from lineitem where l_partkey % 20 <> 7),
 k as (select *, case when evidence_id % 3 = 0 then 'case' else 'statute' end as kind, case when evidence_id % 5 = 0 then 1 else 0 end as bad from g),
 m as (select c.*, kind, bad, kind is null as u, (section = 'legal_basis' and kind <> 'statute') or (section = 'analogous_cases' and kind <> 'case') as w, section = 'legal_basis' and kind = 'statute' and bad = 1 as i from c left join k using (request, evidence_id)),
 r as (select request, coalesce(list_sort(list_distinct(list(evidence_id) filter (u))), []) as unknown, coalesce(list_sort(list_distinct(list(evidence_id) filter (w))), []) as wrong_type, coalesce(list_sort(list_distinct(list(evidence_id) filter (i))), []) as not_applicable, not bool_or(section = 'legal_basis') as missing_legal_basis from m group by request)
 select *, len(unknown) + len(wrong_type) + len(not_applicable) = 0 and not missing_legal_basis as valid from r
 """)
 def grounding_report(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    rows = read_table(spark, sf_dir, "lineitem")
     claims = rows.select(F.col("l_orderkey").alias("request"), F.when(F.col("l_linenumber") % 2 == 1, "legal_basis").otherwise("analogous_cases").alias("section"), (F.col("l_partkey") % 20).alias("evidence_id"))
     kind = F.when(F.col("evidence_id") % 3 == 0, "case").otherwise("statute")
     bad = F.array_compact(F.array(F.when(F.col("evidence_id") % 5 == 0, F.lit("expired"))))

@@ -34,14 +34,14 @@ def split_overlap(spark, sf_dir):
 
 @query("""
 with i as (select user_id, event_id, ts as starts, lead(ts) over (partition by user_id order by ts, event_id) as ends from events where event_type = 'purchase'),
-p as (select user_id, event_id as point_id, ts as t_at from events where event_type = 'click' and user_id % 5 = 0)
-select point_id, i.event_id from p join i on p.user_id = i.user_id and starts <= t_at and t_at < ends
+p as (select user_id, event_id as point_id, ts as t_at from events where event_type = 'click')
+select point_id, i.event_id from p join i on p.user_id = i.user_id and starts <= t_at and (ends is null or t_at < ends)
 """)
 def asof_interval_filter(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    intervals = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("starts"), nxt.alias("ends")).where("ends is not null")
-    points = e.where("event_type = 'click' and user_id % 5 = 0").select("user_id", F.col("event_id").alias("point_id"), F.col("ts").alias("at"))
+    intervals = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("starts"), nxt.alias("ends"))
+    points = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("point_id"), F.col("ts").alias("at"))
     return validity.in_force(intervals, points, "user_id", "starts", "ends", "at").select("point_id", "event_id")
 
 

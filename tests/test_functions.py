@@ -53,7 +53,7 @@ def test_low_information(one):
     assert not one(redaction.is_low_information(F.col("t")), t="公诉机关指控的犯罪事实与审理查明的事实一致" + "长" * 200)
 
 
-@pytest.mark.parametrize(("t", "n"), [("二百三十四", 234), ("十", 10), ("两万", 20000), ("一万零五", 10005), ("77", 77), ("三千零二十", 3020)])
+@pytest.mark.parametrize(("t", "n"), [("二百三十四", 234), ("十", 10), ("两万", 20000), ("一万零五", 10005), ("77", 77), ("三千零二十", 3020), ("百五", 105), ("零十", 10), ("三万", 30000), ("", 0)])
 def test_numerals(one, t, n):
     assert one(money.chinese_integer(F.col("t")), t=t) == n
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import rules
@@ -68,10 +69,28 @@ def test_fusion_and_case_dedup(spark):
     assert rows(fusion.first_per_case(cased, "c", 3), "doc", "rank") == [(10, 2), (11, 1)]
 
 
-def test_quotas():
-    assert partitioned.allocate(["a", "b"], [0.8, 0.2], 3) == {"a": 2, "b": 1}
-    assert partitioned.allocate(["a", "b", "c", "d"], [0.4, 0.3, 0.2, 0.1], 3) == {"a": 1, "b": 1, "c": 1}
-    assert partitioned.allocate(["a"], [0.0], 3) == {"a": 3} and partitioned.allocate([], [], 3) == {}
+@pytest.mark.parametrize(
+    ("given", "k", "want"),
+    [
+        ({"a": 0.8, "b": 0.2}, 3, {"a": 2, "b": 1}),
+        ({"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, 3, {"a": 1, "b": 1, "c": 1}),
+        ({"a": 0.0}, 3, {"a": 3}),
+        ({"a": 0.5, "b": 0.3, "c": 0.2}, 10, {"a": 5, "b": 3, "c": 2}),
+        ({"a": 0.9, "b": 0.04, "c": 0.03, "d": 0.03}, 4, {"a": 1, "b": 1, "c": 1, "d": 1}),
+        ({"a": 0.46, "b": 0.44, "c": 0.05, "d": 0.05}, 6, {"a": 2, "b": 2, "c": 1, "d": 1}),
+    ],
+)
+def test_quotas(spark, given, k, want):
+    predicted = spark.createDataFrame([(1, x, p) for x, p in given.items()], "query long, label string, probability double")
+    assert {r["part"]: r["quota"] for r in partitioned.quotas(predicted, k).collect()} == want
+
+
+def test_open_interval_is_in_force(spark):
+    rows_ = [(1, 10, "2024-01-01", None), (1, 11, "2020-01-01", "2024-01-02"), (2, 12, None, None)]
+    intervals = spark.createDataFrame(rows_, "k int, i int, s string, e string").select("k", "i", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
+    points = spark.createDataFrame([(1, "2024-01-01"), (1, "2031-05-05"), (2, "2024-01-01"), (1, None)], "k int, a string").select("k", F.to_date("a").alias("a"))
+    got = validity.in_force(intervals, points, "k", "s", "e", "a").collect()
+    assert sorted((str(r["a"]), r["i"]) for r in got) == [("2024-01-01", 10), ("2024-01-01", 11), ("2031-05-05", 10)]
 
 
 def test_statute_reasons(spark):
