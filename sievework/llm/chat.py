@@ -2,8 +2,11 @@
 
 Prefix sums of turn tokens choose turn-aligned spans: a turn belongs to window
 floor(tokens before it / stride). A window is formatted as the conversation's
-first system turn, some repeated history and its own turns; only assistant turns that
-it does not repeat are under the loss mask, so each is learned once.
+first system turn (cut to a number of tokens, except in its own window), repeated
+history and its own turns; only assistant turns that it does not repeat are under
+the loss mask, so each is learned once. The history is the turns before the
+window whose tokens, from their starts to that of the window, are within a number;
+a longer last turn is not repeated, and its tokens are nobody's history.
 
 A conversation is dealt into blocks of consecutive turns, and prefix sums run in
 a block on top of the sums of the blocks before, so a very long conversation is
@@ -24,8 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of new turns after which another window begins, tokens of repeated history, turns of a block.
-STRIDE, HISTORY, BLOCK = 1024, 256, 256
+#: Tokens of new turns after which another window begins, tokens of repeated history and of a repeated system turn, turns of a block.
+STRIDE, HISTORY, SYSTEM, BLOCK = 1024, 256, 256, 256
+_TOKEN = r"[\p{L}\p{M}]+|\p{N}|[^\x09-\x0D\x20\p{L}\p{M}\p{N}]"
 _ESCAPES = [("\\", "\\b"), (">", "\\g"), ("<", "\\l")]
 
 
@@ -43,7 +47,12 @@ def unescape(text: Column) -> Column:
 
 def turn_tokens(text: Column) -> Column:
     """A count of words and of single other characters, which stands for tokens."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]")) + 2
+    return F.regexp_count(text, F.lit(_TOKEN)) + 2
+
+
+def cut(text: Column, tokens: int) -> Column:
+    """The beginning of a text that has ``tokens`` by turn_tokens() at most."""
+    return F.when(turn_tokens(text) <= tokens, text).otherwise(F.regexp_extract(text, rf"^(?:[\x09-\x0D\x20]*(?:{_TOKEN})){{0,{max(tokens - 2, 0)}}}", 0))
 
 
 def _prefix_sums(turns: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def _prefix_sums(turns: DataFrame) -> DataFrame:
     order = ["turn", "role", "text"]
     conv = Window.partitionBy("conv_id")
     # blocks by the turn's value, then the sums of whole blocks before each
-    blocked = turns.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK))
+    blocked = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     sums = blocked.groupBy("conv_id", "block").agg(F.sum("tokens").alias("block_tokens"), F.count("*").alias("block_turns"))
     past = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("conv_id", "block", F.coalesce(F.sum("block_tokens").over(past), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("block_turns").over(past), F.lit(0)).alias("turns_before"))
@@ -65,29 +74,32 @@ def _prefix_sums(turns: DataFrame) -> DataFrame:
     )
 
 
-def windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, system_tokens: int = SYSTEM) -> DataFrame:
     """conv_id, window, n_tokens and formatted text of each window.
 
     A window has at most ``stride`` tokens of new turns but for its last turn,
-    which may be longer, ``history`` tokens of repeated turns, and the
-    conversation's first system turn.
+    which may be longer (turns are whole), ``history`` tokens of repeated turns,
+    and ``system_tokens`` of the conversation's first system turn.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("tokens", turn_tokens(F.col("text")))
     summed = _prefix_sums(turns).withColumn("window", F.floor(F.col("before") / stride))
-    # A turn is repeated in the next windows that begin within ``history`` tokens of its start;
-    # the first system turn is repeated in every window after its own.
+    # A window's turns begin at its number times ``stride`` or later, so a turn can be history
+    # of the windows up to (before + history) / stride; whether it is tells the window's start.
     system = F.when(F.col("role") == "system", F.col("place"))
     last = summed.groupBy("conv_id").agg(F.max("window").alias("last_window"), F.min(system).alias("system_place"))
-    known = summed.alias("t").join(last.alias("l"), F.col("t.conv_id").eqNullSafe(F.col("l.conv_id"))).select("t.*", "last_window", "system_place")
+    known = summed.alias("t").join(last.alias("l"), F.col("t.conv_id").eqNullSafe(F.col("l.conv_id"))).select("t.*", F.coalesce(F.col("place") == F.col("system_place"), F.lit(False)).alias("first_system"), "last_window")
     until = F.least(F.col("last_window"), F.floor((F.col("before") + history) / stride))
-    until = F.greatest(F.col("window"), F.when(F.col("place") == F.col("system_place"), F.col("last_window")).otherwise(until))
+    until = F.greatest(F.col("window"), F.when(F.col("first_system"), F.col("last_window")).otherwise(until))
     placed = known.withColumn("shown", F.explode(F.sequence(F.col("window"), until)))
-    starts = placed.where("shown = window").groupBy("conv_id", "window").agg(F.count("*").alias("n_new")).select("conv_id", F.col("window").alias("w"))
-    placed = placed.alias("p").join(starts.alias("w"), F.col("p.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("p.shown") == F.col("w.w")), "left_semi")
-    kind = F.when(F.col("shown") == F.col("window"), "new").otherwise("again")
-    formatted = F.concat(F.lit("<turn "), kind, F.lit(" "), escape(F.col("role")), F.lit(">"), escape(F.col("text")), F.lit("</turn>"))
+    starts = summed.groupBy("conv_id", "window").agg(F.min("before").alias("start")).withColumnRenamed("window", "w")
+    placed = placed.alias("p").join(starts.alias("w"), F.col("p.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("p.shown") == F.col("w.w"))).select("p.*", "start")
+    new = F.col("shown") == F.col("window")
+    placed = placed.where(new | F.col("first_system") | (F.col("start") - F.col("before") <= history))
+    text = F.when(new | ~F.col("first_system"), F.col("text")).otherwise(cut(F.col("text"), system_tokens))
+    placed = placed.withColumn("text", text).withColumn("tokens", F.when(new | ~F.col("first_system"), F.col("tokens")).otherwise(turn_tokens(F.col("text"))))
+    formatted = F.concat(F.lit("<turn "), F.when(new, "new").otherwise("again"), F.lit(" "), escape(F.col("role")), F.lit(">"), escape(F.col("text")), F.lit("</turn>"))
     grouped = placed.groupBy("conv_id", F.col("shown").alias("window")).agg(F.array_sort(F.collect_list(F.struct("place", formatted.alias("f")))).alias("all"), F.sum("tokens").alias("n_tokens"))
     return grouped.select("conv_id", "window", "n_tokens", F.array_join(F.transform("all", lambda x: x["f"]), "").alias("formatted"))
 

@@ -3,8 +3,8 @@
 The network reads windows of ``WINDOW`` bytes in both directions, gives every
 position a distribution over the languages, and a document has the mean of its
 positions'. It is trained by backpropagation through time in numpy, with Adam,
-on windows drawn evenly from the whole texts of a bounded sample of documents
-(``SAMPLE`` first by a hash of their id, ``DRAWN`` windows each).
+on all windows of the whole texts of a bounded sample of documents (``SAMPLE``
+first by a hash of their id); rows that are equal to a chosen one count once.
 
 Nulls and edge cases: null texts and texts without a letter are ``und`` with
 score 0; rows with null lang are not learned from; without any row to learn from
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import textops
 
 WINDOW, HIDDEN = 64, 8
-SAMPLE, DRAWN = 1200, 6
+SAMPLE = 1200
 _STEPS, _BATCH, _RATE = 260, 192, 0.02
 _ROWS = 4096
 
@@ -174,30 +174,31 @@ def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW):
     return np.where(mask, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8), mask, doc
 
 
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """DRAWN windows of each document, evenly over its whole text."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each document."""
     for batch in textops.slabs(batches, "text"):
         rows, mask, doc = windows(*textops.byte_view(textops.text_column(batch, "text")))
-        first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        pick = np.concatenate([np.unique(np.linspace(a, b - 1, DRAWN).astype(int)) for a, b in zip(first[:-1], first[1:]) if b > a] + [np.zeros(0, int)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(doc[pick])), pa.array([r.tobytes() for r in rows[pick]], pa.binary()), pa.array(mask[pick].sum(axis=1))], ["lang", "row", "n"]
-        )
+        at = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+        flat = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), flat, pa.array(mask.sum(axis=1))], ["lang", "row", "n"])
 
 
 def train(docs: DataFrame, learn_from, sample: int = SAMPLE) -> BiGRU:
     """A network fitted to at most ``sample`` documents with a language where ``learn_from`` holds."""
     known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = known.select("doc_id", "lang", "text").withColumn("h", F.xxhash64("doc_id", "lang")).select("h", "doc_id", "lang").orderBy("h", "doc_id").limit(sample)
+    # of rows with the same id one text is learned from, so the sample is bounded whatever repeats
     keys = chosen.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_drawn, "lang string, row binary, n long").collect()
-    rows = sorted((r["lang"], bytes(r["row"]), r["n"]) for r in rows)
-    langs = sorted({r[0] for r in rows})
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(keys), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = texts.select("lang", "text").mapInArrow(_windows, "lang string, row binary, n long").toArrow()
+    langs = sorted(set(got.column("lang").to_pylist()))
     net = BiGRU(langs)
     if len(langs) > 1:
-        data = np.array([np.frombuffer(r[1], np.uint8) for r in rows])
-        mask = np.arange(WINDOW)[None, :] < np.array([r[2] for r in rows])[:, None]
-        net.train(data, mask, np.array([langs.index(r[0]) for r in rows]))
+        label = np.searchsorted(langs, got.column("lang").to_pylist())
+        data = np.frombuffer(b"".join(got.column("row").to_pylist()), np.uint8).reshape(-1, WINDOW)
+        size = got.column("n").to_numpy()
+        order = np.lexsort((*data.T[::-1], size, label))
+        net.train(data[order], np.arange(WINDOW)[None, :] < size[order][:, None], label[order])
     return net
 
 
@@ -207,7 +208,7 @@ def _predictor(model):
         k = len(net.langs)
         for batch in textops.slabs(batches, "text"):
             names = batch.schema.names
-            has = np.asarray(batch.column(names.index("has_letter")).to_numpy(zero_copy_only=False), dtype=bool)
+            has = np.asarray(batch.column(names.index("__has_letter")).to_numpy(zero_copy_only=False), dtype=bool)
             rows, mask, doc = windows(*textops.byte_view(textops.text_column(batch, "text")))
             total = np.zeros((batch.num_rows, max(k, 1)))
             if k:
@@ -219,7 +220,7 @@ def _predictor(model):
             p = total / np.maximum(total.sum(axis=1), 1e-9)[:, None]
             best = p.argmax(axis=1)
             label = [net.langs[b] if h else "und" for b, h in zip(best, has)]
-            kept = [(n, batch.column(i)) for i, n in enumerate(names) if n not in ("has_letter", "text")]
+            kept = [(n, batch.column(i)) for i, n in enumerate(names) if n not in ("__has_letter", "text")]
             more = [("lang_pred", pa.array(label, pa.string())), ("score", pa.array(np.where(has, p.max(axis=1), 0.0)))]
             yield pa.RecordBatch.from_arrays([x[1] for x in kept + more], [x[0] for x in kept + more])
 
@@ -228,7 +229,7 @@ def _predictor(model):
 
 def predict(docs: DataFrame, net: BiGRU) -> DataFrame:
     """docs without text, with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score", "has_letter").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_predictor(model), schema)
+    return docs.withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_predictor(model), schema)

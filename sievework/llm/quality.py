@@ -66,6 +66,27 @@ def features(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.nd
     return (keys & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(doc, np.arange(len(off), dtype=np.uint64))
 
 
+def dual(idx: np.ndarray, x: np.ndarray, at: np.ndarray, sign: np.ndarray, cost: np.ndarray, dim: int, epochs: int = _EPOCHS) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of a linear hinge-loss model, by dual coordinate descent.
+
+    Rows x[at[i]:at[i + 1]] at features idx have length 1; the bias is one more
+    feature of value 1. Minimises (|w|^2 + bias^2) / 2 + sum of cost times hinge loss.
+    """
+    w, bias, alpha = np.zeros(dim), 0.0, np.zeros(len(sign))
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in rng.permutation(len(sign)):
+            own, val = idx[at[i] : at[i + 1]], x[at[i] : at[i + 1]]
+            grad = sign[i] * (w[own] @ val + bias) - 1
+            new = min(max(alpha[i] - grad / 2.0, 0.0), cost[i])  # |x|^2 + 1 for the bias
+            if new != alpha[i]:
+                step = (new - alpha[i]) * sign[i]
+                alpha[i] = new
+                w[own] += step * val
+                bias += step
+    return w, bias, alpha
+
+
 def fit(idx: np.ndarray, at: np.ndarray, y: np.ndarray, bits: int = BITS) -> dict:
     """The model of documents (features idx[at[i]:at[i + 1]]) with labels y of 0 and 1.
 
@@ -84,19 +105,7 @@ def fit(idx: np.ndarray, at: np.ndarray, y: np.ndarray, bits: int = BITS) -> dic
     x = ratio[idx]
     norm = np.sqrt(np.bincount(doc, weights=x * x, minlength=len(y))) + 1e-9
     sign, cost = np.where(y == 1, 1.0, -1.0), np.where(y == 1, _C * len(y) / (2 * (y == 1).sum()), _C * len(y) / (2 * (y == 0).sum())) * 50
-    w, bias, alpha = np.zeros(dim), 0.0, np.zeros(len(y))
-    rng = np.random.default_rng(7)
-    for _ in range(_EPOCHS):
-        for i in rng.permutation(len(y)):
-            a, b = at[i], at[i + 1]
-            own, val = idx[a:b], x[a:b] / norm[i]
-            grad = sign[i] * (w[own] @ val + bias) - 1
-            new = min(max(alpha[i] - grad / 2.0, 0.0), cost[i])  # |x|^2 + 1 for the bias
-            if new != alpha[i]:
-                step = (new - alpha[i]) * sign[i]
-                alpha[i] = new
-                w[own] += step * val
-                bias += step
+    w, bias, _ = dual(idx, x / norm[doc], at, sign, cost, dim)
     margin = np.bincount(doc, weights=w[idx] * x, minlength=len(y)) / norm + bias
     a, b = _platt(margin, y)
     return {"w": (w * ratio).astype(np.float32), "r2": (ratio * ratio).astype(np.float32), "bias": bias, "a": a, "b": b}
@@ -141,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("long").alias("label"))
     present = docs.select("doc_id").distinct()
     chosen = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_featurised, "label long, idx binary").collect()
+    # of rows with the same id one text is learned from, so the sample is bounded whatever repeats
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("label", "text").mapInArrow(_featurised, "label long, idx binary").collect()
     parts = sorted((r["label"], bytes(r["idx"])) for r in rows)
     sets = [np.frombuffer(x, "<u4").astype(np.int64) for _, x in parts]
     at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)

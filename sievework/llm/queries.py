@@ -131,6 +131,47 @@ select dw.doc_id, len(dw.w) as n_words, coalesce(words.n_hit, 0) as n_hit, coale
 from dw left join words on dw.doc_id = words.doc_id left join items on dw.doc_id = items.doc_id
 """
 
+_TOKENS = "len(regexp_extract_all({}, '" + chat._TOKEN.replace("{", "{{").replace("}", "}}") + "')) + 2"
+_ESCAPED = "length({0}) + length(regexp_replace({0}, '[^\\\\<>]', '', 'g'))"
+_OP7 = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{PROBE}' union all select -7, 1, 'assistant', '{PROBE}'
+), t as (
+  select *, {_TOKENS.format("text")} as n, row_number() over w as place, coalesce(sum({_TOKENS.format("text")}) over (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as before
+  from c window w as (partition by conv_id order by turn nulls first, role, text)
+), v as (
+  select *, before // {chat.STRIDE} as win, row_number() over (partition by conv_id, role order by place) = 1 and role = 'system' as first_system from t
+), starts as (select conv_id, win, min(before) as start from v group by all),
+shown as (
+  select v.*, s.win as w from v join starts s on v.conv_id is not distinct from s.conv_id and s.win >= v.win and (s.win = v.win or v.first_system or s.start - v.before <= {chat.HISTORY})
+), cut as (
+  select *, case when w = win or not first_system or n <= {chat.SYSTEM} then text else array_to_string(regexp_extract_all(text, '[\x09-\x0D\x20]*(?:{chat._TOKEN})')[1 : {chat.SYSTEM - 2}], '') end as x from shown
+), chars as (
+  select conv_id, sum(length('<turn  ></turn>') + case when w = win then 3 else 5 end + {_ESCAPED.format("role")} + {_ESCAPED.format("x")})::bigint as formatted_chars from cut group by conv_id
+), d as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+    coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '') as loss from t group by conv_id
+)
+select d.conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from d join chars on d.conv_id is not distinct from chars.conv_id
+"""
+
+_OP3 = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as materialized (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) as g from w where len(w) > 0
+), sizes as materialized (select doc_id, count(*) as n from s group by doc_id
+), inter as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), links as materialized (
+  select a, b from inter join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), least_of as (select a, min(b) as b from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) as component_id from documents d left join sizes on d.doc_id = sizes.doc_id left join least_of on d.doc_id = a
+"""
+
 _OP9 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
@@ -143,4 +184,4 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
 """
 
-ORACLES = {"op1_line_dedup": _OP1, "op2_url_filter": _OP2, "op4_decontamination": _OP4, "op9_exact_topk": _OP9}
+ORACLES = {"op1_line_dedup": _OP1, "op2_url_filter": _OP2, "op3_jaccard_join": _OP3, "op7_chat_format": _OP7, "op4_decontamination": _OP4, "op9_exact_topk": _OP9}

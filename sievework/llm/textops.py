@@ -1,8 +1,9 @@
 """Vectorised byte-level text routines shared by the operators of this subpackage.
 
 Everything works on Arrow string columns without creating a Python object per
-word: a word is a run of non-separator bytes, and its hash is a polynomial over
-the bytes modulo 2**64, taken as a difference of prefix sums.
+word: a word is a run of non-separator bytes, and its hash is a sum of products of
+pseudo-random values of the bytes and of their places in the word, modulo 2**64
+(multilinear hashing; a polynomial has colliding words for every base).
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+_GAMMA = _U(0x9E3779B97F4A7C15)
 
 #: Bytes of text handled at once; arrays of 8 bytes per text byte are made from it.
 SLAB = 1 << 21
@@ -36,21 +36,6 @@ SPACE = _table([(9, 13), (32, 32)])
 #: Separators of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` (after lower-casing).
 NON_ALNUM = _table([(0, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
-_pow = np.ones(1, dtype=_U)
-_inv = np.ones(1, dtype=_U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse."""
-    global _pow, _inv
-    if len(_pow) < n:
-        m = 1 << max(n - 1, 1).bit_length()
-        a, b = np.full(m, _R, dtype=_U), np.full(m, _R_INV, dtype=_U)
-        a[0] = b[0] = 1
-        _pow, _inv = np.cumprod(a), np.cumprod(b)
-    return _pow[:n], _inv[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> _U(30))
@@ -61,6 +46,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTES = mix((np.arange(256, dtype=_U) + _U(1)) * _GAMMA)
+_places = np.zeros(0, dtype=_U)
+
+
+def places(n: int) -> np.ndarray:
+    """Values of the first n places of a word; odd, so that each byte counts in full."""
+    global _places
+    if len(_places) < n:
+        _places = mix((np.arange(1 << max(n - 1, 1).bit_length(), dtype=_U) + _U(257)) * _GAMMA) | _U(1)
+    return _places[:n]
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The named column as strings, nulls as empty strings."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -130,10 +127,12 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: bool = True
         begin[1:] &= ~own[:-1] | first[a + 1 : b]
         close[:-1] &= ~own[1:] | first[a + 1 : b]
         s, e = np.flatnonzero(begin), np.flatnonzero(close) + 1
-        p, inv = powers(len(d) + 1)
-        c = np.zeros(len(d) + 1, dtype=_U)
-        np.cumsum((d.astype(_U) + _U(1)) * p[:-1], out=c[1:])
-        hs.append(mix((c[e] - c[s]) * inv[s]))
+        size = e - s
+        end = np.cumsum(size)
+        at = np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size)
+        c = np.zeros(len(at) + 1, dtype=_U)
+        np.cumsum(_BYTES[d[own]] * places(int(size.max(initial=1)))[at], out=c[1:])
+        hs.append(mix(c[end] - c[end - size] + size.astype(_U) * _GAMMA))
         ss.append(s + a)
         es.append(e + a)
     if not hs:

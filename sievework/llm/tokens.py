@@ -2,8 +2,9 @@
 
 The tokenizer's pre-tokenizer drops white space and never joins text across it,
 so a text's ids are the ids of its space-separated chunks in order; a chunk is
-encoded once and its ids are kept (at most ``CACHE`` chunks, then afresh). The
-tests compare this with encoding whole texts.
+encoded once and its ids are kept (at most ``CACHE`` chunks and ``CACHE_BYTES``,
+then afresh). Kept chunks are found by their hash, and their bytes are compared
+before their ids are used. The tests compare this with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from . import textops
 
 #: Chunks whose ids are kept in a worker.
 CACHE = 1_500_000
+#: Bytes of chunks that are kept, about.
+CACHE_BYTES = 32_000_000
 
 DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 2
@@ -49,6 +52,7 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.raw, self.raw_at, self.raw_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, lengths, flat ids): the ids of chunks[order[0]], chunks[order[1]] and so on.
@@ -79,9 +83,9 @@ class ChunkEncoder:
             flat.append(np.fromiter((i for ids in got for i in ids), np.uint32))
         return np.array(order, dtype=np.int64), np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *flat])
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         """keys: sorted and unknown."""
-        order, size, ids = self._encode_chunks(chunks)
+        order, size, ids = self._encode_chunks([x.decode("utf-8", "replace") for x in chunks])
         need = self.used + len(ids)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, 2 * self.used) - self.used, np.uint32)])
@@ -91,6 +95,22 @@ class ChunkEncoder:
         self.used = need
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, sizes)
+        raw_size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw_at = len(self.raw) + np.cumsum(raw_size) - raw_size
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(chunks), np.uint8)])
+        self.raw_at, self.raw_size = np.insert(self.raw_at, where, raw_at), np.insert(self.raw_size, where, raw_size)
+
+    def _strange(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Words (by number) whose bytes aren't those of the kept chunk at pos: other words of the same hash."""
+        size = e - s
+        odd = size != self.raw_size[pos]
+        kept, same = np.where(odd, 0, self.raw_at[pos]), np.where(odd, 0, size)
+        end = np.cumsum(same)
+        step = np.arange(end[-1]) - np.repeat(end - same, same)
+        differs = data[np.repeat(s, same) + step] != self.raw[np.repeat(kept, same) + step]
+        if differs.any():
+            odd[np.searchsorted(end, np.flatnonzero(differs), side="right")] = True
+        return np.flatnonzero(odd)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) and n+1 offsets of the documents; each ends with ``end_id``."""
@@ -109,19 +129,27 @@ class ChunkEncoder:
             known[inside] = self.keys[pos[inside]] == keys[inside]
             if not known.all():
                 raw, lost = low.tobytes(), np.flatnonzero(~known)
-                if len(self.keys) + len(lost) > CACHE:
+                if len(self.keys) + len(lost) > CACHE or len(self.raw) > CACHE_BYTES:
                     self._clear()
                     lost = np.arange(len(keys))
                 where = zip(s[first[lost]].tolist(), e[first[lost]].tolist())
-                self._learn(keys[lost], [raw[a:b].decode("utf-8", "replace") for a, b in where])
+                self._learn(keys[lost], [raw[a:b] for a, b in where])
                 pos = np.searchsorted(self.keys, keys)
             size = self.size[pos][inv]
             begin = self.at[pos][inv]
+            pool = self.pool
+            odd = self._strange(low, s, e, pos[inv])
+            if len(odd):
+                raw = low.tobytes()
+                order, sizes, ids = self._encode_chunks([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[odd].tolist(), e[odd].tolist())])
+                size[odd[order]], begin[odd[order]] = sizes, self.used + np.cumsum(sizes) - sizes
+                pool = np.concatenate([pool[: self.used], ids])
         else:
             size = begin = np.zeros(0, np.int64)
+            pool = self.pool
         total = np.concatenate([[0], np.cumsum(size)])
         per_doc = total[at[1:]] - total[at[:-1]]
-        flat = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
+        flat = pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
         if end_id is None:
             return flat, np.concatenate([[0], np.cumsum(per_doc)])
         out_off = np.concatenate([[0], np.cumsum(per_doc + 1)]).astype(np.int64)

@@ -9,10 +9,13 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import chat, packing, queries, storage, textops, token_store, tokens, topk
 
-TEXTS = ["Hello, world.Foo bar's!", "", None, "a <|endoftext|> b.c,d <|ENDOFTEXT|>x", "it's don't.it", "é, € , €,x 12,3.4 ... a...b!!, Ünḯ İ x", "  \n\t ", "क़ख़ x ǅ Σς", "word " * 20_000, "Hello, world.Foo bar's!"]
+from .test_texts import thue_morse
+
+TEXTS = [*thue_morse(10), "Hello, world.Foo bar's!", "", None, "a <|endoftext|> b.c,d <|ENDOFTEXT|>x", "it's don't.it", "é, € , €,x 12,3.4 ... a...b!!, Ünḯ İ x", "  \n\t ", "क़ख़ x ǅ Σς", "word " * 20_000, "Hello, world.Foo bar's!"]
 
 
 @pytest.fixture(scope="module")
@@ -170,7 +173,7 @@ def test_chat_round_trip(spark):
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(formatted).collect()}
     assert got == brute_chat(rows)
     again = chat.parse(formatted).where("kind = 'again'").count()
-    assert again > 20
+    assert again > 5
     assert chat.digests(chat.windows(df.limit(0))).collect() == []
 
 
@@ -181,6 +184,22 @@ def test_chat_windows_keep_the_budget(spark):
         assert "system>be kind</turn>" in r["formatted"]
 
 
+def test_chat_history_is_bounded(spark):
+    sizes = random.Random(4).choices([5, 40, 90, 200, 1500], k=60)
+    turns = [(1, None, "user", "first of all"), (1, -300, "system", "s " * 400)] + [(1, t, "user", "w " * n) for t, n in enumerate(sizes)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    formatted = chat.windows(df)
+    read = chat.parse(formatted).withColumn("n", chat.turn_tokens(F.col("text"))).orderBy("window", "at").collect()
+    assert [(r["role"], r["text"]) for r in read if r["kind"] == "new"] == [(r, t) for _, _, r, t in turns]
+    history, system = defaultdict(int), defaultdict(int)
+    for r in read:
+        if r["kind"] == "again":
+            (system if r["role"] == "system" else history)[r["window"]] += r["n"]
+    assert history and max(history.values()) <= chat.HISTORY
+    assert system and max(system.values()) <= chat.SYSTEM and len(system) >= len({r["window"] for r in read}) - 1
+    assert {r["window"]: r["n_tokens"] for r in formatted.collect()} == {w: sum(r["n"] for r in read if r["window"] == w) for w in {r["window"] for r in read}}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.3, 6)]) for i in range(260)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sievework.llm import langid, quality, queries
+from sievework.llm import langid, quality, queries, textops
 
 SF = "/root/testdata/sf0.1"
 SMALL = "/root/testdata/sf0.001"
@@ -31,15 +34,53 @@ def test_one_class():
     assert (quality.score(m, np.array([1]), np.array([0, 1])) > 0.99).all()
 
 
+def test_dual_solution_is_the_optimum():
+    """Beside a plain projected-gradient solver of the same dual problem, and the gap to the primal one."""
+    rng = np.random.default_rng(2)
+    dense = rng.standard_normal((40, 12)) * (rng.random((40, 12)) < 0.5)
+    dense[:, 0] = 1
+    dense /= np.sqrt((dense**2).sum(axis=1))[:, None]
+    sign = np.where(dense @ rng.standard_normal(12) + 0.3 * rng.standard_normal(40) > 0, 1.0, -1.0)
+    cost = np.where(sign > 0, 2.0, 3.0)
+    doc, idx = np.nonzero(dense)
+    at = np.searchsorted(doc, np.arange(41))
+    w, bias, alpha = quality.dual(idx, dense[doc, idx], at, sign, cost, 12, epochs=3000)
+
+    z = np.hstack([dense, np.ones((40, 1))]) * sign[:, None]
+    gram, plain = z @ z.T, np.zeros(40)
+    rate = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        plain = np.clip(plain - rate * (gram @ plain - 1), 0, cost)
+    assert np.allclose(np.append(w, bias), z.T @ plain, atol=1e-3)
+    assert np.allclose(np.append(w, bias), z.T @ alpha)
+    primal = 0.5 * (w @ w + bias**2) + (cost * np.maximum(0, 1 - z @ np.append(w, bias))).sum()
+    assert abs(primal - (alpha.sum() - 0.5 * alpha @ gram @ alpha)) < 1e-3 * primal
+
+
+def test_quality_query_beside_a_plain_version(spark):
+    """Every document's score, from features and sums made one by one."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op5_quality(spark, SMALL).collect()}
+    for r in docs.collect():
+        idx, at = quality.features(*textops.byte_view(pa.array([r["text"] or ""])))
+        weight = sum(float(model["w"][i]) for i in idx.tolist()) / (sum(float(model["r2"][i]) for i in idx.tolist()) ** 0.5 + 1e-9)
+        want = 1 / (1 + np.exp(-(model["a"] * (weight + model["bias"]) + model["b"])))
+        out = got[r["doc_id"]]
+        assert abs(out["score"] - want) < 1e-4 and out["predicted"] == int(out["score"] >= 0.5)
+        assert out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_language_of_held_out_documents(spark):
     out = queries.op6_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.97
 
 
 def test_language_edge_cases(spark):
-    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the of and " * 30, "en"), ("le la des " * 30, "fr"), (None, "en"), ("", None), ("12 34 !?", "fr"), ("é", None), ("the " * 50_000, "en")])], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t, x, "own") for i, (t, x) in enumerate([("the of and " * 30, "en"), ("le la des " * 30, "fr"), (None, "en"), ("", None), ("12 34 !?", "fr"), ("é", None), ("the " * 50_000, "en")])], "doc_id long, text string, lang string, has_letter string")
     net = langid.train(docs, F.lit(True))
     out = {r["doc_id"]: r for r in langid.predict(docs, net).collect()}
+    assert all(r["has_letter"] == "own" for r in out.values())
     assert [out[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and all(out[i]["score"] == 0 for i in (2, 3, 4))
     assert out[0]["lang_pred"] == "en" and out[1]["lang_pred"] == "fr" and out[6]["lang_pred"] == "en" and out[5]["lang_pred"] in ("en", "fr")
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(docs, F.lit(False))).collect()} == {"und"}

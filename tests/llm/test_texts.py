@@ -314,3 +314,25 @@ def test_item_digests(spark):
     r = {x["doc_id"]: x for x in queries.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     clean = next(x for x in r.values() if not x["contaminated"])
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest() and any(x["contaminated"] for x in r.values())
+
+
+def thue_morse(k):
+    """Two words of 2**k letters that collide under every polynomial hash modulo 2**64, for k of 10 or more."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", [10, 12, 16])
+def test_words_that_defeat_polynomials(spark, k):
+    a, b = thue_morse(k)
+    data, off = textops.byte_view(pa.array([f"{a} {b}", b]))
+    h, *_ = textops.words(data, off, textops.SPACE)
+    assert h[0] != h[1] and h[1] == h[2]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_classes(docs, 4, Fraction(85, 100)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([("i", b)], "item_id string, text string")
+    marked = decontaminate.mark(docs, items).collect()
+    assert {r["doc_id"]: list(r["items"]) for r in marked} == {1: [], 2: ["i"], 3: []}
