@@ -8,8 +8,9 @@ their first n - ceil(t n) + 1 tokens. The documents of a token's cell take the
 cell's smallest hash as pivot, and a pivot's region is the union of its cells; a
 linked pair meets in one region at least. Inside a region, sub-pivots create
 Voronoi cells, documents within the triangle-inequality window of another cell
-are replicated to it, and cells join recursively; cells that no longer shrink
-are joined by exact intersection counts. Regions beyond ``REGION`` documents are
+are replicated to it, documents far from all sub-pivots make a cell of their own,
+and cells join recursively; cells that no longer shrink are joined by exact
+intersection counts. Regions beyond ``REGION`` documents are
 joined as pairs of blocks in separate tasks. A first round over regions looks
 only at bucketed shingle counts, whose L1 distance never exceeds the symmetric
 difference, and leaves out documents without possible partner.
@@ -38,8 +39,10 @@ _SKETCH_BITS, _SKETCH_ROWS = 18, 64
 _SIG_BITS, _SIG_MOST, _SIG_ITEMS = 6, 13, 8
 #: Documents of a region in one task; larger ones are cut into blocks of half that size.
 REGION = 1500
-#: Below this a Voronoi cell is joined directly.
-_CELL, _PIVOTS = 192, 6
+#: Documents of a cell that has no more cells; sub-pivots at most; distance from all of them beyond which a document is in no cell of theirs.
+_CELL, _PIVOTS, _FAR = 3, 6, 0.5
+#: Share of its documents that a cell of a larger one may hold; up to _PEEL documents, one less is enough.
+_SHRINK, _PEEL = 0.7, 16
 #: Keys of texts to compare that are still sent to every task; more are joined by shuffling.
 SENT = 500_000
 
@@ -238,16 +241,26 @@ class RegionJoin:
         self.t, self.eps = t, 1 - t
         self.block, self.across = block, across
         self.forest, self.edges = _Forest(len(items)), []
+        #: Rows that windows added, and levels of cells within cells.
+        self.replicas = self.deepest = 0
 
     def _linked(self, inter, a, b):
         union = self.size[a] + self.size[b] - inter
         return self.t.denominator * inter >= self.t.numerator * union
 
-    def distances(self, pivot: int, own: np.ndarray) -> np.ndarray:
-        mark = np.zeros(self.tok.max() + 1, dtype=bool)
-        mark[self.tok[self.at[pivot] : self.at[pivot + 1]]] = True
-        inter = np.array([np.count_nonzero(mark[self.tok[self.at[d] : self.at[d + 1]]]) for d in own])
-        return 1 - inter / (self.size[own] + self.size[pivot] - inter)
+    def distances(self, pivots: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard distances and intersections of each pivot and each of own."""
+        size = self.size[own]
+        begin = np.cumsum(size) - size
+        flat = self.tok[np.repeat(self.at[own] - begin, size) + np.arange(size.sum())]
+        inter = np.zeros((len(pivots), len(own)), dtype=np.int64)
+        mark = np.zeros(self.tok.max() + 1, dtype=np.int64)
+        for k, p in enumerate(pivots):
+            items = self.tok[self.at[p] : self.at[p + 1]]
+            mark[items] = 1
+            inter[k] = np.add.reduceat(mark[flat], begin)
+            mark[items] = 0
+        return 1 - inter / (size[None, :] + self.size[pivots][:, None] - inter), inter
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         if self.across:
@@ -290,18 +303,29 @@ class RegionJoin:
         self._add(own[a[good]], own[b[good]])
 
     def join(self, own: np.ndarray, depth: int = 0) -> None:
-        if len(own) <= _CELL or depth > 8:
+        """Links of own by cells of sub-pivots.
+
+        Let near(x) be x's distance from its nearest sub-pivot p. If near(x) is at
+        most _FAR, all y within eps of x have d(y, p) <= _FAR + eps and
+        d(y, p) <= near(y) + 2 eps; so both are in p's cell. Pairs of documents that
+        are farther from all sub-pivots meet in the cell of these.
+        """
+        if len(own) <= _CELL:
             return self.direct(own)
-        pivots = own[np.linspace(0, len(own) - 1, _PIVOTS).astype(int)]
-        d = np.stack([self.distances(p, own) for p in pivots])
+        pivots = own[np.unique(np.linspace(0, len(own) - 1, min(_PIVOTS, max(2, len(own) // 4))).astype(int))]
+        d, inter = self.distances(pivots, own)
+        eps, near = float(self.eps), d.min(axis=0)
         for k, p in enumerate(pivots):  # a link with a pivot is known at once
-            near = own[self._linked(np.rint((1 - d[k]) * (self.size[own] + self.size[p]) / (2 - d[k])).astype(np.int64), own, np.full(len(own), p)) & (own != p)]
-            self._add(near, np.full(len(near), p))
-        inside = d <= d.min(axis=0) + 2 * float(self.eps) + 1e-9
-        if inside.sum(axis=1).max() > 0.7 * len(own):
+            linked = own[self._linked(inter[k], own, np.full(len(own), p)) & (own != p)]
+            self._add(linked, np.full(len(linked), p))
+        cells = [own[c] for c in (*(d <= np.minimum(near + 2 * eps, _FAR + eps) + 1e-9), near > _FAR)]
+        largest = max(map(len, cells))
+        if largest > max(_SHRINK * len(own), min(len(own) - 1, _PEEL)):
             return self.direct(own)
-        for k in range(len(pivots)):
-            self.join(own[inside[k]], depth + 1)
+        self.replicas += sum(map(len, cells)) - len(own)
+        self.deepest = max(self.deepest, depth + 1)
+        for cell in cells:
+            self.join(cell, depth + 1)
 
 
 def _links(t: Fraction):

@@ -86,6 +86,7 @@ def test_voronoi_regions_join_exactly():
     t = Fraction(7, 10)
     join = jaccard_join.RegionJoin(sets, t, np.zeros(len(sets)), False)
     join.join(np.arange(len(sets)))
+    assert join.deepest >= 1 and join.edges, "the region was not cut into cells"
     up = list(range(len(sets)))
 
     def root(x):
@@ -102,6 +103,29 @@ def test_voronoi_regions_join_exactly():
     assert [join.forest.root(i) for i in range(len(sets))] == [root(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("count", [4, 7, 15, 60])
+def test_small_regions_pass_through_cells(count):
+    """Two families of near copies, and strangers: their links come from cells within cells."""
+    rng = random.Random(count)
+    families = [[rng.randrange(10**9) for _ in range(200)] for _ in range(2)]
+    sets = []
+    for i in range(count):
+        items = list(families[i % 3]) if i % 3 < 2 else [rng.randrange(10**9) for _ in range(50)]
+        for _ in range(rng.randrange(12)):
+            items[rng.randrange(len(items))] = rng.randrange(10**9)
+        sets.append(np.unique(np.array(items, dtype=np.uint64)))
+    t = Fraction(85, 100)
+    join = jaccard_join.RegionJoin(sets, t, np.zeros(count), False)
+    join.join(np.arange(count))
+    assert join.deepest >= 1
+    plain, up = [set(x.tolist()) for x in sets], jaccard_join._Forest(count)
+    for a in range(count):
+        for b in range(a):
+            if len(plain[a] & plain[b]) >= t * len(plain[a] | plain[b]):
+                up.link(a, b)
+    assert [join.forest.root(i) for i in range(count)] == [up.root(i) for i in range(count)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
