@@ -146,19 +146,19 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.get(F.transform(core, lambda v: banded_distance(v["a"], v["b"], threshold)), F.lit(0)) <= threshold
 
 
-def edited(layer: DataFrame) -> DataFrame:
+def edited(layer: DataFrame, most_used: int) -> DataFrame:
     """The strings that one edit makes of ``text`` where it leaves ``pivot`` (behind ``p`` characters) and that agree with the pivot there."""
     text, p = F.col("text"), F.col("p")
     head, here = F.substring(F.col("pivot"), F.lit(1), p), F.substring(F.col("pivot"), p + 1, F.lit(1))
     tail = lambda n: F.substring(text, p + 1 + n, F.length(text))
     inside, more = p < F.length("text"), p < F.length("pivot")
     made = F.array(F.when(inside & more, F.concat(head, here, tail(1))), F.when(inside, F.concat(head, tail(1))), F.when(more, F.concat(head, here, tail(0))))
-    return led(layer.withColumn("used", F.col("used") + 2).withColumn("text", F.explode(made)).where("text is not null"))
+    return led(layer.withColumn("used", F.col("used") + 2).withColumn("text", F.explode(made)).where("text is not null"), most_used)
 
 
-def led(layer: DataFrame) -> DataFrame:
-    """With p, the number of characters for which ``text`` and ``pivot`` agree."""
-    return layer.withColumn("p", common_prefix(F.col("text"), F.col("pivot"), F.least(F.length("text"), F.length("pivot"))))
+def led(layer: DataFrame, most_used: int) -> DataFrame:
+    """With p, the number of characters for which ``text`` and ``pivot`` agree, where another edit is left."""
+    return layer.withColumn("p", F.when(F.col("used") + 2 <= most_used, common_prefix(F.col("text"), F.col("pivot"), F.least(F.length("text"), F.length("pivot")))))
 
 
 def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
@@ -168,9 +168,10 @@ def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
     the first edit can be made where they part. Let p(x) tell for how long x agrees
     with the group's pivot. If p(x) < p(y), they part where x leaves the pivot, and
     there the edit of x is known from the pivot: ``edited`` makes it. If p is equal
-    and the next character too, they are in a smaller group with a pivot of its own;
-    if only p is equal, what follows, with and without that character, makes a group
-    with an edit less. So lines within the threshold meet as equal strings, of which
+    and the next character too, they are in a smaller group with a pivot of its own.
+    If only p is equal, strings with other next characters than the most frequent one
+    are edited towards that and join its group; among themselves, what follows, with
+    and without the next character, makes a group with an edit less. So lines within the threshold meet as equal strings, of which
     the earliest is enough for all others. ``used`` counts half edits: what both
     strings of a pair have used is what the pair has.
     """
@@ -181,17 +182,17 @@ def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
             F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most"), F.min("used").alias("low"), F.min_by("text", F.xxhash64("g", "text")).alias("pivot")
         )
         size = size.where(F.expr(f"least <> most and 2 * low + 2 <= {most_used}")).select("g", "n", "low", "pivot")
-        live = storage.stored(led(now.join(size, "g").where(F.col("used") + F.col("low") + 2 <= most_used).drop("low")), "line-live")
+        live = storage.stored(led(now.join(size, "g").where(F.col("used") + F.col("low") + 2 <= most_used).drop("low"), most_used), "line-live")
         storage.dropped(spark, now)
         if not live.head(1):
             storage.dropped(spark, live)
             return found
         few, hot = live.where(F.col("n") <= FEW), live.where(F.col("n") > FEW)
         side = few.select("g", F.col("h1").alias("b"), F.col("used").alias("also"))
-        met = few.select("g", F.col("h1").alias("a"), "used").join(side, "g").where((F.col("a") < F.col("b")) & (F.col("used") + F.col("also") + 2 <= most_used)).select("a", "b")
+        met = few.select("g", F.col("h1").alias("a"), "used").join(side, "g").where((F.col("a") < F.col("b")) & (F.col("used") + F.col("also") <= most_used)).select("a", "b")
         layers = [hot]
         for _ in range(threshold):
-            layers.append(edited(layers[-1].where(F.col("used") + 2 <= most_used)))
+            layers.append(edited(layers[-1].where(F.col("used") + 2 <= most_used), most_used))
         every = layers[0]
         for layer in layers[1:]:
             every = every.union(layer)
@@ -199,18 +200,26 @@ def pairs_of_groups(members: DataFrame, threshold: int) -> list[DataFrame]:
         text, p = F.col("text"), F.col("p")
         apart = every.where(F.col("parts") & (F.col("used") + 2 <= most_used))
         after = F.substring(text, p + 1, F.lit(1))
-        forks = apart.groupBy("g", "p").agg(F.min(after).alias("low"), F.max(after).alias("high")).where("low <> high").select("g", "p")
-        behind = F.array(F.substring(text, p + 1, F.length(text)), F.when(p < F.length(text), F.substring(text, p + 2, F.length(text))))
-        loose = apart.join(forks, ["g", "p"]).select(F.xxhash64("g", "p", F.lit("*")).alias("g"), "h1", "loc", (F.col("used") + 1).alias("used"), F.explode(behind).alias("text")).where("text is not null")
-        equal = every.select("g", "h1", "loc", "used", "text").union(loose).select(F.xxhash64("g", "text").alias("e"), F.xxhash64(F.lit(1), "g", "text").alias("e2"), "h1", "loc", "used")
+        child = F.xxhash64("g", "p", after).alias("g")
+        usual = apart.groupBy("g", "p", after.alias("next")).agg(F.count("*").alias("n")).groupBy("g", "p").agg(F.max_by("next", F.struct("n", "next")).alias("usual"), F.count("*").alias("ways")).where("ways > 1")
+        forked = apart.join(usual.drop("ways"), ["g", "p"])
+        other, tail = forked.where(after != F.col("usual")), F.substring(text, p + 2, F.length(text))
+        behind = F.array(F.substring(text, p + 1, F.length(text)), F.when(p < F.length(text), tail))
+        loose = other.select(F.xxhash64("g", "p", F.lit("*")).alias("g"), "h1", "loc", (F.col("used") + 1).alias("used"), F.explode(behind).alias("text")).where("text is not null")
+        head, here = F.substring(text, F.lit(1), p), F.col("usual")
+        towards = F.array(F.concat(head, here, tail), F.concat(head, tail), F.concat(head, here, F.substring(text, p + 1, F.length(text))))
+        moved = other.select(F.xxhash64("g", "p", "usual").alias("g"), "h1", "loc", (F.col("used") + 2).alias("used"), F.explode(F.array_distinct(towards)).alias("text"))
+        met_there = forked.where(after == F.col("usual")).select(child, "h1", "loc", "used", "text")
+        equal = every.select("g", "h1", "loc", "used", "text").union(loose).union(moved).union(met_there)
+        equal = equal.select(F.xxhash64("g", "text").alias("e"), F.xxhash64(F.lit(1), "g", "text").alias("e2"), "h1", "loc", "used")
         equal = storage.stored(equal, "line-equal")
         first = [F.min(F.when(F.col("used") <= most_used - u, F.struct("loc", "h1"))).alias(f"first{u}") for u in range(most_used + 1)]
         best = equal.groupBy("e", "e2").agg(*first, F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most")
         one = F.coalesce(*[F.when(F.col("used") == u, F.col(f"first{u}")["h1"]) for u in range(most_used + 1)])
         met_equal = equal.join(best, ["e", "e2"]).select(F.col("h1").alias("a"), one.alias("b")).where("a <> b").distinct()
         found.append(storage.stored(met.union(met_equal), "line-pairs"))
-        same = apart.select(F.xxhash64("g", "p", after).alias("g"), "h1", "loc", "used", "text")
-        now = storage.stored(same.union(loose.where(F.col("used") + 3 <= most_used)), "line-group")
+        same = apart.select(child, "h1", "loc", "used", "text")
+        now = storage.stored(same.union(loose.where(F.col("used") + 3 <= most_used)).union(moved.where(F.col("used") + 2 <= most_used)), "line-group")
         storage.dropped(spark, live, every, equal)
 
 
