@@ -38,7 +38,7 @@ THRESHOLD, MIN_CHARS = 2, 32
 #: Hashes of lines or keys that are still sent to every task; more are joined by shuffling.
 SENT = 500_000
 #: Lines of a key that are compared with each other; larger groups meet by their edits of a pivot.
-FEW = 8
+FEW = 16
 _LOC = ["doc_id", "tkey", "pos"]
 
 
@@ -239,16 +239,17 @@ def similar_lines(firsts: DataFrame, docs: DataFrame, threshold: int) -> DataFra
     entries = firsts.select("h1", F.posexplode("keys").alias("role", "key"))
     grouped = entries.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("role") <= threshold).cast("int")).alias("indexed"), F.min("h1").alias("a"), F.max("h1").alias("b"))
     groups = storage.stored(grouped.where("n > 1 and indexed = 1 and a <> b").select("key", "n", "a", "b"), "line-groups")
-    wide = groups.where("n > 2").select("key", "n")
+    wide = groups.where("n > 2").select("key", "n", "a")
     few = wide.count() <= SENT
-    members = storage.stored(entries.join(F.broadcast(wide) if few else wide, "key").select("key", "n", "h1", (F.col("role") <= threshold).alias("indexed")), "line-members")
+    members = storage.stored(entries.join(F.broadcast(wide) if few else wide, "key").select("key", "n", "a", "h1", (F.col("role") <= threshold).alias("indexed")), "line-members")
     ids = storage.stored(groups.where("n = 2").select(F.explode(F.array("a", "b")).alias("h1")).union(members.select("h1")).distinct(), "line-ids")
     small = ids.count() <= SENT
     found = lines_of(docs).join(F.broadcast(ids) if small else ids, "h1", "left_semi")
     texts = storage.stored(found.groupBy("h1", "h2").agg(F.min(F.struct(*_LOC)).alias("loc"), F.first("line").alias("line"), F.first("chars").alias("chars")), "line-texts")
     side = members.where(F.col("n") <= FEW).select("key", F.col("h1").alias("b"), F.col("indexed").alias("also"))
     met = members.where(F.col("n") <= FEW).select("key", F.col("h1").alias("a"), "indexed").join(side, "key").where("a < b and (indexed or also)").select("a", "b")
-    hot = members.where(F.col("n") > FEW).select(F.col("key").alias("g"), "h1").distinct().join(texts.select("h1", "loc", F.col("line").alias("text")), "h1")
+    # groups with the same least line are mostly those of one line's segments: they are one group from here on
+    hot = members.where(F.col("n") > FEW).select(F.col("a").alias("g"), "h1").distinct().join(texts.select("h1", "loc", F.col("line").alias("text")), "h1")
     more = pairs_of_groups(hot.select("g", "h1", "loc", F.lit(0).alias("used"), "text"), threshold)
     pairs = groups.where("n = 2").select("a", "b").union(met)
     for part in more:
