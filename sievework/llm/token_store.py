@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from . import storage, textops, tokens
 _MAGIC = b"SWTK0001"
 _NULL_KEY = np.uint64(0x5BD1E9955BD1E995)
 _SALT = np.uint64(0xA0761D6478BD642F)
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 64_000_000
 #: Keys a bucket on average, seeds tried at once.
 _BUCKET, _TRIES = 4, 64
 
@@ -178,6 +181,9 @@ class TokenStore:
             r["start"] = at
             at += r["n_tokens"]
         self._open: dict[str, ShardIndex] = {}
+        # ranges of ids are in the order of the shards; equal ids are in one shard
+        self._ranged = [r for r in self.shards if r["last_id"] is not None]
+        self._ends = [r["last_id"] for r in self._ranged]
 
     def _index(self, file: str) -> ShardIndex:
         if file not in self._open:
@@ -190,10 +196,12 @@ class TokenStore:
         """The ids of every document with that key; empty if there is none."""
         found = []
         fs, folder = storage.arrow_fs(self.uri)
-        for r in self.shards:
-            inside = r["nulls"] > 0 if doc_id is None else r["first_id"] is not None and r["first_id"] <= doc_id <= r["last_id"]
-            if not inside:
-                continue
+        if doc_id is None:
+            shards = [r for r in self.shards if r["nulls"] > 0]
+        else:
+            at = bisect_left(self._ends, doc_id)
+            shards = self._ranged[at : at + 1]
+        for r in shards:
             index = self._index(r["file"])
             first, run = index.find(np.array([doc_id or 0], np.int64), np.array([doc_id is None]))
             with fs.open_input_file(f"{folder}/{r['file']}.ids") as f:
@@ -210,11 +218,13 @@ def write_store(docs: DataFrame, uri: str, tokenizer: str | None = None, id_col:
     the files of the tasks that counted.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     path = tokenizer or tokens.tokenizer_path()
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
+        .repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(_shard_writer(uri, path, "doc_id", "text", end_id), _SHARD)
         .collect()
@@ -239,9 +249,12 @@ def read_digests(spark: SparkSession, store: TokenStore) -> DataFrame:
                 with fs.open_input_file(f"{folder}/{r['file']}.idx") as f:
                     index = ShardIndex.from_bytes(f.read())
                 n, off, width = len(index.ids), index.offsets, r["width"]
-                first, run = index.find(index.ids, index.null)
-                place = np.arange(n)
-                if not ((first <= place) & (place < first + run)).all():
+                new = np.ones(n, bool)
+                new[1:] = (index.ids[1:] != index.ids[:-1]) | (index.null[1:] != index.null[:-1])
+                first, run = index.find(index.ids[new], index.null[new])
+                # the documents that the look-up of each key names, and where their ids are
+                doc = np.repeat(first - (np.cumsum(run) - run), run) + np.arange(run.sum())
+                if (first < 0).any() or len(doc) != n:
                     raise ValueError(f"the index of {r['file']} misses keys that it holds")
                 crc = np.zeros(n, np.int64)
                 with fs.open_input_file(f"{folder}/{r['file']}.ids") as f:
@@ -253,7 +266,7 @@ def read_digests(spark: SparkSession, store: TokenStore) -> DataFrame:
                             crc[d] = zlib.crc32(ids[off[d] - off[at] : off[d + 1] - off[at]].tobytes())
                         at = end
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(index.ids, mask=index.null), pa.array(r["start"] + off[:-1]), pa.array(np.diff(off)), pa.array(crc)],
+                    [pa.array(np.repeat(index.ids[new], run), mask=np.repeat(index.null[new], run)), pa.array(r["start"] + off[doc]), pa.array(off[doc + 1] - off[doc]), pa.array(crc[doc])],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
