@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
         spark.sparkContext.setCheckpointDir(found)
     return re.sub(r"^file:/(?!/)", "file:///", found).rstrip("/")
