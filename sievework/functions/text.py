@@ -63,8 +63,12 @@ def ngram_count(text: Column, n: int) -> Column:
 
 
 def md5_bits(value: Column, digits: int = 15) -> Column:
-    """The first hexadecimal digits of the MD5 as a number (60 bits), the same in other engines."""
-    return F.conv(F.substring(F.md5(value.cast("binary")), 1, digits), 16, 10).cast("long")
+    """The first hexadecimal digits of the MD5 as a number, the same in other engines; of 16 digits as a signed one."""
+    head = F.substring(F.md5(value.cast("binary")), 1, digits)
+    if digits < 16:
+        return F.conv(head, 16, 10).cast("long")
+    low = F.conv(F.substring(head, 2, 15), 16, 10).cast("long")
+    return F.shiftleft(F.conv(F.substring(head, 1, 1), 16, 10).cast("long"), 60).bitwiseOR(low)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -16,11 +16,11 @@ def _total(counts: Column) -> Column:
     return F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
 
 
-def external(df: DataFrame, text: str, labels: Column, fine_status: Column, year: Column, privacy=rules.ZH_PRIVACY, leakage=rules.ZH_SENTENCE_LEAKAGE, boundary: str | None = rules.ZH_BOUNDARY) -> dict[str, DataFrame]:
-    """Counters, year and fine histograms, duplicates and length percentiles of an external data set."""
+def external(df: DataFrame, text: str, labels: Column, fine_status: Column, year: Column, privacy=rules.ZH_PRIVACY, leakage=rules.ZH_SENTENCE_LEAKAGE, boundary: str | None = rules.ZH_BOUNDARY, groups: list[str] = ()) -> dict[str, DataFrame]:
+    """Counters, year and fine histograms, duplicates and length percentiles of an external data set, or of each of its groups."""
     t = F.col(text)
-    row = df.select(F.length(t).alias("n"), F.size(labels).alias("labels"), _total(redaction_counts(t, privacy)).alias("private"), _total(leakage_hits(t, leakage, boundary)).alias("leaks"), (F.coalesce(F.trim(t), F.lit("")) == "").alias("empty"))
-    counters = row.agg(
+    row = df.select(*groups, F.length(t).alias("n"), F.size(labels).alias("labels"), _total(redaction_counts(t, privacy)).alias("private"), _total(leakage_hits(t, leakage, boundary)).alias("leaks"), (F.coalesce(F.trim(t), F.lit("")) == "").alias("empty"))
+    counters = row.groupBy(*groups).agg(
         F.count("*").alias("rows"),
         F.count_if("empty").alias("empty_texts"),
         F.count_if(F.col("labels") > 1).alias("multi_label"),
@@ -32,10 +32,10 @@ def external(df: DataFrame, text: str, labels: Column, fine_status: Column, year
     )
     return {
         "counters": counters,
-        "years": df.groupBy(year.alias("year")).agg(F.count("*").alias("n")),
-        "fines": df.groupBy(fine_status.alias("status")).agg(F.count("*").alias("n")),
-        "duplicates": duplicate_count(df, F.sha2(t, 256)),
-        "lengths": floor_percentiles(row, [], "n", [0.5, 0.9, 0.95, 0.99]),
+        "years": df.groupBy(*groups, year.alias("year")).agg(F.count("*").alias("n")),
+        "fines": df.groupBy(*groups, fine_status.alias("status")).agg(F.count("*").alias("n")),
+        "duplicates": duplicate_count(df, F.sha2(t, 256), list(groups)),
+        "lengths": floor_percentiles(row, list(groups), "n", [0.5, 0.9, 0.95, 0.99]),
     }
 
 

@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import character_ngrams, hamming, md5_bits
 
-BITS = 60
+BITS = 64
+#: Blocks that a key of near_pairs() joins on, besides those that may differ.
+SHARED = 3
 
 
 def simhash(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
     """key, simhash: bit b is set if the votes of all n-gram occurrences for it are not negative.
 
-    Equal grams of a text are counted before they vote. Hashes are 60 bits of
-    MD5, which every engine has. Texts without grams are left out.
+    Equal grams of a text are counted before they vote. Hashes are the first 64
+    bits of MD5, which every engine has; bit 63 is the sign of the number. Texts
+    without grams are left out.
     """
     grams = df.select(key, F.explode(character_ngrams(text, n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    hashed = grams.select(key, "n", md5_bits(F.col("gram")).alias("h"))
+    hashed = grams.select(key, "n", md5_bits(F.col("gram"), BITS // 4).alias("h"))
     votes = hashed.groupBy(key).agg(*[F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{b}") for b in range(BITS)])
     value = F.lit(0).cast("long")
     for b in range(BITS):
-        value = value + F.when(F.col(f"v{b}") >= 0, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
+        value = value.bitwiseOR(F.when(F.col(f"v{b}") >= 0, F.lit((1 << b) - (1 << BITS if b == BITS - 1 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
     return votes.select(key, value.alias("simhash"))
 
 
 def near_pairs(hashes: DataFrame, key: str, distance: int = 3) -> DataFrame:
     """(a, b, distance) of equal or near hashes, a < b.
 
-    One of distance + 1 bands is equal in any such pair. Documents with the same
-    hash are one node, paired only with the first of them, so a group of n
-    copies gives n - 1 rows instead of all its pairs.
+    Of distance + SHARED blocks of the hash, SHARED are equal in any such pair, so
+    there is a key for each choice of them: for a distance of 3 twenty keys of 30
+    bits or more, which few unrelated hashes share. Documents with the same hash
+    are one node, paired only with the first of them, so a group of n copies gives
+    n - 1 rows instead of all its pairs.
     """
-    bands = distance + 1
-    width = BITS // bands
+    blocks = distance + SHARED
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    chosen = [sum(c) for c in combinations(masks, SHARED)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     nodes = hashes.groupBy("simhash").agg(F.min(key).alias("first"))
-    banded = nodes.select("simhash", F.col("first"), F.posexplode(F.array(*[F.shiftrightunsigned(F.col("simhash"), width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands)])).alias("band", "value"))
+    banded = nodes.select("simhash", F.col("first"), F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.simhash") < F.col("b.simhash")))
     far = hamming(F.col("a.simhash"), F.col("b.simhash"))

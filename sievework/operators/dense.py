@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to every task at once.
-BLOCK = 512
+#: Queries that are multiplied at once, and the bytes of queries that one pass over the vectors takes.
+BLOCK, PASS_BYTES = 512, 64 << 20
 _EPS = 1.1920929e-07  # of 32-bit floats
 
 
@@ -21,49 +21,88 @@ def normalized(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / F.greatest(norm, F.lit(_EPS)))
 
 
-def _block_topk(ids: np.ndarray, vectors: np.ndarray, gates: np.ndarray | None, k: int):
+def _gated(doc: pd.Series, asked: list) -> np.ndarray:
+    """Whether a document's gate values and a query's have one in common."""
+    held: dict[str, list[int]] = {}
+    for q, values in enumerate(asked):
+        for v in values if values is not None else ():
+            held.setdefault(v, []).append(q)
+    out = np.zeros((len(doc), len(asked)), bool)
+    for d, values in enumerate(doc):
+        for v in values if values is not None else ():
+            out[d, held.get(v, [])] = True
+    return out
+
+
+def _topk(blocks, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if frame.empty:
-                continue
-            doc = frame["doc"].to_numpy()
-            score = np.round(np.stack(frame["v"].to_numpy()) @ vectors.T, 9)
-            score[doc[:, None] == ids[None, :]] = -np.inf
-            if gates is not None:
-                score[frame["gate"].to_numpy()[:, None] != gates[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(doc[:, None], score.shape), -score), axis=0)[:k]
-            q = np.broadcast_to(np.arange(len(ids)), order.shape)
-            s = score[order, q]
-            ok = np.isfinite(s)
-            yield pd.DataFrame({"query": ids[q[ok]], "doc": doc[order[ok]], "score": s[ok]})
+            size = frame["v"].map(len)
+            for ids, vectors, gates in blocks.value:
+                part = frame[size == vectors.shape[1]]
+                if part.empty:
+                    continue
+                doc = part["doc"].to_numpy()
+                score = np.round(np.stack(part["v"].to_numpy()) @ vectors.T, 9)
+                score[doc[:, None] == ids[None, :]] = -np.inf
+                if gates is not None:
+                    score[~_gated(part["gate"], gates)] = -np.inf
+                order = np.lexsort((np.broadcast_to(doc[:, None], score.shape), -score), axis=0)[:k]
+                q = np.broadcast_to(np.arange(len(ids)), order.shape)
+                s = score[order, q]
+                ok = np.isfinite(s)
+                yield pd.DataFrame({"query": ids[q[ok]], "doc": doc[order[ok]], "score": s[ok]})
 
     return run
 
 
+def _gate_values(df: DataFrame, gate: str):
+    """A gate as a list of texts: a list has one for each of its values, null and null values none."""
+    listed = F.col(gate) if df.schema[gate].dataType.typeName() == "array" else F.array(gate)
+    return F.array_compact(F.transform(listed, lambda x: x.cast("string")))
+
+
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, gate: str | None = None) -> DataFrame:
-    """query, doc, score, rank of the k nearest other vectors; with ``gate`` of those of the same value.
+    """query, doc, score, rank of the k nearest other vectors; with ``gate`` of those that share a value of it.
 
-    A block of queries is multiplied with every batch of vectors; a batch keeps
-    its best k, so the shuffle carries k rows a batch and query.
+    Gates are values of any type, or lists of them. Vectors of another length than
+    the query's, null ones, and those with components that are null or not finite
+    take no part. Blocks of queries are multiplied with every batch of vectors; a
+    batch keeps its best k, so the shuffle carries k rows a batch and query. A pass
+    takes as many queries as ``PASS_BYTES`` hold.
     """
-    columns = [F.col(key).cast("long").alias("doc"), normalized(F.col(vector)).alias("v"), *([F.col(gate).cast("long").alias("gate")] if gate else [])]
-    every = vectors.where(F.col(vector).isNotNull()).select(*columns)
-    found, held = None, []
+
+    def prepared(df: DataFrame) -> DataFrame:
+        bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+        return df.where(F.col(vector).isNotNull() & ~bad).select(F.col(key).cast("long").alias("doc"), normalized(F.col(vector)).alias("v"), *([_gate_values(df, gate).alias("gate")] if gate else []))
+
+    spark = vectors.sparkSession
+    every = prepared(vectors)
+    found, blocks, held, used = None, [], {}, 0
+
+    def close(n: int) -> None:
+        rows = held.pop(n)
+        blocks.append((np.array([r["doc"] for r in rows]), np.array([r["v"] for r in rows]).reshape(len(rows), n), [r["gate"] for r in rows] if gate else None))
 
     def flush() -> None:
-        nonlocal found, held
-        ids = np.array([r["doc"] for r in held])
-        part = every.mapInPandas(_block_topk(ids, np.array([r["v"] for r in held]), np.array([r["gate"] for r in held]) if gate else None, k), "query long, doc long, score double")
+        nonlocal found, blocks, used
+        for n in list(held):
+            close(n)
+        part = every.mapInPandas(_topk(spark.sparkContext.broadcast(blocks), k), "query long, doc long, score double")
         found = part if found is None else found.union(part)
-        held = []
+        blocks, used = [], 0
 
-    for r in queries.where(F.col(vector).isNotNull()).select(*columns).toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
+    for r in prepared(queries).toLocalIterator():
+        n = len(r["v"])
+        held.setdefault(n, []).append(r)
+        used += 8 * n + 64
+        if len(held[n]) == BLOCK:
+            close(n)
+        if used > PASS_BYTES:
             flush()
-    if held:
+    if held or blocks:
         flush()
     if found is None:
-        return vectors.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
+        return spark.createDataFrame([], "query long, doc long, score double, rank int")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -31,7 +31,22 @@ def ranking(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
 def proxy_ranking(relevant: DataFrame, run: DataFrame, k: int) -> DataFrame:
     """The same with binary gains and relevance by a rule: relevant has (query, doc); adds the hit rate."""
     hits = run.where(F.col("rank") <= k).join(relevant.select("query", "doc", F.lit(1).alias("good")), ["query", "doc"], "left")
-    totals = relevant.groupBy("query").agg(F.count("*").alias("relevant"))
+    return _proxy(relevant.groupBy("query").agg(F.count("*").alias("relevant")), hits, k)
+
+
+def label_proxy_ranking(queries: DataFrame, docs: DataFrame, run: DataFrame, k: int) -> DataFrame:
+    """proxy_ranking() where the documents (doc, label) of a query's label (query, label) are relevant.
+
+    Relevant documents are counted by label and only retrieved ones are looked up,
+    so no pair of a query and a relevant document is made that was not retrieved.
+    """
+    top = run.where(F.col("rank") <= k).join(docs.select("doc", F.col("label").alias("__d")), "doc").join(queries.select("query", F.col("label").alias("__q")), "query")
+    hits = top.withColumn("good", F.when(F.col("__d") == F.col("__q"), 1))
+    sizes = docs.groupBy("label").agg(F.count("*").alias("relevant"))
+    return _proxy(queries.join(sizes, "label").select("query", "relevant"), hits, k)
+
+
+def _proxy(totals: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
     per = hits.groupBy("query").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("found"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first"), F.coalesce(F.sum(F.when(F.col("good") == 1, 1.0 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"))
     rows = totals.join(per, "query").withColumn("idcg", ideal)

@@ -223,6 +223,6 @@ x as (select *, list_sum(list_transform(range(1, least(relevant, 10) + 1), lambd
 select count(*) as queries, round(avg(found / relevant), 6) as recall, round(avg(coalesce(1.0 / first, 0.0)), 6) as mrr, round(avg(dcg / idcg), 6) as ndcg, round(avg(case when found > 0 then 1.0::double else 0 end), 6) as hit_rate from x""")
 def proxy_metrics(spark, sf_dir):
     lang = F.get(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("item_id") % 4).cast("int"))
-    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), lang.alias("lang"))
-    relevant = queries.join(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang"), "lang").select("query", "doc")
-    return metrics.proxy_ranking(relevant, _ranked(spark, sf_dir, 20), 10)
+    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), lang.alias("label"))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("label"))
+    return metrics.label_proxy_ranking(queries, docs, _ranked(spark, sf_dir, 20), 10)
