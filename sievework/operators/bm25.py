@@ -80,7 +80,37 @@ def scores(index: Index, queries: DataFrame, key: str, text: str, n: int = 2, pa
 
 
 def okapi_scores(index: Index, queries: DataFrame, key: str, text: str, n: int = 2, epsilon: float = 0.25) -> DataFrame:
-    """The variant that scores every document (0 without shared terms), counts repeated query terms and floors negative idf."""
+    """The variant that scores every document (0 without shared terms), counts repeated query terms and floors negative idf.
+
+    All pairs of queries and documents: for small tables. okapi_top() makes no such pairs.
+    """
+    found = _okapi_found(index, queries, key, text, n, epsilon)
+    every = queries.select(F.col(key).alias("query")).distinct().crossJoin(index.docs.select("doc", "part"))
+    return every.join(found, ["query", "doc", "part"], "left").select("query", "doc", "part", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def okapi_top(index: Index, queries: DataFrame, key: str, text: str, k: int, n: int = 2, epsilon: float = 0.25) -> DataFrame:
+    """query, doc, part, score, rank: the k best of okapi_scores(), ties by document.
+
+    Documents without shared terms have 0. Only queries with fewer than k positive
+    scores need some, and theirs are among the first documents by id: k, and as
+    many as such a query has scores.
+    """
+    found = _okapi_found(index, queries, key, text, n, epsilon)
+    asked = queries.select(F.col(key).alias("query")).distinct()
+    counts = found.groupBy("query").agg(F.count("*").alias("f"), F.count_if(F.col("score") > 0).alias("pos"))
+    short = asked.join(counts, "query", "left").where(F.coalesce("pos", F.lit(0)) < k).select("query", F.coalesce("f", F.lit(0)).alias("f"))
+    most = short.agg(F.max("f")).first()[0]
+    if most is None:
+        return top(found, k)
+    first = index.docs.select("doc", "part").orderBy("doc", "part").limit(int(most) + k)
+    pairs = short.select("query", F.lit(0).alias("__o")).join(first.withColumn("__o", F.lit(0)), "__o").drop("__o")
+    zeros = pairs.join(found.select("query", "doc", "part"), ["query", "doc", "part"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(found.unionByName(zeros), k)
+
+
+def _okapi_found(index: Index, queries: DataFrame, key: str, text: str, n: int, epsilon: float) -> DataFrame:
+    """query, doc, part, score of the documents that share a term."""
     asked = query_terms(queries, key, text, n)
     df = index.terms.groupBy("part", "term").agg(F.count("*").alias("df")).join(index.sizes, "part")
     raw = df.select("part", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
@@ -88,9 +118,8 @@ def okapi_scores(index: Index, queries: DataFrame, key: str, text: str, n: int =
     weights = raw.join(mean, "part").select("part", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     hits = index.terms.join(asked.join(weights, "term").join(index.sizes.select("part", "avgdl"), "part"), ["part", "term"])
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    found = hits.groupBy("query", "doc", "part").agg(F.sum(F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("s"))
-    every = queries.select(F.col(key).alias("query")).distinct().crossJoin(index.docs.select("doc", "part"))
-    return every.join(found, ["query", "doc", "part"], "left").select("query", "doc", "part", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("score"))
+    gain = F.col("idf") * F.col("qtf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return hits.groupBy("query", "doc", "part").agg(F.round(F.sum(gain), 9).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: list[str] = ("query",)) -> DataFrame:

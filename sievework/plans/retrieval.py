@@ -62,8 +62,8 @@ f as (select query, doc, sum(idf * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * d
 e as (select b.item_id as query, d.doc, round(coalesce(x, 0.0), 9) as score from benchmark b cross join d left join f on f.query = b.item_id and f.doc = d.doc)
 select query, doc, round(score, 6) as score, row_number() over (partition by query order by score desc, doc)::int as rank from e qualify row_number() over (partition by query order by score desc, doc) <= 3""")
 def bm25_okapi(spark, sf_dir):
-    scored = bm25.okapi_scores(_index(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return bm25.top(scored, 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    best = bm25.okapi_top(_index(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), "item_id", "text", 3)
+    return best.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 _V = "v as (select vec_id as doc, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1.1920929e-07)) as e from embeddings)"
