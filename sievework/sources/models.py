@@ -62,22 +62,38 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, score: Callable
     return scored.withColumn("sources", sources).withColumn("score", F.col("new")).drop("new")
 
 
-def generate(df: DataFrame, key: str, prompt: str, generator: Callable[[str], str], valid: Callable[[str], bool], fallback: Callable[[str], str]) -> DataFrame:
-    """key, output, attempts: one repair at most, then the deterministic fallback."""
-
-    def one(text: str) -> tuple[str, int]:
-        for attempt in (1, 2):
-            out = generator(text)
-            if valid(out):
-                return out, attempt
-        return fallback(text), 3
+def repair_prompt(prompt: str, error: str) -> str:
+    """The prompt again, with what was wrong with the answer to it."""
+    return f"{prompt}\nThe last answer was not valid: {error}. Answer again, in full."
+
+
+def generate(df: DataFrame, key: str, prompt: str, generator: Callable[[str], str], check: Callable[[str], str | bool | None], fallback: Callable[[str], str], repairs: int = 1, repair: Callable[[str, str], str] = repair_prompt) -> DataFrame:
+    """key, output, attempts, error: repairs that name the fault, then the deterministic fallback.
+
+    ``check`` gives null or true for a valid answer, else the fault. A generator
+    that fails is not asked again; ``error`` then is generation_provider_unavailable,
+    and generation_validation_failed where no answer was valid.
+    """
+
+    def one(text: str) -> tuple[str, int, str | None]:
+        asked = text
+        for attempt in range(1, repairs + 2):
+            try:
+                out = generator(asked)
+            except Exception:  # whatever a provider raises
+                return fallback(text), attempt, "generation_provider_unavailable"
+            fault = check(out)
+            if fault is None or fault is True:
+                return out, attempt, None
+            asked = repair(text, str(fault or "not valid"))
+        return fallback(text), repairs + 1, "generation_validation_failed"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [one(t) for t in frame[prompt]]
-            yield pd.DataFrame({key: frame[key], "output": [g[0] for g in got], "attempts": [g[1] for g in got]})
+            yield pd.DataFrame({key: frame[key], **{n: [g[i] for g in got] for i, n in enumerate(("output", "attempts", "error"))}})
 
-    return df.select(key, prompt).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, output string, attempts int")
+    return df.select(key, prompt).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, output string, attempts int, error string")
 
 
 def predicted_labels(scored: DataFrame, key: str, thresholds: DataFrame, k: int = 5, default: float = 0.5) -> DataFrame:

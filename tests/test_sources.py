@@ -90,7 +90,7 @@ def test_models(spark):
     r = models.rerank(hits, q, d, lambda pairs: [0.9 for _ in pairs]).first()
     assert r["score"] == 0.9 and r["sources"] == {"a": 1.0, "rrf": 0.5, "reranker": 0.9}
     out = models.generate(df, "id", "text", lambda t: t, lambda o: o == "abc", lambda t: "fallback").orderBy("id").collect()
-    assert [(r["output"], r["attempts"]) for r in out] == [("abc", 1), ("fallback", 3)]
+    assert [(r["output"], r["attempts"]) for r in out] == [("abc", 1), ("fallback", 2)]
     scored = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.1), (2, "a", 0.9)], "id long, label string, probability double")
     got = models.predicted_labels(scored, "id", spark.createDataFrame([("a", 0.6)], "label string, threshold double"), k=1).orderBy("id").collect()
     assert [(r["label"], r["used_fallback"]) for r in got] == [("a", True), ("a", False)]
