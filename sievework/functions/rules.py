@@ -64,6 +64,7 @@ ZH_DIMENSIONS = [
 ]
 ZH_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 ZH_UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10000}
+ZH_FACT_KEYWORDS = ["持刀", "殴打", "盗窃", "骗取", "抢劫", "死亡", "重伤", "轻伤", "金额", "价值", "自首", "投案", "累犯", "赔偿", "谅解", "故意", "过失"]
 AUTHORITATIVE_SUFFIXES = ["gov.cn", "court.gov.cn", "spp.gov.cn", "npc.gov.cn"]
 VERIFIED_STATUSES = ["human_verified_official", "verified_official"]
 EFFECTIVE_STATUSES = ["effective", "现行有效"]

@@ -91,6 +91,41 @@ def head_tail(tokens: Column, limit: int) -> Column:
     return F.when(F.size(tokens) <= limit, tokens).otherwise(F.concat(F.slice(tokens, 1, head), F.slice(tokens, -(limit - head), limit - head)))
 
 
+def head_tail_text(text: Column, limit: int) -> Column:
+    """head_tail() of a text's characters."""
+    return F.when(F.length(text) <= limit, text).otherwise(F.array_join(head_tail(F.split(text, ""), limit), ""))
+
+
+def selected_sentences(text: Column, keywords: list[str], limit: int, ends: str, reserve: int = 8) -> Column:
+    """The sentences that tell most, in their order, within ``limit - reserve`` characters.
+
+    A sentence counts ten for each keyword it has, and one more if it is the first
+    or the last; ties go to the earlier one. Those that don't fit are passed over;
+    if the best alone is too long, its head and tail are taken. A text that fits
+    or has one sentence only stays.
+    """
+    budget = limit - reserve
+    parts = F.filter(F.transform(F.split(text, f"(?<=[{ends}])", -1), lambda s: F.trim(s)), lambda s: s != "")
+    last = F.size(parts) - 1
+
+    def graded(s: Column, i: Column) -> Column:
+        score = sum((F.when(F.contains(s, F.lit(k)), 10).otherwise(0) for k in keywords), F.lit(0)) + F.when((i == 0) | (i == last), 1).otherwise(0)
+        return F.struct((-score).alias("worth"), i.alias("i"), s.alias("s"))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,s:string>>").alias("kept"))
+
+    def step(state: Column, x: Column) -> Column:
+        cut = F.when(F.length(x["s"]) > budget, head_tail_text(x["s"], budget)).otherwise(x["s"])
+        full = state["used"] >= budget
+        misfit = (F.size(state["kept"]) > 0) & (state["used"] + F.length(x["s"]) > budget)
+        more = F.struct((state["used"] + F.length(cut)).alias("used"), F.concat(state["kept"], F.array(F.struct(x["i"].alias("i"), cut.alias("s")))).alias("kept"))
+        return F.when(full | misfit, state).otherwise(more)
+
+    best = F.aggregate(F.array_sort(F.transform(parts, graded)), start, step)["kept"]
+    chosen = F.array_join(F.transform(F.array_sort(best), lambda x: x["s"]), "")
+    return F.when((F.length(text) <= limit) | (F.size(parts) <= 1), text).otherwise(chosen)
+
+
 def strip_suffix(text: Column, suffix: str) -> Column:
     """Trimmed, without one trailing suffix."""
     return F.regexp_replace(F.trim(text), f"{suffix}$", "")

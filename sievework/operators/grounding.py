@@ -94,3 +94,31 @@ def tuning_record(case_id: Column, fact: Column, labels: Column, system: str, lo
 def failure_reasons(rows: DataFrame, reasons: str) -> DataFrame:
     """How many rows each reason fails, counted once a row."""
     return rows.select(F.explode(F.array_distinct(reasons)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def evidence_packet(facts: DataFrame, hits: DataFrame, as_of: Column, pack=rules.ZH_PRIVACY, limit: int = 360) -> DataFrame:
+    """request, request_id, fact, as_of_date, predicted_labels, evidence: what an analysis may rely on.
+
+    facts: request, fact, predicted_labels; hits: request, evidence_id, kind (case or
+    statute), rank, text, labels, articles. Facts and case texts are redacted; cases
+    come first, each kind by rank. A request without hits has no evidence.
+    """
+    shown = safe_evidence(F.col("kind"), F.col("text"), limit, pack)["text"]
+    title = F.when(F.col("kind") == "case", F.col("evidence_id").cast("string")).otherwise(F.concat(F.lit("法条 "), F.col("evidence_id").cast("string")))
+    order = F.when(F.col("kind") == "case", 0).otherwise(1)
+    item = F.struct(order.alias("o"), "rank", F.col("evidence_id").cast("string").alias("evidence_id"), F.when(F.col("kind") == "statute", "statute").otherwise("case").alias("evidence_type"), title.alias("title"), shown.alias("summary"), "labels", "articles")
+    items = hits.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("o", "rank")).alias("evidence"))
+    safe = facts.withColumn("fact", redact(F.col("fact"), pack))
+    none = F.array().cast(items.schema["evidence"].dataType)
+    met = safe.join(items, "request", "left")
+    return met.select("request", F.concat(F.lit("req-"), request_id(as_of, F.col("fact"))).alias("request_id"), "fact", as_of.alias("as_of_date"), "predicted_labels", F.coalesce("evidence", none).alias("evidence"))
+
+
+def grounded_prompt(question: Column, evidence: Column, instruction: str, unknown: str = "unknown") -> Column:
+    """Instruction, question and one block for each piece of evidence (evidence_id, labels, articles, summary) in its order."""
+
+    def listed(values: Column) -> Column:
+        return F.coalesce(F.nullif(F.array_join(F.transform(values, lambda v: v.cast("string")), ","), F.lit("")), F.lit(unknown))
+
+    blocks = F.transform(evidence, lambda e: F.concat(F.lit("["), e["evidence_id"], F.lit("]\nlabels: "), listed(e["labels"]), F.lit("\narticles: "), listed(e["articles"]), F.lit("\ntext: "), F.coalesce(e["summary"], F.lit(""))))
+    return F.concat(F.lit(instruction + "\n\nQuestion:\n"), question, F.lit("\n\nEvidence:\n"), F.array_join(blocks, "\n\n"))

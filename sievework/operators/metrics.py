@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import floor_percentiles
+
 
 def ranking(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
     """queries, recall, mrr, ndcg at k: graded gains 2**relevance - 1, averaged over all judged queries."""
@@ -127,3 +129,108 @@ def regression(rows: DataFrame, truth: str, predicted: str, groups: list[str] =
 def quantiles(df: DataFrame, value: str, points: list[float], groups: list[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles."""
     return df.groupBy(*groups).agg(*[F.round(F.percentile(value, F.lit(p)), 6).alias(f"q{int(round(p * 100))}") for p in points])
+
+
+def top_values(df: DataFrame, value: str, k: int = 20) -> DataFrame:
+    """The k most frequent values and their counts; ties by value."""
+    return df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def extreme_rows(df: DataFrame, order: Column, tie: str, k: int, last: bool = False) -> DataFrame:
+    """The k rows that are highest by an expression, or lowest; ties by a column."""
+    return df.orderBy(order.asc() if last else order.desc(), tie).limit(k)
+
+
+def regression_of_top(df: DataFrame, label: str, truth: str, predicted: str, k: int = 20) -> DataFrame:
+    """regression() of the k most frequent labels; one without known numbers has 0 rows."""
+    top = top_values(df, label, k).select(label, F.col("n").alias("label_rows"))
+    graded = regression(df.join(F.broadcast(top), label, "left_semi"), truth, predicted, [label])
+    return top.join(graded, label, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+def binary_prf(rows: DataFrame, truth: Column, predicted: Column, groups: list[str] = ()) -> DataFrame:
+    """Rows, precision, recall and F1 of a yes-or-no prediction; rows without a truth don't count."""
+    tp, fp, fn = F.count_if(truth & predicted), F.count_if(~truth & predicted), F.count_if(truth & ~F.coalesce(predicted, F.lit(False)))
+    return rows.where(truth.isNotNull()).groupBy(*groups).agg(
+        F.count("*").alias("rows"),
+        F.round(_ratio(tp, tp + fp), 6).alias("precision"),
+        F.round(_ratio(tp, tp + fn), 6).alias("recall"),
+        F.round(_ratio(2.0 * tp, 2 * tp + fp + fn), 6).alias("f1"),
+    )
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of the same key side by side; fails on evaluation if a key has no partner, or is there twice."""
+    marks = [d.withColumn(f"__{i}", F.lit(True)).withColumn("__n", F.lit(1)) for i, d in enumerate((left, right))]
+    once = [d.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").limit(1).count() for d in (left, right)]
+    if any(once):
+        raise ValueError(f"a {key} is there twice")
+    met = marks[0].drop("__n").join(marks[1].drop("__n"), key, "full")
+    both = F.col("__0").isNotNull() & F.col("__1").isNotNull()
+    return met.where(F.when(both, True).otherwise(F.raise_error(F.concat(F.lit(f"{key} without a partner: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))).drop("__0", "__1")
+
+
+def target_confusion(rows: DataFrame, gold: str, scores: str, targets: list[str], other: str = "other") -> tuple[DataFrame, DataFrame]:
+    """(truth, predicted, n; the wrong rows) of rows with exactly one true label among the targets.
+
+    ``gold`` is a list of labels and ``scores`` maps labels to probabilities. The
+    prediction is the likeliest label of all, the first by name if several are; those outside the targets count as
+    ``other``. Wrong rows come with both labels and their probabilities.
+    """
+    hit = F.array_intersect(gold, F.array(*[F.lit(t) for t in targets]))
+    best = F.array_min(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("label"))))
+    single = rows.withColumn("__hit", hit).where(F.size("__hit") == 1).withColumns({"true_label": F.get("__hit", F.lit(0)), "__best": best}).drop("__hit")
+    named = single.withColumns({"predicted_label": F.col("__best.label"), "predicted_probability": -F.col("__best.p"), "true_probability": F.element_at(F.col(scores), F.col("true_label"))}).drop("__best")
+    matrix = named.groupBy("true_label", F.when(F.col("predicted_label").isin(targets), F.col("predicted_label")).otherwise(other).alias("predicted")).agg(F.count("*").alias("n"))
+    return matrix, named.where("predicted_label <> true_label")
+
+
+def review_queue(wrong: DataFrame, key: str, k: int = 200) -> DataFrame:
+    """The k wrong rows that were predicted with most confidence; ties by key."""
+    return extreme_rows(wrong, F.col("predicted_probability"), key, k)
+
+
+def regression_checks(rows: DataFrame, category: str, expected: str, forbidden: str, predicted: str, ranked: str, abstain: str) -> DataFrame:
+    """Rows, passes, pass rate, abstentions and expected labels in the top five by category of a regression set.
+
+    A row passes if nothing is predicted where it must abstain, else if all expected
+    labels are predicted, and no forbidden one is.
+    """
+    none = F.size(predicted) == 0
+    right = F.when(F.col(abstain), none).otherwise(F.size(F.array_except(expected, predicted)) == 0)
+    ok = right & ~F.arrays_overlap(predicted, forbidden)
+    asks = F.size(expected) > 0
+    found = asks & (F.size(F.array_except(F.col(expected), F.slice(ranked, 1, 5))) == 0)
+    counts = rows.groupBy(category).agg(F.count("*").alias("rows"), F.count_if(ok).alias("passed"), F.count_if(none).alias("abstentions"), F.count_if(asks).alias("__asks"), F.count_if(found).alias("__found"))
+    return counts.select(category, "rows", "passed", F.round(F.col("passed") / F.col("rows"), 6).alias("pass_rate"), "abstentions", F.round(F.col("__found") / F.greatest("__asks", F.lit(1)), 6).alias("expected_in_top5"))
+
+
+def contract_metrics(rows: DataFrame, flags: dict[str, Column], cited: Column, known: Column, latency: str, groups: list[str] = ()) -> DataFrame:
+    """The share of rows for each flag, citations outside the known ids, and latency (median, and the p95 at floor(0.95 (n - 1)))."""
+    outside = F.size(F.filter(cited, lambda x: ~F.array_contains(known, x)))
+    made = rows.select(*groups, F.col(latency).alias("__ms"), F.size(cited).alias("__cited"), outside.alias("__outside"), *[c.alias(n) for n, c in flags.items()])
+    shares = made.groupBy(*groups).agg(
+        F.count("*").alias("rows"),
+        *[F.round(F.avg(F.coalesce(F.col(n), F.lit(False)).cast("int")), 6).alias(n) for n in flags],
+        F.sum("__cited").alias("citations"),
+        F.sum("__outside").alias("unknown_citations"),
+        F.round(F.sum("__outside") / F.nullif(F.sum("__cited"), F.lit(0)), 6).alias("unknown_citation_rate"),
+    )
+    spans = floor_percentiles(made, list(groups), "__ms", [0.5, 0.95]).groupBy(*groups).agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("latency_p50"), F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("latency_p95"))
+    return shares.join(spans, list(groups)) if groups else shares.crossJoin(spans)  # one row each
+
+
+def probability_audit(scored: DataFrame, key: str, truth: str, probability: str, threshold: float | Column) -> DataFrame:
+    """Of long rows (key, label): rows, abstentions, and means and extremes of the likeliest, the true and the other labels."""
+    over = (F.col(probability) >= threshold).cast("int")
+    t, p = F.col(truth).cast("boolean"), F.col(probability)
+    per = scored.groupBy(key).agg(F.max(p).alias("best"), F.sum(over).alias("n"), F.sum(F.when(t, p)).alias("ts"), F.count_if(t).alias("tn"), F.max(F.when(~t, p)).alias("wrong"))
+    return per.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("n") == 0).alias("abstained_rows"),
+        F.max("n").alias("most_labels"),
+        F.round(F.avg("best"), 6).alias("mean_best"),
+        F.round(F.min("best"), 6).alias("least_best"),
+        F.round(F.sum("ts") / F.nullif(F.sum("tn"), F.lit(0)), 6).alias("mean_true"),
+        F.round(F.max("wrong"), 6).alias("largest_wrong"),
+    )

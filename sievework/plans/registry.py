@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, corpus, evaluation, generation, retrieval, splits  # noqa: E402, F401  they register themselves
+from . import audits, corpus, diagnostics, evaluation, generation, retrieval, splits  # noqa: E402, F401  they register themselves

@@ -33,6 +33,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
     return lines.select(F.from_json("value", schema, {"mode": mode}).alias("r")).where("r is not null").select("r.*")
 
 
+def read_jsonl_head(spark: SparkSession, path: str, schema: str | T.StructType, limit: int) -> DataFrame:
+    """The first ``limit`` good lines of a file in their order, with ``line``, their place in it (from 0).
+
+    A file is read by as many tasks as it has blocks; the place in the file is
+    the block's offset in it and the line's place in the block, kept as (part, line).
+    """
+    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
+    good = lines.select("__at", F.from_json(F.regexp_replace("value", "^\ufeff", ""), schema).alias("r"), F.trim("value").alias("v")).where("v <> '' and r is not null")
+    head = good.orderBy("__at").limit(limit)
+    return head.select(F.shiftright("__at", 33).alias("part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("line"), "r.*")
+
+
+def validated(raw: DataFrame, split: str, faults: Column, label_ids: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Normalised cases of a split without faults, and those with some.
+
+    ``faults`` is a list of names over the normalised columns, as violations() makes.
+    """
+    cases = normalized(raw, split, label_ids).withColumn("faults", faults)
+    return cases.where(F.size("faults") == 0).drop("faults"), cases.where(F.size("faults") > 0)
+
+
 def _first_text(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
