@@ -1,8 +1,8 @@
 """Rule lists for URLs: host-suffix and path-prefix expressions by hash prefix.
 
 A URL expands into every (host suffix, path prefix) expression that a rule could
-have: suffixes at label boundaries with as many labels as some rule's host, and
-path prefixes as long as some rule's path. Expressions are joined with the rules
+have: for each pair of a label count and a path length that some rule has, the
+suffix of so many labels and the prefix of so many characters. Expressions are joined with the rules
 on the first 32 bits of their SHA-256, then the full digests are compared, and
 the longest rule wins; between an allow and a block rule of the same expression,
 block does.
@@ -15,6 +15,8 @@ an empty table gives an empty result; of other columns only the key is kept.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,29 +49,33 @@ def with_digests(rules: DataFrame) -> DataFrame:
     return one.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, 8))
 
 
-def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """The (host suffix, path prefix) expressions with a rule's label count and path length, as strings."""
-    parts = F.split(host, r"\.")
-    suffixes = [F.when(F.size(parts) >= n, F.substring_index(host, ".", -n)) for n in labels]
-    prefixes = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
-    return F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes]))
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The host suffixes and path prefixes of the given label counts and path lengths, joined to strings.
+
+    The shapes are one constant that a lambda goes through, so the plan is the same
+    for any number of them.
+    """
+    given = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>")
+    fits = F.filter(given, lambda s: (F.size(F.split(host, r"\.")) >= s["n"]) & (F.length(path) >= s["m"]))
+    return F.transform(fits, lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["n"]), F.substring(path, F.lit(1), s["m"])))
 
 
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """key, host, path, rule and verdict of every row.
 
-    The rule table comes from with_digests(). Which of its label counts and path
-    lengths occur is collected (a few numbers); the table itself is joined as
-    Catalyst sees fit, broadcast only while it is small.
+    The rule table comes from with_digests(). Which pairs of label count and path
+    length occur in it is collected (numbers, bounded by the labels of a host
+    times the characters of a path); the table itself is joined as Catalyst sees
+    fit, broadcast only while it is small.
     """
-    sizes = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
-    labels, lengths = sorted(sizes["labels"]), sorted(sizes["lengths"])
+    met = rules.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().collect()
+    shapes = sorted((r["n"], r["m"]) for r in met)
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    if not labels:
+    if not shapes:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    rows = rows.withColumn("start", F.substring("path", 1, lengths[-1]))
+    rows = rows.withColumn("start", F.substring("path", 1, max(m for _, m in shapes)))
     asked = rows.select("host", "start").distinct()
-    exploded = asked.withColumn("expression", F.explode(expressions(F.col("host"), F.col("start"), labels, lengths)))
+    exploded = asked.withColumn("expression", F.explode(expressions(F.col("host"), F.col("start"), shapes)))
     hashed = exploded.withColumn("asked", F.sha2("expression", 256)).withColumn("prefix", F.substring("asked", 1, 8))
     hits = hashed.join(rules.select("prefix", "digest", "rule", "verdict", F.length(F.concat("host", "path")).alias("size")), "prefix").where("asked = digest")
     best = hits.groupBy("host", "start").agg(F.max(F.struct("size", F.col("verdict"), F.col("rule"))).alias("best"))

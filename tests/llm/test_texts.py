@@ -360,3 +360,26 @@ def test_words_that_defeat_polynomials(spark, k):
     items = spark.createDataFrame([("i", b)], "item_id string, text string")
     marked = decontaminate.mark(docs, items).collect()
     assert {r["doc_id"]: list(r["items"]) for r in marked} == {1: [], 2: ["i"], 3: []}
+
+
+def test_many_url_rules(spark):
+    """Rules of many shapes make no larger a plan, and equal prefixes of digests are told apart."""
+    rng = np.random.default_rng(3)
+    hosts = [".".join(rng.choice(["a", "bb", "c"], size=n)) for n in (1, 2, 3, 4) for _ in range(5)]
+    rules = sorted({(str(rng.choice(["allow", "block"])), str(rng.choice(hosts)) + "/" + "p" * int(rng.integers(0, 60))) for _ in range(200)})
+    table = url_filter.rule_table(spark, rules)
+    urls = [(i, f"http://{'x.' * int(rng.integers(0, 2))}{rng.choice(hosts)}/{'p' * int(rng.integers(0, 70))}?q") for i in range(150)]
+    df = spark.createDataFrame(urls, "page_id int, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, table).collect()}
+    used = next(r for r, _ in got.values() if r)
+    clash = table.withColumn("prefix", F.lit(table.where(F.col("rule") == used).first()["prefix"]))
+    assert {r["rule"] for r in url_filter.judge(df, clash).collect()} == {used, None}  # all rules meet its expression
+    for i, url in urls:
+        host, path = url.split("://")[1].split("?")[0].split("/", 1)
+        fits = []
+        for verdict, rule in rules:
+            h, p = rule.split("/", 1)
+            if (host == h or host.endswith("." + h)) and ("/" + path).startswith("/" + p):
+                fits.append((len(h) + 1 + len(p), verdict, rule))
+        best = max(fits, default=(0, "allow", None))
+        assert got[i] == (best[2], best[1])
