@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def closeness(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.coalesce(F.exp(-F.abs(a - b) / F.lit(scale)), F.lit(0.5))
 
 
+def letter_profile(text: Column) -> Column:
+    """How often each letter from a to z is in a text, in either case: a vector for which no model is needed."""
+    low = F.lower(text)
+    size = F.length(low)
+    return F.array(*[(size - F.length(F.replace(low, F.lit(c)))).cast("double") for c in ascii_lowercase])
+
+
 def structured_similarity(q_factors: Column, d_factors: Column, q_amount: Column, d_amount: Column, q_year: Column, d_year: Column) -> Column:
     return 0.45 * jaccard(q_factors, d_factors) + 0.45 * closeness(F.log1p(q_amount), F.log1p(d_amount)) + 0.10 * closeness(q_year, d_year, 5.0)
 

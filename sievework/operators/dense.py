@@ -34,7 +34,7 @@ def _gated(doc: pd.Series, asked: list) -> np.ndarray:
     return out
 
 
-def _topk(blocks, k: int):
+def _topk(blocks, k: int, others: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             size = frame["v"].map(len)
@@ -44,7 +44,8 @@ def _topk(blocks, k: int):
                     continue
                 doc = part["doc"].to_numpy()
                 score = np.round(np.stack(part["v"].to_numpy()) @ vectors.T, 9)
-                score[doc[:, None] == ids[None, :]] = -np.inf
+                if others:
+                    score[doc[:, None] == ids[None, :]] = -np.inf
                 if gates is not None:
                     score[~_gated(part["gate"], gates)] = -np.inf
                 order = np.lexsort((np.broadcast_to(doc[:, None], score.shape), -score), axis=0)[:k]
@@ -62,8 +63,8 @@ def _gate_values(df: DataFrame, gate: str):
     return F.array_compact(F.transform(listed, lambda x: x.cast("string")))
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, gate: str | None = None) -> DataFrame:
-    """query, doc, score, rank of the k nearest other vectors; with ``gate`` of those that share a value of it.
+def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, gate: str | None = None, others: bool = True) -> DataFrame:
+    """query, doc, score, rank of the k nearest vectors, of other ids than the query's if ``others``; with ``gate`` of those that share a value of it.
 
     Gates are values of any type, or lists of them. Vectors of another length than
     the query's, null ones, and those with components that are null or not finite
@@ -88,7 +89,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
         nonlocal found, blocks, used
         for n in list(held):
             close(n)
-        part = every.mapInPandas(_topk(spark.sparkContext.broadcast(blocks), k), "query long, doc long, score double")
+        part = every.mapInPandas(_topk(spark.sparkContext.broadcast(blocks), k, others), "query long, doc long, score double")
         found = part if found is None else found.union(part)
         blocks, used = [], 0
 

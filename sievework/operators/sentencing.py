@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import features, rules
+from sievework.functions.money import bucket, bucket_range
 from sievework.functions.redaction import tags
 from sievework.functions.text import character_ngrams, md5_bits
 from sievework.session import spread
@@ -21,14 +23,15 @@ WEIGHTS, MIN_SCORE, MIN_CHARS, REVIEW = (0.70, 0.20, 0.10), 0.20, 20, 0.60
 
 
 def model_text(labels: Column, fact: Column) -> Column:
-    """The labels in front of the fact."""
-    return F.concat(F.lit("罪名："), F.array_join(F.array_sort(labels), "、"), F.lit("\n"), fact)
+    """The labels in front of the fact, or that they aren't known."""
+    known = F.concat(F.lit("已知罪名:"), F.array_join(labels, "、"), F.lit("。"))
+    return F.concat(F.when(F.size(labels) > 0, known).otherwise("罪名未知。"), F.trim(fact))
 
 
 def training_text(case_id: Column, labels: Column, fact: Column) -> Column:
-    """For half of the cases (by a hash of their id) the fact without labels, so that a model learns to do without them."""
+    """Half of the cases (by a hash of their id) keep their labels, so that a model learns to do without them."""
     odd = F.conv(F.substring(F.sha1(case_id), 1, 2), 16, 10).cast("int") % 2 == 1
-    return F.when(odd, fact).otherwise(model_text(labels, fact))
+    return model_text(F.when(odd, labels), fact)
 
 
 def ngrams(text: Column) -> Column:
@@ -80,6 +83,78 @@ def regressor(target: str, buckets: int = BUCKETS, iterations: int = 20) -> Pipe
     return Pipeline(stages=[HashingTF(inputCol="grams", outputCol="__tf", numFeatures=buckets), Normalizer(inputCol="__tf", outputCol="__x"), LinearRegression(featuresCol="__x", labelCol=target, loss="huber", maxIter=iterations, regParam=1e-4)])
 
 
+class _Head:
+    """A class of a row from its features: the likeliest one, and the probability of each."""
+
+    def __init__(self, rows: DataFrame, target: str, iterations: int):
+        seen = {r[0]: r[1] for r in rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*")).collect()}  # a few classes
+        self.classes = sorted(seen)
+        self.model = None
+        if len(self.classes) > 1:
+            total = sum(seen.values())
+            place = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, float(i))])
+            weight = F.create_map(*[F.lit(x) for c in self.classes for x in (c, total / (len(seen) * seen[c]))])
+            known = rows.where(F.col(target).isNotNull()).select("__x", F.element_at(place, F.col(target)).alias("__y"), F.element_at(weight, F.col(target)).alias("__w"))
+            self.model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=iterations, regParam=1e-4, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__k").fit(known)
+
+    def add(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with ``name`` and ``name_p``, a map from classes to probabilities; without any class both are empty."""
+        if not self.classes:
+            return rows.withColumns({name: F.lit(None).cast("string"), f"{name}_p": F.create_map().cast("map<string,double>")})
+        if self.model is None:
+            return rows.withColumns({name: F.lit(self.classes[0]), f"{name}_p": F.create_map(F.lit(self.classes[0]), F.lit(1.0))})
+        p = vector_to_array("__p")
+        named = F.map_from_arrays(F.array(*[F.lit(c) for c in self.classes]), p)
+        best = F.get(F.array(*[F.lit(c) for c in self.classes]), F.array_position(p, F.array_max(p)).cast("int") - 1)
+        return self.model.transform(rows).withColumns({name: best, f"{name}_p": named}).drop("__p", "__r", "__k")
+
+
+class SentencingModel:
+    """Kind of sentence, then months of fixed terms; whether there is a fine, then its amount.
+
+    Classes are of text; amounts are regressed as log(1 + amount) and kept within the
+    bucket that a classifier chose. Rows to fit: grams, sentence_type, months, fine;
+    ``unknown`` kinds and null numbers don't count. A head whose target has one
+    class only always gives it.
+    """
+
+    def __init__(self, rows: DataFrame, buckets: int = BUCKETS, iterations: int = 30):
+        self.features = Pipeline(stages=[HashingTF(inputCol="grams", outputCol="__tf", numFeatures=buckets), Normalizer(inputCol="__tf", outputCol="__x")]).fit(rows)
+        months = F.when(F.col("sentence_type") == "fixed_term", F.col("months"))
+        paid = F.when(F.col("fine") > 0, F.col("fine"))
+        x = self.features.transform(rows).select("__x", F.when(F.col("sentence_type") != "unknown", F.col("sentence_type")).alias("kind"), bucket(months, rules.IMPRISONMENT_EDGES).cast("string").alias("mb"), F.log1p(months).alias("m"), (F.col("fine") > 0).cast("string").alias("imposed"), bucket(paid, rules.FINE_EDGES).cast("string").alias("fb"), F.log1p(paid).alias("f"))
+        self.heads = {n: _Head(x, n, iterations) for n in ("kind", "mb", "imposed", "fb")}
+        self.amounts = {}
+        for n in ("m", "f"):
+            known = x.where(F.col(n).isNotNull())
+            if not known.isEmpty():
+                self.amounts[n] = LinearRegression(featuresCol="__x", labelCol=n, predictionCol=f"__{n}", loss="huber", maxIter=iterations, regParam=1e-4).fit(known.select("__x", n))
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows (grams) with sentence_type, its probabilities, months, fine and their ranges; what doesn't apply is null."""
+        out = self.features.transform(rows)
+        for n, head in self.heads.items():
+            out = head.add(out, f"__{n}_c")
+        for n in ("m", "f"):
+            out = self.amounts[n].transform(out) if n in self.amounts else out.withColumn(f"__{n}", F.lit(None).cast("double"))
+        kind, fined = F.col("__kind_c"), F.coalesce(F.element_at("__imposed_c_p", F.lit("true")), F.lit(0.0))
+        ranges = {n: bucket_range(F.col(f"__{n}b_c").cast("int"), edges) for n, edges in (("m", rules.IMPRISONMENT_EDGES), ("f", rules.FINE_EDGES))}
+        held = {n: clamped(F.greatest(F.col(f"__{n}"), F.log1p(F.lit(1.0))), r["lower"], r["upper"]).cast("long") for n, r in ranges.items()}
+        when = {"m": kind == "fixed_term", "f": fined >= 0.5}
+        own = {
+            "sentence_type": kind,
+            "sentence_type_probabilities": F.col("__kind_c_p"),
+            "imprisonment_months": F.when(when["m"], held["m"]),
+            "imprisonment_range": F.when(when["m"], ranges["m"]),
+            "fine_probability": F.round(fined, 6),
+            "fine_imposed": when["f"],
+            "fine_amount": F.when(when["f"], held["f"]),
+            "fine_range": F.when(when["f"], ranges["f"]),
+        }
+        keep = [c for c in rows.columns if c != "grams" and c not in own]
+        return out.select(*keep, *[c.alias(n) for n, c in own.items()])
+
+
 def clamped(value: Column, lower: Column, upper: Column) -> Column:
     """A regression's amount, within the bucket that the classifier chose."""
     return F.greatest(lower, F.least(upper, F.round(F.expm1(value))))

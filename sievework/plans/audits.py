@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import features, redaction, rules
 from sievework.functions.money import bucket
 from sievework.operators import audits, policy, sentencing
-from sievework.session import read_table
+from sievework.session import read_table, spread
 
 from .registry import query
 
@@ -107,3 +107,17 @@ def sentencing_baseline(spark, sf_dir):
     part = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     model = sentencing.classifier("y", buckets=1 << 12, iterations=10).fit(rows.where(~part))
     return model.transform(rows.where(part)).agg(F.count("*").alias("rows"), F.round(F.avg((F.col("prediction") == F.col("__y")).cast("int")), 6).alias("accuracy"))
+
+
+@query()
+def sentencing_model(spark, sf_dir):
+    """Figures of the whole hierarchical model on held-out documents, whose length stands for a sentence and its fine."""
+    docs = spread(read_table(spark, sf_dir, "documents").where("text is not null"))
+    n = F.length("text")
+    kind = F.when(n > 8000, "life").when(n > 600, "fixed_term").otherwise("exempt")
+    rows = docs.select("doc_id", F.split(F.lower("text"), r"\s+").alias("grams"), kind.alias("sentence_type"), F.when(kind == "fixed_term", F.floor(n / 100)).cast("int").alias("months"), F.when(F.col("lang") == "en", n).otherwise(0).cast("long").alias("fine"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = sentencing.SentencingModel(rows.where(~part), buckets=1 << 12, iterations=10)
+    truth = rows.where(part).select("doc_id", "grams", F.col("sentence_type").alias("truth"), F.col("months").alias("true_months"), (F.col("fine") > 0).alias("true_fine"))
+    p = model.predict(truth)
+    return p.agg(F.count("*").alias("rows"), F.round(F.avg((F.col("truth") == F.col("sentence_type")).cast("int")), 6).alias("type_accuracy"), F.round(F.avg((F.col("true_fine") == F.col("fine_imposed")).cast("int")), 6).alias("fine_accuracy"), F.round(F.avg(F.abs(F.col("true_months") - F.col("imprisonment_months"))), 6).alias("months_mae"))

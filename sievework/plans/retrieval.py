@@ -121,13 +121,22 @@ def _factors(text):
     return redaction.tags(text, rules.FACTORS)
 
 
-@query(f"""with {_LISTS_SQL.replace("order by score / sqrt(greatest(dl, 1)) desc, s.doc) as rank", "order by round(score / sqrt(greatest(dl, 1)), 9) desc, s.doc) as rank")},
+_PROFILE = "list_transform(['" + "', '".join("abcdefghijklmnopqrstuvwxyz") + "'], lambda x: (length(t) - length(replace(t, x, '')))::double)"
+_UNIT = "list_transform(c, lambda x: x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1.1920929e-07))"
+_HYBRID_SQL = f"""{_bm25_sql()}, lp as (select doc_id as doc, {_PROFILE} as c from (select doc_id, lower(text) as t from documents where text is not null)), lq as (select item_id as query, {_PROFILE} as c from (select item_id, lower(text) as t from benchmark)),
+le as (select doc, {_UNIT} as e from lp), qe as (select query, {_UNIT} as e from lq), ds as (select query, doc, {_DOT} as score from qe a cross join le b),
+u as (select query, doc, row_number() over (partition by query order by score desc, doc) as rank from s qualify row_number() over (partition by query order by score desc, doc) <= 20
+  union all select query, doc, row_number() over (partition by query order by score desc, doc) as rank from ds qualify row_number() over (partition by query order by score desc, doc) <= 20),
+f as (select query, doc, round(sum(1.0 / (60 + rank)), 9) as score from u group by all)"""
+
+
+@query(f"""with {_HYBRID_SQL},
 g as (select query, doc, row_number() over (partition by query order by score desc, doc) as rank from f qualify row_number() over (partition by query order by score desc, doc) <= 20),
 h as (select query, doc, {_FACTOR_SQL.format(c='b.text')} as qf, {_FACTOR_SQL.format(c='d.text')} as df from g join benchmark b on b.item_id = query join documents d on d.doc_id = doc),
 x as (select query, doc, round(case when len(list_distinct(list_concat(qf, df))) = 0 then 0.5 else len(list_intersect(qf, df)) / len(list_distinct(list_concat(qf, df))) end, 9) as score from h)
 select query, doc, round(score, 6) as score, row_number() over (partition by query order by score desc, doc)::int as rank from x qualify row_number() over (partition by query order by score desc, doc) <= 3""")
 def hybrid_topk(spark, sf_dir):
-    """Two lists, reciprocal-rank fusion, a structured reranker and case deduplication."""
+    """A sparse and a dense list, reciprocal-rank fusion, a structured reranker and case deduplication; letter profiles stand for an encoder."""
     docs = spread(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), _factors(F.col("text")).alias("df"))
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), _factors(F.col("text")).alias("qf"))
 
@@ -135,8 +144,9 @@ def hybrid_topk(spark, sf_dir):
         met = hits.join(docs, "doc").join(queries, "query")
         return met.withColumn("score", F.round(features.jaccard(F.col("qf"), F.col("df")), 9)).drop("qf", "df")
 
-    lists = _two_lists(spark, sf_dir)
-    best, _ = fusion.hybrid(lists["bm25"], lists["short"], rerank)
+    profiles = [read_table(spark, sf_dir, t).select(F.col(k).alias("id"), features.letter_profile(F.col("text")).alias("v")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    near = dense.search(spread(profiles[0]), profiles[1], "id", "v", 20, others=False)
+    best, _ = fusion.hybrid(_ranked(spark, sf_dir, 20), near, rerank)
     return best.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 

@@ -195,3 +195,24 @@ def test_okapi_top_without_pairs(spark):
         few = bm25.okapi_top(index, asked, "q", "t", k)
         pick = lambda d: sorted((r["query"], r["rank"], r["doc"], r["score"]) for r in d.collect())
         assert pick(every) == pick(few)
+
+
+def test_sentencing_model(spark):
+    from sievework.operators import sentencing
+
+    rows = []
+    for i in range(120):
+        kind = ["fixed_term", "life", "exempt"][i % 3]
+        rows.append((i, [kind, "rich" if i % 2 else "poor", f"w{i % 5}"], kind, 20 + i % 3 if kind == "fixed_term" else None, 3000 if i % 2 else 0))
+    df = spark.createDataFrame(rows, "id int, grams array<string>, sentence_type string, months int, fine int")
+    model = sentencing.SentencingModel(df, buckets=256)
+    for r in model.predict(df.select("id", "grams", "sentence_type")).collect():
+        kind = ["fixed_term", "life", "exempt"][r["id"] % 3]
+        assert r["sentence_type"] == kind and abs(sum(r["sentence_type_probabilities"].values()) - 1) < 1e-6
+        assert (r["imprisonment_months"] is None) == (kind != "fixed_term") and r["fine_imposed"] == (r["id"] % 2 == 1)
+        if kind == "fixed_term":
+            assert r["imprisonment_range"]["lower"] <= r["imprisonment_months"] <= r["imprisonment_range"]["upper"]
+        if r["fine_imposed"]:
+            assert r["fine_range"]["lower"] == 2000 and 2000 <= r["fine_amount"] <= r["fine_range"]["upper"]
+    one = sentencing.SentencingModel(df.where("id = 0"), buckets=16).predict(df.select("grams"))
+    assert {(r["sentence_type"], r["fine_imposed"]) for r in one.collect()} == {("fixed_term", False)}
