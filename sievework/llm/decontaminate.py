@@ -162,19 +162,30 @@ _ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hi
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_col: str = "item_id", keep_text: bool = True, block: int = BLOCK) -> DataFrame:
-    """docs with n_words, hit_spans (word numbers, end exclusive) and items, the sorted ids found."""
+    """docs with n_words, hit_spans (word numbers, end exclusive) and items, the sorted ids found.
+
+    Of several blocks of windows each has a pass over the texts, whose result is
+    written before the next block is sent, so that tasks hold one block at a time.
+    """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_spans", "items").withColumn("text", F.col("text").cast("string"))
     counts = word_sketch(docs)
     every = storage.stored(benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows(size), "item_id string, words binary").distinct(), "windows")
     blocks = max(1, -(-every.count() // block))
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(_ADDED["hit_spans"].dataType), "items": F.array().cast("array<string>")})
+    held = None
     for b in range(blocks):
         part = every if blocks == 1 else every.where(F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(WindowIndex([(r[0], bytes(r[1])) for r in part.collect()], counts, size))
         last = b == blocks - 1 and not keep_text
         schema = T.StructType([f for f in docs.schema.fields if not (last and f.name == "text")] + _ADDED.fields)
         out = out.mapInArrow(_mark(index, last), schema)
+        if b < blocks - 1:
+            before, held = held, storage.stored(out, "marked")
+            out = held
+            index.destroy()
+            if before is not None:
+                storage.dropped(spark, before)
     return out
 
 

@@ -280,6 +280,7 @@ def test_decontamination(spark, block):
     d = spark.createDataFrame([(i, t, "x", 1, 1, 1) for i, t in docs], DOCS).repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.mark(d, b, 10, block=block).select("doc_id", "n_words", decontaminate.hit_words().alias("hit"), "items", "text")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one block of windows at a time
     rows = {r["doc_id"]: (r["n_words"], r["hit"], r["items"]) for r in got.collect()}
     want = contained(docs, items, 10)
     assert rows == want and sum(v[1] > 0 for v in want.values()) > 20
