@@ -1,7 +1,8 @@
 """Sparse BM25 as joins of term tables.
 
 An index is two tables: terms (doc, term, tf, dl) and, from it, statistics by
-partition: a partition column may be a constant (one corpus) or a label.
+partition: a partition column may be a constant (one corpus) or a label. A saved
+index (operators/saved.py) answers the same questions from tables on disk.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ class Index:
     terms: DataFrame
     sizes: DataFrame
 
+    def idf(self, wanted: DataFrame) -> DataFrame:
+        """part, term, idf of the wanted terms."""
+        df = self.terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("part", "term").agg(F.count("*").alias("df"))
+        return with_idf(df, self.sizes)
+
+    def hits(self, kept: DataFrame, few: bool) -> DataFrame:
+        """kept (query, part, term and more) with doc, dl, tf of each posting."""
+        return self.terms.join(F.broadcast(kept) if few else kept, ["part", "term"])
+
 
 def build(docs: DataFrame, key: str, text: str, part: str | None = None, n: int = 2) -> Index:
     """The index of the n-grams of a text column; with ``part`` one for each of its values."""
@@ -49,10 +59,9 @@ def query_terms(queries: DataFrame, key: str, text: str, n: int = 2) -> DataFram
     return queries.select(F.col(key).alias("query"), F.explode(character_ngrams(F.col(text), n)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
-def idf(index: Index, wanted: DataFrame) -> DataFrame:
-    """part, term, idf of the wanted terms."""
-    df = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("part", "term").agg(F.count("*").alias("df"))
-    return df.join(index.sizes, "part").select("part", "term", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+def with_idf(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """part, term, idf of terms with their number of documents (part, term, df)."""
+    return df.join(sizes, "part").select("part", "term", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def informative(terms: DataFrame, weights: DataFrame) -> DataFrame:
@@ -66,14 +75,14 @@ def informative(terms: DataFrame, weights: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame, key: str, text: str, n: int = 2, parts: DataFrame | None = None) -> DataFrame:
     """query, doc, part, score of all documents that share a kept term; ``parts`` (query, part) restricts the search."""
     asked = query_terms(queries, key, text, n)
-    weights = idf(index, asked)
+    weights = index.idf(asked)
     kept = informative(asked, weights)
     if parts is not None:
         kept = kept.join(parts, ["query", "part"], "left_semi")
     kept = kept.join(index.sizes.select("part", "avgdl"), "part")
     # a query keeps MAX_TERMS terms at most in each part
     few = parts is None and queries.select(key).distinct().count() * MAX_TERMS * index.sizes.count() <= SENT
-    hits = index.terms.join(F.broadcast(kept) if few else kept, ["part", "term"])
+    hits = index.hits(kept, few)
     norm = K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("query", "doc", "part").agg(F.round(F.sum(gain), 9).alias("score"))

@@ -1,16 +1,24 @@
-"""Exact dense search: normalised vectors, inner products, gates by label."""
+"""Exact dense search: normalised vectors, inner products, gates by label.
+
+Vectors are packed into blocks, rows of a table by (length, gate value, slot);
+queries are packed the same way, and each block of queries is sent to every slot
+of its length and gate value. The join of both is the search's work list: a row is
+two blocks, whose products are one matrix product in a task, of which the best k
+of each query are kept. Nothing passes the driver, and any number of queries is
+one plan. Of a gate value's queries only its own vectors are met.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are multiplied at once, and the bytes of queries that one pass over the vectors takes.
-BLOCK, PASS_BYTES = 512, 64 << 20
+#: Bytes of a block of vectors and of queries.
+BLOCK_BYTES, QUERY_BYTES = 2 << 20, 256 << 10
 _EPS = 1.1920929e-07  # of 32-bit floats
 
 
@@ -21,46 +29,71 @@ def normalized(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / F.greatest(norm, F.lit(_EPS)))
 
 
-def _gated(doc: pd.Series, asked: list) -> np.ndarray:
-    """Whether a document's gate values and a query's have one in common."""
-    held: dict[str, list[int]] = {}
-    for q, values in enumerate(asked):
-        for v in values if values is not None else ():
-            held.setdefault(v, []).append(q)
-    out = np.zeros((len(doc), len(asked)), bool)
-    for d, values in enumerate(doc):
-        for v in values if values is not None else ():
-            out[d, held.get(v, [])] = True
-    return out
-
-
-def _topk(blocks, k: int, others: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            size = frame["v"].map(len)
-            for ids, vectors, gates in blocks.value:
-                part = frame[size == vectors.shape[1]]
-                if part.empty:
-                    continue
-                doc = part["doc"].to_numpy()
-                score = np.round(np.stack(part["v"].to_numpy()) @ vectors.T, 9)
+def _gate_values(df: DataFrame, gate: str | None) -> Column:
+    """A gate as a list of different texts: a list has one for each of its values, null and null values none; without a gate an empty text."""
+    if gate is None:
+        return F.array(F.lit(""))
+    listed = F.col(gate) if df.schema[gate].dataType.typeName() == "array" else F.array(gate)
+    return F.array_distinct(F.array_compact(F.transform(listed, lambda x: x.cast("string"))))
+
+
+def blocks(df: DataFrame, key: str, vector: str, gate: str | None = None, size: int = BLOCK_BYTES) -> DataFrame:
+    """dim, gate, slot, rows (a list of doc, v): the usable vectors in blocks of about ``size`` bytes.
+
+    A vector with several gate values is in blocks of each. Null vectors, those
+    with components that are null or not finite, and rows without key are left out.
+    """
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    usable = df.where(F.col(vector).isNotNull() & ~bad & F.col(key).isNotNull())
+    rows = usable.select(F.col(key).cast("long").alias("doc"), normalized(F.col(vector)).alias("v"), F.explode(_gate_values(df, gate)).alias("gate")).withColumn("dim", F.size("v"))
+    each = F.greatest(F.lit(1), F.floor(size / (8.0 * F.greatest("dim", F.lit(1)))))
+    # counts decide how many slots a group has; a hot gate value has many, none of them larger than others
+    slots = rows.groupBy("dim", "gate").agg(F.count("*").alias("n")).select("dim", "gate", F.ceil(F.col("n") / each).cast("int").alias("slots"))
+    dealt = rows.join(slots, ["dim", "gate"]).withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int"))
+    return dealt.groupBy("dim", "gate", "slot").agg(F.collect_list(F.struct("doc", "v")).alias("rows"))
+
+
+def _best(ids: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, doc, score) of the k best docs of each column, ties by doc."""
+    if len(doc) > k:
+        low = np.partition(score, len(doc) - k, axis=0)[len(doc) - k]
+        at, q = np.nonzero((score >= low) & (score > -np.inf))
+    else:
+        at, q = np.nonzero(score > -np.inf)
+    order = np.lexsort((doc[at], -score[at, q], q))
+    at, q = at[order], q[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    at, q = at[keep], q[keep]
+    return ids[q], doc[at], score[at, q]
+
+
+def _products(k: int, others: bool):
+    def matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        doc, v = np.asarray(rows.values.field("doc")), np.asarray(rows.values.field("v").flatten())
+        return doc, v.reshape(len(doc), len(v) // len(doc))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, rows in zip(batch.column(0), batch.column(1)):
+                (ids, queries), (doc, vectors) = matrix(asked), matrix(rows)
+                score = np.round(vectors @ queries.T, 9)
                 if others:
                     score[doc[:, None] == ids[None, :]] = -np.inf
-                if gates is not None:
-                    score[~_gated(part["gate"], gates)] = -np.inf
-                order = np.lexsort((np.broadcast_to(doc[:, None], score.shape), -score), axis=0)[:k]
-                q = np.broadcast_to(np.arange(len(ids)), order.shape)
-                s = score[order, q]
-                ok = np.isfinite(s)
-                yield pd.DataFrame({"query": ids[q[ok]], "doc": doc[order[ok]], "score": s[ok]})
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(ids, score, doc, k)], ["query", "doc", "score"])
 
     return run
 
 
-def _gate_values(df: DataFrame, gate: str):
-    """A gate as a list of texts: a list has one for each of its values, null and null values none."""
-    listed = F.col(gate) if df.schema[gate].dataType.typeName() == "array" else F.array(gate)
-    return F.array_compact(F.transform(listed, lambda x: x.cast("string")))
+def search_blocks(stored: DataFrame, queries: DataFrame, key: str, vector: str, k: int, gate: str | None = None, others: bool = True) -> DataFrame:
+    """The search over blocks that ``blocks`` made."""
+    asked = blocks(queries, key, vector, gate, QUERY_BYTES).select("dim", "gate", F.col("rows").alias("asked"))
+    slots = stored.groupBy("dim", "gate").agg(F.max("slot").alias("last"))
+    sent = asked.join(slots, ["dim", "gate"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    work = stored.join(sent.hint("shuffle_hash"), ["dim", "gate", "slot"])
+    found = work.select("asked", "rows").mapInArrow(_products(k, others), "query long, doc long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    # a vector can share several gate values with a query
+    return (found.distinct() if gate else found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, gate: str | None = None, others: bool = True) -> DataFrame:
@@ -68,42 +101,6 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
 
     Gates are values of any type, or lists of them. Vectors of another length than
     the query's, null ones, and those with components that are null or not finite
-    take no part. Blocks of queries are multiplied with every batch of vectors; a
-    batch keeps its best k, so the shuffle carries k rows a batch and query. A pass
-    takes as many queries as ``PASS_BYTES`` hold.
+    take no part, as queries or candidates.
     """
-
-    def prepared(df: DataFrame) -> DataFrame:
-        bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        return df.where(F.col(vector).isNotNull() & ~bad).select(F.col(key).cast("long").alias("doc"), normalized(F.col(vector)).alias("v"), *([_gate_values(df, gate).alias("gate")] if gate else []))
-
-    spark = vectors.sparkSession
-    every = prepared(vectors)
-    found, blocks, held, used = None, [], {}, 0
-
-    def close(n: int) -> None:
-        rows = held.pop(n)
-        blocks.append((np.array([r["doc"] for r in rows]), np.array([r["v"] for r in rows]).reshape(len(rows), n), [r["gate"] for r in rows] if gate else None))
-
-    def flush() -> None:
-        nonlocal found, blocks, used
-        for n in list(held):
-            close(n)
-        part = every.mapInPandas(_topk(spark.sparkContext.broadcast(blocks), k, others), "query long, doc long, score double")
-        found = part if found is None else found.union(part)
-        blocks, used = [], 0
-
-    for r in prepared(queries).toLocalIterator():
-        n = len(r["v"])
-        held.setdefault(n, []).append(r)
-        used += 8 * n + 64
-        if len(held[n]) == BLOCK:
-            close(n)
-        if used > PASS_BYTES:
-            flush()
-    if held or blocks:
-        flush()
-    if found is None:
-        return spark.createDataFrame([], "query long, doc long, score double, rank int")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return search_blocks(blocks(vectors, key, vector, gate), queries, key, vector, k, gate, others)

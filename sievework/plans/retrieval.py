@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import features, redaction, rules
-from sievework.operators import bm25, dense, fusion, metrics, mining, partitioned
+from sievework.operators import bm25, dense, fusion, metrics, mining, partitioned, saved
 from sievework.session import read_table, spread
+from sievework.sources.files import fresh_path
 
+from . import registry
 from .registry import query
 
 _GRAMS = "case when length(c) = 0 then [] when length(c) <= 2 then [c] else list_transform(range(1, length(c)), lambda i: substr(c, i, 2)) end"
@@ -160,10 +162,14 @@ e as (select * from a qualify row_number() over (partition by query, part order
 select query, part, doc, round(score, 6) as score, row_number() over (partition by query order by score desc, doc)::int as rank from e qualify row_number() over (partition by query order by score desc, doc) <= 3""")
 def charge_partitioned_topk(spark, sf_dir):
     """Two predicted labels with quotas 2 and 1, structured reranking and a least score."""
+    return _by_charge(spark, sf_dir, _index(spark, sf_dir, "lang"))
+
+
+def _by_charge(spark, sf_dir, index):
     queries = read_table(spark, sf_dir, "benchmark")
     predicted = queries.select(F.col("item_id").alias("query"), F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.lit(p).alias("probability")) for n, p in (("en", 0.7), ("fr", 0.3))])).alias("x")).select("query", "x.*")
     given = partitioned.quotas(predicted, 3)
-    hits = partitioned.search(_index(spark, sf_dir, "lang"), queries, "item_id", "text", given, 3)
+    hits = partitioned.search(index, queries, "item_id", "text", given, 3)
     docs = spread(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), _factors(F.col("text")).alias("df"))
     asked = queries.select(F.col("item_id").alias("query"), _factors(F.col("text")).alias("qf"))
     none = F.lit(None).cast("double")
@@ -172,6 +178,31 @@ def charge_partitioned_topk(spark, sf_dir):
     return partitioned.selected(partitioned.rescored(marked)).select("query", "part", "doc", F.round("score", 6).alias("score"), "rank")
 
 
+@query(registry.ORACLES["bm25_topk"])
+def bm25_saved_index(spark, sf_dir):
+    """bm25_topk from an index on disk."""
+    root = fresh_path(spark, "sparse")
+    saved.save_sparse(_index(spark, sf_dir), root)
+    scored = bm25.scores(saved.load_sparse(spark, root), read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return bm25.top(scored, 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query(registry.ORACLES["charge_partitioned_topk"])
+def partitioned_saved_index(spark, sf_dir):
+    """charge_partitioned_topk from an index on disk."""
+    root = fresh_path(spark, "sparse")
+    saved.save_sparse(_index(spark, sf_dir, "lang"), root)
+    return _by_charge(spark, sf_dir, saved.load_sparse(spark, root))
+
+
+@query(registry.ORACLES["dense_filtered"])
+def dense_saved_index(spark, sf_dir):
+    """dense_filtered from an index on disk."""
+    v, root = read_table(spark, sf_dir, "embeddings"), fresh_path(spark, "dense")
+    saved.save_dense(v, root, "vec_id", "embedding", "label")
+    return saved.search_dense(spark, root, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, "label").withColumn("score", F.round("score", 6)).select("query", "doc", "score", "rank")
+
+
 def _tag_sql(column):
     return "list_filter([" + ", ".join(f"case when regexp_matches({column}, '{p}') then '{n}' end" for n, p in rules.FACTORS) + "], lambda x: x is not null)"
 

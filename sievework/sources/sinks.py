@@ -1,4 +1,4 @@
-"""Writers, manifests and digests."""
+"""Writers, manifests and digests. Versions of a folder are in publish.py, search indexes in operators/saved.py."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import platform
 import shutil
 import subprocess
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,42 +22,16 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexis
     df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
-def write_index(terms: DataFrame, path: str, part: str = "part") -> None:
-    """An index table partitioned by label, so that a search reads only its labels."""
-    terms.write.mode("errorifexists").partitionBy(part).parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    if expected is not None and df.count() != expected:
-        raise ValueError(f"{path} does not have {expected} rows")
-    return df
-
-
-def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then puts the new folder in its place; the old one is kept until then."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    staged, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".staged", path, path + ".old"))
-    df.write.mode("overwrite").parquet(path + ".staged")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"can't move {path}")
-    if not fs.rename(staged, target):
-        raise OSError(f"can't move {path}.staged")
-    fs.delete(old, True)
-
-
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and SHA-256 of every file under a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str, **counters) -> str:
-    """A JSON manifest of a written folder: its files' digests and given counters."""
+    """A JSON manifest of a written folder: its files' digests by their paths below the folder, and given counters."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     rows = file_digests(spark, path).orderBy("path").collect()
-    return json.dumps({"files": {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in rows}, **counters}, sort_keys=True, ensure_ascii=False)
+    return json.dumps({"files": {unquote(urlsplit(r["path"]).path).split(root, 1)[-1]: r["sha256"] for r in rows}, **counters}, sort_keys=True, ensure_ascii=False)
 
 
 def environment(spark: SparkSession) -> dict:
