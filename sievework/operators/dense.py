@@ -25,8 +25,9 @@ _EPS = 1.1920929e-07  # of 32-bit floats
 def normalized(vector: Column) -> Column:
     """A vector of doubles of length 1; lengths below the smallest float step count as that."""
     wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(wide, lambda x: x / F.greatest(norm, F.lit(_EPS)))
+    norm = F.greatest(F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x)), F.lit(_EPS))
+    # the length is bound to a variable: written inside the transform, it would be computed for each component
+    return F.get(F.transform(F.array(F.named_struct(F.lit("v"), wide, F.lit("n"), norm)), lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))
 
 
 def _gate_values(df: DataFrame, gate: str | None) -> Column:

@@ -3,14 +3,15 @@
 An index is one published version (sources/publish.py) of a few tables. Tables that
 a search joins are bucketed and sorted by the join's keys, and the commit lists
 each one's schema, buckets and number of rows; opening an index compares these
-with what is there. A sparse index has its postings by (part, term, salt): terms
-with more than ``HOT`` postings are spread over several salts, which the table of
-terms lists, so no bucket holds a whole hot term. A dense index has blocks of
-vectors by (dim, gate, slot).
+with what is there. A sparse index has its postings by (part, term), and those of
+terms with more than ``HOT`` postings in a table of their own by (part, term,
+salt), so no bucket holds a whole hot term; the table of terms lists the number
+of salts. A dense index has blocks of vectors by (dim, gate, slot).
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +37,21 @@ class Tables:
         self.spark, self.publication = spark, Publication(spark, root)
         self.folder, self.tables = self.publication.stage(), {}
 
-    def add(self, name: str, df: DataFrame, by: list[str] | None = None, n: int | None = None) -> DataFrame:
-        """Writes a table, bucketed by columns if some are given, and gives it back as it can be read."""
-        path, count = f"{self.folder}/{name}", n or buckets(self.spark)
+    def add(self, name: str, df: DataFrame, by: list[str] | None = None, dealt: bool = False) -> DataFrame:
+        """Writes a table, bucketed by columns if some are given (``dealt``: df is already), and gives it back as it can be read."""
+        path, count = f"{self.folder}/{name}", buckets(self.spark)
         if by:
             table = f"saved_{uuid.uuid4().hex}"
-            df.repartition(count, *by).write.format("parquet").bucketBy(count, *by).sortBy(*by).option("path", path).saveAsTable(table)
+            (df if dealt else df.repartition(count, *by)).write.format("parquet").bucketBy(count, *by).sortBy(*by).option("path", path).saveAsTable(table)
             self.spark.sql(f"drop table {table}")  # the catalog's entry; the files stay
         else:
             df.write.parquet(path)
         self.tables[name] = {"schema": df.schema.toDDL(), "by": by or [], "buckets": count if by else 0}
         back = opened(self.spark, path, self.tables[name])
         self.tables[name]["rows"] = back.count()
+        del df
+        gc.collect()  # shuffle files that only served the writing go with the driver's garbage
+        self.spark.sparkContext._jvm.System.gc()
         return back
 
     def drop(self, name: str) -> None:
@@ -78,8 +82,8 @@ def load(spark: SparkSession, root: str, kind: str) -> tuple[dict[str, DataFrame
         raise ValueError(f"{root} holds {commit.get('kind')}, not {kind}")
     folder, tables = publication.folder(commit), {}
     for name, spec in commit["tables"].items():
-        tables[name] = opened(spark, f"{folder}/{name}", spec)
-        found = tables[name].count()
+        table = tables[spec.get("serves", name)] = opened(spark, f"{folder}/{name}", spec)
+        found = table.count()
         if found != spec["rows"]:
             raise ValueError(f"{folder}/{name} has {found} rows instead of {spec['rows']}")
     return tables, commit
@@ -90,30 +94,36 @@ class SparseIndex(bm25.Index):
 
     def __init__(self, tables: dict[str, DataFrame], commit: dict):
         super().__init__(tables["docs"], tables["postings"], tables["sizes"])
-        self.vocabulary, self.n = tables["terms"], commit["n"]
+        self.vocabulary, self.hot, self.n = tables["terms"], tables.get("hot"), commit["n"]
 
     def idf(self, wanted: DataFrame) -> DataFrame:
         return bm25.with_idf(self.vocabulary.join(wanted.select("term").distinct(), "term", "left_semi").select("part", "term", "df"), self.sizes)
 
     def hits(self, kept: DataFrame, few: bool) -> DataFrame:
         # the query's side is hashed, so that the index is neither shuffled nor sorted
-        salted = kept.join(self.vocabulary.select("part", "term", "salts"), ["part", "term"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        return self.terms.join(salted.hint("shuffle_hash"), ["part", "term", "salt"]).drop("salt")
+        if self.hot is None:
+            return self.terms.join(kept.hint("shuffle_hash"), ["part", "term"])
+        salted = kept.join(self.vocabulary.select("part", "term", "salts"), ["part", "term"])
+        cold = self.terms.join(salted.where("salts = 1").drop("salts").hint("shuffle_hash"), ["part", "term"])
+        each = salted.where("salts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return cold.unionByName(self.hot.join(each.hint("shuffle_hash"), ["part", "term", "salt"]).drop("salt"))
 
 
 def save_sparse(index: bm25.Index, root: str, n: int = 2, hot: int = HOT, **info) -> dict:
     """Writes an index that ``bm25.build`` made of n-grams of size n; returns its commit."""
-    spark = index.terms.sparkSession
-    out = Tables(spark, root)
+    out = Tables(index.terms.sparkSession, root)
     out.add("docs", index.docs)
     out.add("sizes", index.sizes)
-    raw = out.add("raw", index.terms)
+    postings = out.add("postings", index.terms.select("part", "term", "doc", "dl", "tf"), ["part", "term"])
     salts = F.greatest(F.lit(1), F.ceil(F.col("df") / hot)).cast("int").alias("salts")
-    terms = out.add("terms", raw.groupBy("part", "term").agg(F.count("*").alias("df")).select("part", "term", "df", salts), ["term"])
-    spread = terms.where("salts > 1").select("part", "term", "salts")
-    salted = raw.join(spread, ["part", "term"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("salts")), F.lit(0)).cast("int"))
-    out.add("postings", salted.select("part", "term", "salt", "doc", "dl", "tf"), ["part", "term", "salt"])
-    out.drop("raw")
+    terms = out.add("terms", postings.groupBy("part", "term").agg(F.count("*").alias("df")).select("part", "term", "df", salts), ["term"])
+    many = terms.where("salts > 1").select("part", "term", "salts")
+    if not many.isEmpty():
+        salted = postings.join(many.hint("shuffle_hash"), ["part", "term"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
+        out.add("hot", salted.select("part", "term", "salt", "doc", "dl", "tf"), ["part", "term", "salt"])
+        out.add("cold", postings.join(many.hint("shuffle_hash"), ["part", "term"], "left_anti"), ["part", "term"], dealt=True)
+        out.drop("postings")
+        out.tables["cold"]["serves"] = "postings"
     return out.commit(kind="sparse", n=n, hot=hot, **info)
 
 

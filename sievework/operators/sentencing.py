@@ -16,6 +16,9 @@ from sievework.functions.redaction import tags
 from sievework.functions.text import character_ngrams, md5_bits
 from sievework.session import spread
 
+from . import sparse
+from .dense import normalized
+
 #: Buckets of hashed n-grams, sizes of the n-grams.
 BUCKETS, SIZES = 1 << 18, (2, 3, 4)
 # Parts of the evidence score, its least value, texts that are too short, the confidence below which a person reviews.
@@ -45,8 +48,30 @@ def vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
     return counts.join(norm, "key").select(F.col("key").alias(key), "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def packed(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, buckets, weights: the same vectors, one row each."""
+    # texts are dealt by key once, so that grams are counted and gathered where they are made
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = df.select(F.col(key).alias("key"), text.alias("text")).repartition(tasks, "key")
+    counts = dealt.select("key", F.explode(ngrams(F.col("text"))).alias("gram")).groupBy("key", (md5_bits(F.col("gram")) % BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
+    rows = counts.groupBy("key").agg(F.collect_list(F.struct("bucket", "n")).alias("entries"))
+    return rows.select(F.col("key").alias(key), F.col("entries.bucket").alias("buckets"), normalized(F.transform("entries", lambda e: e["n"].cast("double"))).alias("weights"))
+
+
+def similar_cases(docs: DataFrame, queries: DataFrame, k: int = 3, multiplier: int = 20) -> DataFrame:
+    """query, doc, cosine of each query's best candidates for evidence(); gates are lists of labels.
+
+    docs: doc, buckets, weights, labels; queries: query, buckets, weights, labels.
+    Only documents that share a label with the query take part; a query without labels meets all.
+    """
+    return sparse.nearest(docs, queries, "doc", "query", max(k * multiplier, k), F.col("labels"), F.col("labels"))
+
+
 def cosines(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, doc, cosine of those that share a bucket (docs: doc, bucket, weight; queries: query, bucket, weight)."""
+    """query, doc, cosine of those that share a bucket (docs: doc, bucket, weight; queries: query, bucket, weight).
+
+    Nearly all pairs: for small tables. similar_cases() makes no such pairs.
+    """
     met = queries.withColumnRenamed("weight", "w").join(docs, "bucket")
     return met.groupBy("query", "doc").agg(F.round(F.sum(F.col("w") * F.col("weight")), 9).alias("cosine"))
 

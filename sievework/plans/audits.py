@@ -8,27 +8,41 @@ from sievework.functions import features, redaction, rules
 from sievework.functions.money import bucket
 from sievework.operators import audits, policy, sentencing
 from sievework.session import read_table, spread
+from sievework.sources.files import stored
 
 from .registry import query
 
 
+_TAGS = "list_filter([" + ", ".join(f"case when regexp_matches({{0}}, '{p}') then '{n}' end" for n, p in rules.FACTORS) + "], lambda x: x is not null)"
+
+
 @query("""
 with g as (select doc_id, unnest(list_concat(list_concat(case when length(c) = 0 then [] when length(c) <= 2 then [c] else list_transform(range(1, length(c)), lambda i: substr(c, i, 2)) end, case when length(c) = 0 then [] when length(c) <= 3 then [c] else list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)) end), case when length(c) = 0 then [] when length(c) <= 4 then [c] else list_transform(range(1, length(c) - 2), lambda i: substr(c, i, 4)) end)) as gram, kind from
   (select doc_id, regexp_replace(text, '\\s+', '', 'g') as c, 'd' as kind from documents union all select item_id, regexp_replace(text, '\\s+', '', 'g'), 'q' from benchmark)),
 n as (select kind, doc_id, ('0x' || substr(md5(gram), 1, 15))::bigint % 262144 as bucket, count(*) as n from g group by all),
 w as (select kind, doc_id, bucket, n / sqrt(sum(n * n) over (partition by kind, doc_id)) as weight from n),
 s as (select q.doc_id as query, d.doc_id as doc, round(sum(q.weight * d.weight), 9) as cosine from w q join w d on q.kind = 'q' and d.kind = 'd' and q.bucket = d.bucket group by all),
-k as (select s.*, source, lang from s join documents on doc_id = doc qualify row_number() over (partition by query order by cosine desc, doc) <= 60),
-t as (select *, least(1.0, round(0.7 * greatest(0.0, least(1.0, cosine)) + 0.2 * 0.5 + 0.1 * (lang = 'en')::int, 9)) as score from k), g2 as (select * from t where score >= 0.2),
+e as (select s.*, source, d.lang, d.text as dt, b.text as qt from s join documents d on d.doc_id = doc join benchmark b on b.item_id = query where d.lang = ['en', 'fr', 'de', 'es', null][query % 5 + 1] or query % 5 = 4),
+k as (select *, {tags_q} as qf, {tags_d} as df from e qualify row_number() over (partition by query order by cosine desc, doc) <= 60),
+st as (select *, 0.6 * exp(-abs(ln(1.0 + length(qt)) - ln(1.0 + length(dt)))) + 0.4 * case when len(list_distinct(list_concat(qf, df))) = 0 then 0.5 else len(list_intersect(qf, df)) / len(list_distinct(list_concat(qf, df))) end as structure from k),
+t as (select *, least(1.0, round(0.7 * greatest(0.0, least(1.0, cosine)) + 0.2 * structure + 0.1 * (query % 5 <> 4)::int, 9)) as score from st), g2 as (select * from t where score >= 0.2),
 o as (select * from g2 qualify row_number() over (partition by query, source order by score desc, doc) = 1)
 select query, doc, source as case_id, round(score, 6)::double as score, row_number() over (partition by query order by score desc, doc)::int as rank from o qualify row_number() over (partition by query order by score desc, doc) <= 3
-""")
+""".replace("{tags_q}", _TAGS.format("qt")).replace("{tags_d}", _TAGS.format("dt")))
 def sentencing_evidence(spark, sf_dir):
+    """Cases whose language is the one predicted for the query; every fifth query has no prediction and meets all cases."""
     docs, asked = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    d = sentencing.vectors(docs, "doc_id", F.col("text")).withColumnRenamed("doc_id", "doc")
-    q = sentencing.vectors(asked, "item_id", F.col("text")).withColumnRenamed("item_id", "query")
-    met = sentencing.cosines(d, q).join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("case_id"), (F.col("lang") == "en").alias("same_labels")), "doc")
-    return sentencing.evidence(met.withColumn("structure", F.lit(0.5))).select("query", "doc", "case_id", F.round("score", 6).alias("score"), "rank")
+    predicted = F.get(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("item_id") % 5).cast("int"))
+
+    def told(df, key, labels, more):
+        return df.select(F.col(key).alias(more), labels.alias("labels"), redaction.tags(F.col("text"), rules.FACTORS).alias(f"{more}_tags"), F.length("text").alias(f"{more}_size"), *(["source"] if more == "doc" else []))
+
+    d, q = told(docs, "doc_id", F.array_compact(F.array("lang")), "doc"), told(asked, "item_id", F.array_compact(F.array(predicted)), "query")
+    vectors = stored(sentencing.packed(docs, "doc_id", F.col("text")), "vectors").withColumnRenamed("doc_id", "doc").join(d.select("doc", "labels"), "doc")
+    queries = sentencing.packed(asked, "item_id", F.col("text")).withColumnRenamed("item_id", "query").join(q.select("query", "labels"), "query")
+    met = sentencing.similar_cases(vectors, queries).join(d.drop("labels"), "doc").join(q, "query")
+    scored = met.select("query", "doc", "cosine", F.col("source").alias("case_id"), features.evidence_similarity(F.col("query_tags"), F.col("doc_tags"), F.col("query_size"), F.col("doc_size")).alias("structure"), (F.size("labels") > 0).alias("same_labels"))
+    return sentencing.evidence(scored).select("query", "doc", "case_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""

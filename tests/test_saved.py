@@ -55,7 +55,8 @@ def test_sparse_search_from_disk(spark, tmp_path, part, hot):
     commit = saved.save_sparse(index, root, hot=hot)
     loaded = saved.load_sparse(spark, root)
     assert (loaded.vocabulary.agg({"salts": "max"}).first()[0] > 1) == (hot == 5)
-    assert commit["tables"]["postings"]["rows"] == index.terms.count()
+    kept = [commit["tables"][t]["rows"] for t in ("postings", "cold", "hot") if t in commit["tables"]]
+    assert sum(kept) == index.terms.count() and len(kept) == (1 if hot > 5 else 2)
     queries = spark.createDataFrame([(1, "black wizards"), (2, "zzz"), (3, None), (4, TEXT)], "q long, t string")
     want = sorted(bm25.scores(index, queries, "q", "t").collect(), key=str)
     got = bm25.scores(loaded, queries, "q", "t")
@@ -111,3 +112,46 @@ def test_a_damaged_index_is_refused(spark, tmp_path):
     shutil.move(f"{folder}/{lost}", tmp_path / "lost")
     with pytest.raises(ValueError, match="rows instead of"):
         saved.load_sparse(spark, root)
+
+
+def test_sparse_search_is_exact_with_few_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import sparse
+
+    rng = np.random.default_rng(6)
+    chance = 1 / np.arange(1, 3001)
+
+    def vector(topic):
+        b = np.unique(np.concatenate([rng.choice(3000, 12, p=chance / chance.sum()), topic]))
+        w = rng.integers(1, 6, len(b)).astype(float)
+        return [int(x) for x in b], [float(x) for x in w / np.sqrt((w * w).sum())]
+
+    topics = [rng.choice(np.arange(500, 3000), 40) for _ in range(30)]
+    docs = [(i, *vector(rng.choice(topics[i % 30], 90)), [["a"], ["a", "b"], [], None, ["c", None]][i % 5]) for i in range(1500)]
+    docs += [(2000 + i, *docs[3][1:3], ["b"]) for i in range(30)] + [(3000, [], [], ["a"])]  # ties, and a text without grams
+    asked = [(i, *vector(rng.choice(topics[i % 30], 90)), [["a"], ["b", "c"], []][i % 3]) for i in range(40)] + [(90, [5000], [1.0], ["a"]), (91, [], [], ["a"])]
+    d = spark.createDataFrame(docs, "doc long, buckets array<int>, weights array<double>, labels array<string>")
+    q = spark.createDataFrame(asked, "query long, buckets array<int>, weights array<double>, labels array<string>")
+    k, want, pairs = 7, {}, 0
+    for query, b, w, labels in asked:
+        mine, found = dict(zip(b, w)), []
+        for doc, db, dw, dl in docs:
+            s = sum(mine[x] * y for x, y in zip(db, dw) if x in mine)
+            if s > 0 and (not labels or set(labels) & set(dl or [])):
+                found.append((-round(s, 9), doc))
+        pairs += len(found)
+        want[query] = [(doc, -s) for s, doc in sorted(found)[:k]]
+    got: dict = {query: [] for query in want}
+    for r in sparse.nearest(d, q, "doc", "query", k, F.col("labels"), F.col("labels")).orderBy("query", F.desc("cosine"), "doc").collect():
+        got[r["query"]].append((r["doc"], r["cosine"]))
+    assert {x: [doc for doc, _ in v] for x, v in got.items()} == {x: [doc for doc, _ in v] for x, v in want.items()}
+    for size in (4000, sparse.BLOCK):  # many blocks, or one
+        stored = sparse.blocks(d, "doc", sparse.gates(F.col("labels")), size)
+        few = sparse.candidates(stored, sparse.blocks(q, "query", sparse.asked_gates(F.col("labels"))), k).count()
+        assert few < pairs / (2 if size == 4000 else 10)
+    # documents that are verified with all buckets are few
+    block = sparse._Inverted(np.array([x[0] for x in docs[:1500]]), np.cumsum([0] + [len(x[1]) for x in docs[:1500]]), np.concatenate([x[1] for x in docs[:1500]]), np.concatenate([x[2] for x in docs[:1500]]))
+    for _, b, w, _ in asked[:40]:
+        block.best(np.array(b), np.array(w), k, -1.0)
+    assert block.verified < 0.3 * 40 * 1500
