@@ -42,7 +42,7 @@ class Tables:
         path, count = f"{self.folder}/{name}", buckets(self.spark)
         if by:
             table = f"saved_{uuid.uuid4().hex}"
-            (df if dealt else df.repartition(count, *by)).write.format("parquet").bucketBy(count, *by).sortBy(*by).option("path", path).saveAsTable(table)
+            (df if dealt else df.repartition(count, *by)).write.format("parquet").option("compression", "zstd").bucketBy(count, *by).sortBy(*by).option("path", path).saveAsTable(table)
             self.spark.sql(f"drop table {table}")  # the catalog's entry; the files stay
         else:
             df.write.parquet(path)

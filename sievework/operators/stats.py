@@ -109,16 +109,19 @@ def schema_variants(json_texts: DataFrame, column: str) -> DataFrame:
     return json_texts.select(F.coalesce(keys, F.lit("<invalid>")).alias("keys")).groupBy("keys").agg(F.count("*").alias("n"))
 
 
-def padding(df: DataFrame, length: str, tie: str, batch: int, multiple: int = 8, cap: int = 2048) -> DataFrame:
-    """Share of padding if rows in order of (length, tie) form batches padded to a multiple of their longest row.
+def padding(df: DataFrame, length: str, batch: int, multiple: int = 8, cap: int = 2048) -> DataFrame:
+    """Share of padding if rows in order of length form batches padded to a multiple of their longest row.
 
-    Rows of a length are ranked among themselves, behind the counts of all
-    shorter ones, so no window holds the whole table.
+    A batch's longest row is its last one, so the counts of lengths tell all:
+    between a length's first and last place lie as many ends of batches as whole
+    batches end there. Only the last batch may have fewer rows. Rows without
+    length don't count.
     """
-    counts = df.groupBy(F.col(length).alias("__n")).agg(F.count("*").alias("__c"))
-    before = counts.select("__n", (F.sum("__c").over(Window.orderBy("__n")) - F.col("__c")).alias("__before"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__n").orderBy(tie)) - 1
-    ranked = df.withColumn("__n", F.col(length)).join(before, "__n").select(F.least(F.col("__n"), F.lit(cap)).alias("n"), place.alias("k"))
-    batches = ranked.groupBy(F.floor(F.col("k") / batch).alias("b")).agg(F.sum("n").alias("used"), F.count("*").alias("rows"), F.max("n").alias("longest"))
-    width = F.least(F.ceil(F.col("longest") / multiple) * multiple, F.lit(cap))
-    return batches.agg(F.count("*").alias("batches"), F.sum("used").alias("used"), F.sum(F.col("rows") * width).alias("padded")).withColumn("padding_ratio", 1 - F.col("used") / F.col("padded"))
+    counts = df.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("n")).agg(F.count("*").alias("c"))
+    order = Window.orderBy("n")
+    ends = counts.withColumn("after", F.sum("c").over(order)).withColumn("whole", F.floor(F.col("after") / batch) - F.floor((F.col("after") - F.col("c")) / batch))
+    kept = F.least(F.col("n"), F.lit(cap))
+    width = F.least(F.ceil(kept / multiple) * multiple, F.lit(cap))
+    total = ends.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * kept).alias("used"), F.sum(F.col("whole") * batch * width).alias("whole"), F.max(width).alias("widest"))
+    padded = F.col("whole") + F.col("rows") % batch * F.col("widest")
+    return total.select(F.ceil(F.coalesce("rows", F.lit(0)) / batch).alias("batches"), "used", padded.alias("padded")).withColumn("padding_ratio", 1 - F.col("used") / F.col("padded"))

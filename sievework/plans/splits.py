@@ -124,13 +124,29 @@ def length_buckets(spark, sf_dir):
     return batches.groupBy("bucket").agg(F.count("*").alias("rows"), F.count_distinct("batch").alias("batches"), F.max("n").alias("longest"))
 
 
+@query("""
+with d as (select doc_id, greatest(1, coalesce(length(text), 0)) as n from documents),
+b as (select doc_id, len(list_filter([512, 1024, 2048, 4096], lambda e: e <= n)) as bucket, ('0x' || substr(md5(':' || doc_id || ':43'), 1, 15))::bigint as h from d),
+r as (select *, row_number() over (partition by bucket order by h, doc_id) - 1 as k, count(*) over (partition by bucket) as m from b),
+f as (select doc_id, bucket, k // 16 as i, k % 16 as place from r where k < m - m % 16),
+g as (select doc_id, row_number() over (order by ('0x' || substr(md5('rest:' || doc_id || ':43'), 1, 15))::bigint, doc_id) - 1 as k from r where k >= m - m % 16),
+u as (select * from f union all select doc_id, -1, k // 16, k % 16 from g),
+o as (select bucket, i, count(*) as rows, row_number() over (order by ('0x' || substr(md5('batch:' || bucket || '/' || i || ':43'), 1, 15))::bigint, bucket, i) - 1 as batch from u group by bucket, i)
+select doc_id, u.bucket::int as bucket, batch, place, rows, rows / 16 as loss_scale from u join o using (bucket, i)
+""")
+def token_bucket_batches(spark, sf_dir):
+    """The second epoch's batch of each document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n"))
+    return split.token_batches(docs, "doc_id", "n", [512, 1024, 2048, 4096], 16, epoch=1).drop("n")
+
+
 @query("""
 with d as (select least(length(text), 2048) as n, row_number() over (order by length(text), doc_id) - 1 as k from documents), b as (select k // 4 as b, sum(n) as used, count(*) as rows, max(n) as longest from d group by 1)
 select count(*) as batches, sum(used)::bigint as used, sum(rows * least(ceil(longest / 8) * 8, 2048))::bigint as padded, round(1 - sum(used) / sum(rows * least(ceil(longest / 8) * 8, 2048)), 6) as padding_ratio from b
 """)
 def padding_stats(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    return stats.padding(docs, "n", "doc_id", 4).withColumn("padding_ratio", F.round("padding_ratio", 6))
+    return stats.padding(docs, "n", 4).withColumn("padding_ratio", F.round("padding_ratio", 6))
 
 
 @query("""

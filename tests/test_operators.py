@@ -133,16 +133,6 @@ def test_temporal_split_keeps_groups(spark):
     assert [got[g] for g in range(10)] == ["train"] * 6 + ["validation"] * 2 + ["test"] * 2
 
 
-def test_stratified_split_and_subset(spark):
-    df = spark.createDataFrame([(i, [f"l{i % 4}"] + (["rare"] if i < 10 else [])) for i in range(400)], "id int, l array<string>")
-    out = split.stratified_split(df, "id", "l", {"train": 0.8, "validation": 0.1, "test": 0.1}, blocks=4)
-    n = dict(out.groupBy("split").count().collect())
-    assert sum(n.values()) == 400 and 300 <= n["train"] <= 340 and out.select("id").distinct().count() == 400
-    assert sorted(out.collect()) == sorted(split.stratified_split(df, "id", "l", {"train": 0.8, "validation": 0.1, "test": 0.1}, blocks=4).collect())
-    sub = split.coverage_subset(df, "id", "l", 6)
-    assert sub.count() == 6 and {x for r in sub.collect() for x in r["labels"]} == {"l0", "l1", "l2", "l3", "rare"}
-
-
 def test_multilabel_metrics(spark):
     df = spark.createDataFrame([(["a"], ["a"]), (["b"], ["b"])], "g array<string>, p array<string>")
     r = metrics.multilabel(metrics.label_counts(df, "g", "p", ["a", "b", "c"]), 2).first()
