@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import money, redaction, rules, text
-from sievework.operators import dedup, quality, stats
+from sievework.operators import dedup, knowledge, quality, stats
 from sievework.session import read_table, spread
+from sievework.sources.files import fresh_path
 
 from .registry import query
 
@@ -233,3 +234,16 @@ def near_duplicate_pairs(spark, sf_dir):
 def first_wins_dedup(spark, sf_dir):
     d = _docs(spark, sf_dir).select(F.md5("text").alias("text_md5"), "doc_id", F.col("lang").alias("doc_lang"))
     return dedup.first_wins(d, "text_md5", ["doc_id"])
+
+
+@query("""
+select doc_id::varchar as case_id, sha256(case when doc_id % 10 = 0 then coalesce(text, '') || ' (amended)' else coalesce(text, '') end) as content_sha256, doc_id % 10 = 0 as replaced from documents where doc_id % 17 <> 0
+""")
+def knowledge_build(spark, sf_dir):
+    """A knowledge base of all documents, then of an edition in which some are changed and some are missing."""
+    docs, root = read_table(spark, sf_dir, "documents"), fresh_path(spark, "knowledge")
+    knowledge.build(docs, root, "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    edition = docs.where("doc_id % 17 <> 0").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat(text, F.lit(" (amended)"))).otherwise(text).alias("text"))
+    last = knowledge.build(edition, root, "doc_id", "text")
+    return knowledge.documents(spark, root).select("case_id", "content_sha256", (F.col("segment") == last["version"]).alias("replaced"))

@@ -68,9 +68,11 @@ class Publication:
         return self.commit(self.folder(earlier[-1]), **last | {"rolled_back_from": found[-1]["version"]})
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Deletes all but the last versions that were current, and what was staged and never committed; no writer may be at work."""
-        order = list(dict.fromkeys(c["version"] for c in reversed(self.history())))
-        gone = [v for v in self.files.names(f"{self.root}/data") if v not in order[: max(keep, 1)]]
+        """Deletes all but the last versions that were current and the ``segments`` that they refer to, and what was staged and never committed; no writer may be at work."""
+        commits = {c["version"]: c for c in self.history()}
+        order = list(dict.fromkeys(c["version"] for c in reversed(self.history())))[: max(keep, 1)]
+        needed = {*order, *(s for v in order for s in commits[v].get("segments", []))}
+        gone = [v for v in self.files.names(f"{self.root}/data") if v not in needed]
         for v in gone:
             self.files.delete(f"{self.root}/data/{v}")
         return gone
