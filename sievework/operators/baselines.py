@@ -1,15 +1,20 @@
-"""Majority and hashed n-gram baselines on pyspark.ml."""
+"""Majority and n-gram baselines: hashed ones on pyspark.ml, and multilabel ones over a chosen vocabulary."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import character_ngrams
 from sievework.session import spread
+from sievework.sources.files import stored
 
 
 def ngram_model(features: int = 1 << 14, iterations: int = 15) -> Pipeline:
@@ -34,3 +39,161 @@ def compare(docs: DataFrame, share: int = 5) -> DataFrame:
     model = ngram_model().fit(train)
     hits = model.transform(test).agg(F.count("*").alias("rows"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("int")), 6).alias("accuracy"))
     return majority.select(F.lit("majority").alias("model"), "rows", "accuracy").union(hits.select(F.lit("ngrams"), "rows", "accuracy"))
+
+
+#: Sizes of the n-grams, most of them in the vocabulary, documents that a gram needs.
+SIZES, FEATURES, LEAST_DOCS = (2, 3, 4), 60_000, 2
+#: Rows that a task fits at once, times it goes through them, rows of a step, and the step's size.
+CHUNK, TURNS, STEP_ROWS, RATE = 2048, 20, 16, 0.5
+
+
+def _grams(text: Column) -> Column:
+    """All n-grams of a text in small letters, with runs of white space as one space."""
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+    def of(n: int) -> Column:
+        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in SIZES])
+
+
+def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, gram, tf."""
+    return spread(docs.select(key, F.explode(_grams(F.col(text))).alias("gram"))).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(counts: DataFrame, key: str, rows: int, features: int = FEATURES) -> DataFrame:
+    """gram, feature (from 0, by gram), idf: the most frequent grams of all texts that are in several of them, ties by gram."""
+    total = counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= LEAST_DOCS)
+    best = total.orderBy(F.desc("tf"), "gram").limit(features).withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
+    # at most ``features`` rows are numbered
+    listed = best.agg(F.array_sort(F.collect_list(F.struct("gram", "idf"))).alias("all"))
+    return listed.select(F.posexplode("all").alias("feature", "x")).select("x.gram", "feature", "x.idf")
+
+
+def weighted(counts: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """key, features, weights: (1 + log tf) idf of the known grams, of length 1; texts without any have no row."""
+    met = counts.join(F.broadcast(words), "gram").select(key, "feature", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    rows = met.groupBy(key).agg(F.collect_list(F.struct("feature", "w")).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.select(key, F.col("e.feature").alias("features"), F.transform("e", lambda x: x["w"] / F.col("norm")).alias("weights"))
+
+
+class Linear:
+    """One linear model a label over sparse rows, all updated at once by logistic loss."""
+
+    def __init__(self, features: int, labels: int):
+        self.w, self.bias = np.zeros((features, labels), np.float32), np.full(labels, -1.0, np.float32)
+        self.past, self.past_bias = np.full((features, labels), 1e-2, np.float32), np.full(labels, 1e-2, np.float32)
+
+    def scores(self, begin: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.tile(self.bias, (len(begin) - 1, 1))
+        some = np.flatnonzero(np.diff(begin))
+        if len(some):
+            out[some] += np.add.reduceat(self.w[feature] * weight[:, None], begin[some], axis=0)
+        return out
+
+    def step(self, begin: np.ndarray, feature: np.ndarray, weight: np.ndarray, y: np.ndarray) -> None:
+        """Adaptive gradient descent on a few rows; rare grams take larger steps."""
+        error = (1 / (1 + np.exp(-self.scores(begin, feature, weight))) - y).astype(np.float32)
+        row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        own, at = np.unique(feature, return_inverse=True)
+        gradient = np.zeros((len(own), y.shape[1]), np.float32)
+        np.add.at(gradient, at, error[row] * weight[:, None])
+        self.past[own] += gradient**2
+        self.w[own] -= RATE * gradient / np.sqrt(self.past[own])
+        b = error.sum(axis=0)
+        self.past_bias += b**2
+        self.bias -= RATE * b / np.sqrt(self.past_bias)
+
+
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    f, w = batch.column(0), batch.column(1)
+    offsets = np.asarray(f.offsets)
+    return offsets - offsets[0], np.asarray(f.flatten()), np.asarray(w.flatten()).astype(np.float32)
+
+
+def fit(rows: DataFrame, features: int, labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, biases) from features, weights, ys (label numbers), in one pass over the rows.
+
+    Every task fits its rows, a chunk after the other, and the tasks' models are
+    averaged by their rows, label by label. A model is as large as labels times
+    features, however many rows there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen, rng = Linear(features, labels), 0, np.random.default_rng(0)
+        for whole in batches:
+            for a in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(a, CHUNK)
+                begin, f, w = _sparse(batch)
+                y = np.zeros((batch.num_rows, labels), np.float32)
+                of = np.asarray(batch.column(2).offsets)
+                y[np.repeat(np.arange(len(y)), np.diff(of)), np.asarray(batch.column(2).flatten())] = 1
+                seen += len(y)
+                for _ in range(TURNS):
+                    order = rng.permutation(len(y))
+                    for at in range(0, len(y), STEP_ROWS):
+                        part = order[at : at + STEP_ROWS]
+                        size = np.diff(begin)[part]
+                        where = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                        model.step(np.concatenate([[0], np.cumsum(size)]), f[where], w[where], y[part])
+        if seen:
+            full = np.concatenate([model.w, model.bias[None]]).T.astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array(range(labels), pa.int32()), pa.array([seen] * labels, pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], ["label", "n", "w"])
+
+    def averaged(table: pa.Table) -> pa.Table:
+        n = np.asarray(table.column("n"), np.float64)
+        w = np.stack([np.frombuffer(x, "<f4") for x in table.column("w").to_pylist()])
+        mean = (w * (n / n.sum())[:, None]).sum(axis=0).astype("<f4")
+        return pa.table({"label": table.column("label")[:1], "w": pa.array([mean.tobytes()], pa.binary())})
+
+    models = rows.select("features", "weights", "ys").mapInArrow(run, "label int, n long, w binary")
+    full = np.zeros((labels, features + 1), np.float32)
+    for r in models.groupBy("label").applyInArrow(averaged, "label int, w binary").collect():
+        full[r["label"]] = np.frombuffer(r["w"], "<f4")
+    return full[:, :-1].T.copy(), full[:, -1].copy()
+
+
+def multilabel(train: DataFrame, validation: DataFrame, key: str, text: str, labels: str, features: int = FEATURES) -> DataFrame:
+    """model, rows, micro_f1, features of the most frequent label and of linear models over n-grams (labels: lists).
+
+    A row gets the labels with a probability of 0.5 or more, else its likeliest.
+    Labels that no training row has count as missed.
+    """
+    listed = F.array_distinct(F.coalesce(F.array_compact(labels), F.array().cast("array<string>")))
+    train, validation = (d.select(key, text, listed.alias("labels")) for d in (train, validation))
+    support = {r["label"]: r["n"] for r in train.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    names = sorted(support)
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map().cast("map<string,int>")
+    rows = train.count()
+    counts = stored(gram_counts(train, key, text), "grams")
+    words = stored(vocabulary(counts, key, rows, features), "vocabulary")
+    size = words.count()
+    fitted = weighted(counts, key, words).join(train.select(key, F.transform("labels", lambda x: F.element_at(number, x)).alias("ys")), key)
+    w, bias = fit(fitted, size, len(names))
+    asked = validation.select(key, "labels").join(weighted(gram_counts(validation, key, text), key, words), key, "left")
+    sent = train.sparkSession.sparkContext.broadcast((w, bias))  # as large as labels times features
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Linear(0, 0)
+        model.w, model.bias = sent.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(a, CHUNK)
+                score = model.scores(*_sparse(batch))
+                chosen = score >= 0
+                empty = np.flatnonzero(~chosen.any(axis=1))
+                if score.shape[1]:
+                    chosen[empty, score[empty].argmax(axis=1)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([[names[j] for j in np.flatnonzero(c)] for c in chosen], pa.list_(pa.string())), batch.column(2)], ["predicted", "labels"])
+
+    none = {"features": F.array().cast("array<int>"), "weights": F.array().cast("array<double>")}
+    told = asked.select(*[F.coalesce(c, v).alias(c) for c, v in none.items()], "labels").mapInArrow(predict, "predicted array<string>, labels array<string>")
+    usual = min(names, key=lambda n: (-support[n], n)) if names else None
+    guessed = validation.select(F.array(F.lit(usual).cast("string")).alias("predicted"), "labels")
+
+    def scored(df: DataFrame, name: str, used: int) -> DataFrame:
+        hit = F.sum(F.size(F.array_intersect("predicted", "labels")))
+        return df.agg(F.count("*").alias("rows"), F.round(2 * hit / F.sum(F.size("predicted") + F.size("labels")), 6).alias("micro_f1")).select(F.lit(name).alias("model"), "rows", "micro_f1", F.lit(used).alias("features"))
+
+    return scored(guessed, "majority", 0).union(scored(told, "ngrams", size))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a group that one task sorts, about.
-ROWS = 100_000
+ROWS = 10_000
 
 
 def seeded_order(key: Column, seed: int) -> Column:

@@ -1,14 +1,16 @@
-"""The incremental knowledge base, and clients of remote models."""
+"""The incremental knowledge base, clients of remote models, and the multilabel baseline."""
 
 from __future__ import annotations
 
 import math
 import os
+import random
+from collections import Counter
 
 import pytest
 
 from sievework.functions import chunking
-from sievework.operators import knowledge
+from sievework.operators import baselines, knowledge
 from sievework.sources import models, remote
 from sievework.sources.publish import Publication
 
@@ -138,3 +140,34 @@ def test_chat_and_encoder_in_tasks(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(25)], "id long, t string")
     got = models.embed(df, "id", "t", remote.Encoder(transport, "m", dimensions=2).documents, dim=2).collect()
     assert all(math.isclose(r["embedding"][0] / r["embedding"][1], r["id"], abs_tol=1e-9) for r in got) and len(got) == 25
+
+
+def test_vocabulary_and_weights_are_those_of_brute_force(spark):
+    docs = {1: "Aba  ba", 2: "abab", 3: "", 4: None, 5: "xyz\nab"}
+    df = spark.createDataFrame(list(docs.items()), "id long, t string")
+    grams = {k: Counter(c[i : i + n] for c in [" ".join((t or "").lower().split())] for n in (2, 3, 4) for i in range(len(c) - n + 1)) for k, t in docs.items()}
+    counts = baselines.gram_counts(df, "id", "t")
+    assert {(r["id"], r["gram"]): r["tf"] for r in counts.collect()} == {(k, g): n for k, c in grams.items() for g, n in c.items()}
+    total, df_ = sum(grams.values(), Counter()), Counter(g for c in grams.values() for g in c)
+    best = sorted((g for g in total if df_[g] >= 2), key=lambda g: (-total[g], g))[:3]
+    words = baselines.vocabulary(counts, "id", 5, 3)
+    assert {r["gram"]: (r["feature"], round(r["idf"], 9)) for r in words.collect()} == {g: (i, round(math.log(6 / (1 + df_[g])) + 1, 9)) for i, g in enumerate(sorted(best))}
+    for r in baselines.weighted(counts, "id", words).collect():
+        raw = {sorted(best).index(g): (1 + math.log(n)) * (math.log(6 / (1 + df_[g])) + 1) for g, n in grams[r["id"]].items() if g in best}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        assert dict(zip(r["features"], [round(x, 9) for x in r["weights"]])) == {k: round(x / length, 9) for k, x in raw.items()}
+
+
+def test_linear_models_beat_the_majority(spark):
+    rng = random.Random(4)
+    stems = {"theft": "stolen phone taken purse", "fraud": "forged cheque false claim", "assault": "struck injured fist wound"}
+
+    def row(i):
+        labels = rng.sample(sorted(stems), rng.choice([1, 1, 2]))
+        return i, " ".join(rng.choice((" ".join(stems[x] for x in labels) + " the a of court day").split()) for _ in range(25)), labels
+
+    rows = [row(i) for i in range(500)] + [(900, None, ["theft"]), (901, "", []), (902, "zzzz", None)]
+    df = spark.createDataFrame(rows, "id long, t string, l array<string>").repartition(3)
+    got = {r["model"]: r for r in baselines.multilabel(df.where("id % 4 > 0"), df.where("id % 4 = 0"), "id", "t", "l", 500).collect()}
+    assert got["ngrams"]["rows"] == got["majority"]["rows"] == df.where("id % 4 = 0").count() and got["ngrams"]["features"] == 500
+    assert got["ngrams"]["micro_f1"] > 0.95 > 0.6 > got["majority"]["micro_f1"]
