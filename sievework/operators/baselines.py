@@ -49,12 +49,18 @@ CHUNK, TURNS, STEP_ROWS, RATE = 2048, 20, 16, 0.5
 
 def _grams(text: Column) -> Column:
     """All n-grams of a text in small letters, with runs of white space as one space."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
-    def of(n: int) -> Column:
-        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(chars: Column, n: int) -> Column:
+        """Characters zipped with themselves; a substring would scan the text from its start."""
+        tails = [F.slice(chars, k + 1, F.greatest(F.size(chars) - (n - 1), F.lit(0))) for k in range(n)]
+        out = tails[0]
+        for tail in tails[1:]:
+            out = F.zip_with(out, tail, lambda a, b: F.concat(a, b))
+        return out
 
-    return F.concat(*[of(n) for n in SIZES])
+    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    # bound to a variable, or it would be made anew for each part
+    return F.flatten(F.transform(F.array(F.split(plain, "")), lambda c: F.concat(*[of(c, n) for n in SIZES])))
 
 
 def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
