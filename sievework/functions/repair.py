@@ -26,7 +26,8 @@ def find_object(text: str | None) -> str | None:
     """The first complete JSON object of a text; null if there is none."""
     if text is None:
         return None
-    body = text.partition("</think>")[2] or text
+    before, thought, after = text.partition("</think>")
+    body = after if thought else before
     at = body.find("{")
     if at < 0:
         return None

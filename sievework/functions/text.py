@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -71,6 +72,12 @@ def md5_bits(value: Column, digits: int = 15) -> Column:
     return F.shiftleft(F.conv(F.substring(head, 1, 1), 16, 10).cast("long"), 60).bitwiseOR(low)
 
 
+@F.pandas_udf(T.LongType())
+def blake2b_bits(values: pd.Series) -> pd.Series:
+    """BLAKE2b of eight bytes as a signed number, for which Spark has no function."""
+    return pd.Series([None if v is None else int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True) for v in values], dtype="Int64")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import character_ngrams, hamming, md5_bits
+from sievework.functions.text import character_ngrams, duplicate_text, hamming, md5_bits
 
 BITS = 64
 #: Blocks that a key of near_pairs() joins on, besides those that may differ.
 SHARED = 3
 
 
-def simhash(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
+def simhash(df: DataFrame, key: str, text: Column, n: int = 3, letters_only: bool = False, bits64: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, simhash: bit b is set if the votes of all n-gram occurrences for it are not negative.
 
     Equal grams of a text are counted before they vote. Hashes are the first 64
-    bits of MD5, which every engine has; bit 63 is the sign of the number. Texts
-    without grams are left out.
+    bits of MD5, which every engine has; ``bits64`` gives other ones, such as
+    functions.text.blake2b_bits. Bit 63 is the sign of the number. A text without
+    grams has no votes, so all bits are set; null texts are left out. With
+    ``letters_only`` grams are those of functions.text.duplicate_text, and a text
+    without letters has the empty gram.
     """
-    grams = df.select(key, F.explode(character_ngrams(text, n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    hashed = grams.select(key, "n", md5_bits(F.col("gram"), BITS // 4).alias("h"))
+    shown = duplicate_text(text) if letters_only else text
+    grams = character_ngrams(shown, n)
+    if letters_only:
+        grams = F.when(shown == "", F.array(F.lit(""))).otherwise(grams)
+    hashes = bits64 or (lambda gram: md5_bits(gram, BITS // 4))
+    each = df.where(text.isNotNull()).select(key, F.explode_outer(grams).alias("gram"))
+    hashed = each.groupBy(key, "gram").agg(F.count("gram").alias("n")).select(key, "n", hashes(F.col("gram")).alias("h"))
     votes = hashed.groupBy(key).agg(*[F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{b}") for b in range(BITS)])
     value = F.lit(0).cast("long")
     for b in range(BITS):

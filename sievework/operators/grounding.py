@@ -35,6 +35,22 @@ def citation_check(cited: Column, known: Column) -> Column:
     return F.struct(((F.size(cited) > 0) & (F.size(unknown) == 0)).alias("valid"), unknown.alias("unknown"))
 
 
+# Fixed value: marks of cited cases and chunks in a text.
+CITATION = r"\[(case-[^\]]+|[^:\]]+:c\d+)\]"
+
+
+def citation_report(text: Column, evidence: Column, pattern: str = CITATION) -> Column:
+    """STRUCT<valid, cited, unknown, uncited>: the distinct citations that a text makes beside the ids of its evidence, all sorted.
+
+    Valid if something is cited and all of it is evidence. A null text cites nothing.
+    """
+    known = F.array_distinct(F.coalesce(evidence, F.array().cast("array<string>")))
+    cited = F.array_sort(F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))))
+    unknown = F.array_except(cited, known)
+    valid = (F.size(cited) > 0) & (F.size(unknown) == 0)
+    return F.struct(valid.alias("valid"), cited.alias("cited"), F.array_sort(unknown).alias("unknown"), F.array_sort(F.array_except(known, cited)).alias("uncited"))
+
+
 def grounding_report(claims: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per request: unknown evidence, evidence of a wrong kind, and statutes that must not be cited.
 

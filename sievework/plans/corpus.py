@@ -210,8 +210,9 @@ def amount_status(spark, sf_dir):
 @query("""
 with g as (select doc_id, unnest(case when length(c) = 0 then [] when length(c) <= 3 then [c] else list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)) end) as gram from (select doc_id, regexp_replace(text, '\\s+', '', 'g') as c from documents)),
 h as (select doc_id, ('0x' || substr(md5(gram), 1, 16))::ubigint as h from g),
-v as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as s from h, (select unnest(range(64))::ubigint as b) group by doc_id, b)
-select doc_id, sum(case when s < 0 then 0 when b = 63 then -9223372036854775808 else 1::bigint << b::int end)::bigint as simhash from v group by doc_id
+v as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as s from h, (select unnest(range(64))::ubigint as b) group by doc_id, b),
+t as (select doc_id, b, coalesce(s, 0) as s from (select doc_id from documents where text is not null) cross join (select unnest(range(64))::ubigint as b) left join v using (doc_id, b))
+select doc_id, sum(case when s < 0 then 0 when b = 63 then -9223372036854775808 else 1::bigint << b::int end)::bigint as simhash from t group by doc_id
 """)
 def simhash_fingerprints(spark, sf_dir):
     return dedup.simhash(spread(_docs(spark, sf_dir)), "doc_id", F.col("text"))
@@ -221,7 +222,8 @@ def simhash_fingerprints(spark, sf_dir):
 with g as (select doc_id, unnest(case when length(c) = 0 then [] when length(c) <= 3 then [c] else list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)) end) as gram from (select doc_id, regexp_replace(text, '\\s+', '', 'g') as c from documents)),
 h as (select doc_id, ('0x' || substr(md5(gram), 1, 16))::ubigint as h from g),
 v as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as s from h, (select unnest(range(64))::ubigint as b) group by doc_id, b),
-f as (select doc_id, sum(case when s < 0 then 0 when b = 63 then -9223372036854775808 else 1::bigint << b::int end)::bigint as x from v group by doc_id),
+t as (select doc_id, b, coalesce(s, 0) as s from (select doc_id from documents where text is not null) cross join (select unnest(range(64))::ubigint as b) left join v using (doc_id, b)),
+f as (select doc_id, sum(case when s < 0 then 0 when b = 63 then -9223372036854775808 else 1::bigint << b::int end)::bigint as x from t group by doc_id),
 n as (select x, min(doc_id) as first from f group by x)
 select least(a.first, b.first) as a, greatest(a.first, b.first) as b, bit_count(xor(a.x, b.x))::int as distance from n a join n b on a.x < b.x and bit_count(xor(a.x, b.x)) <= 3
 union all select n.first, f.doc_id, 0 from f join n using (x) where f.doc_id <> n.first

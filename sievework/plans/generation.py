@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import chunking, features, repair, rules, text
-from sievework.operators import grounding
+from sievework.operators import answers, grounding
 from sievework.session import read_table, spread
 from sievework.sources import html, statutes
 
@@ -137,3 +137,72 @@ def statute_articles(spark, sf_dir):
     """Articles of a text made of part names: numbers in Chinese numerals, the longest body of each."""
     made = read_table(spark, sf_dir, "part").select(F.concat(F.lit("第"), F.get(F.array(*[F.lit(x) for x in ("一", "二", "十", "二十一", "一百零二")]), (F.col("p_partkey") % 5).cast("int")), F.lit("条 "), "p_name", F.lit(" ")).alias("line"), "p_partkey")
     return statutes.articles(made, "line", order=F.col("p_partkey"))
+
+
+# Answers by the part's key modulo 8: full, simplified, in other words, cut off, without JSON, not readable, of a wrong type, and fenced with numbers as text.
+_SHAPES = [
+    '{"predicted_accusations": ["%b"], "relevant_articles": [%a], "similar_cases": [{"case_id": "%c", "reason": "alike"}], "analysis": "%t", "confidence": "high", "requires_manual_review": true}',
+    '{"candidate_accusations": ["%b", "%b", "unheard of"], "key_facts": ["%t"], "confidence": "low", "requires_manual_review": "no"}',
+    'Thus: {"预测罪名": "%b罪", "置信度": "高", "是否需要人工复核": "否"} as asked',
+    '{"predicted_accusations": ["%b"], "analysis": "%t',
+    'I can not say, %t.',
+    '{"predicted_accusations": [%b], "analysis": "%t"}',
+    '{"predicted_accusations": ["%b"], "key_facts": "%t", "analysis": "x", "confidence": "sure", "requires_manual_review": true, "extra": 1}',
+    '<think>{"a": 1}</think>```json\n{"predicted_accusations": ["%b"], "relevant_articles": ["%a"], "similar_cases": [], "analysis": "%t", "confidence": "medium", "requires_manual_review": 0}\n```',
+]
+
+
+def _answers(spark, sf_dir):
+    """Answers, right labels and what was retrieved, made from the parts."""
+    label = F.when(F.col("p_partkey") % 3 == 0, "Brand#11").otherwise(F.col("p_brand"))
+    shape = F.get(F.array(*[F.lit(x) for x in _SHAPES]), (F.col("p_partkey") % 8).cast("int"))
+    for mark, value in (("%b", label), ("%t", F.col("p_type")), ("%a", (F.col("p_partkey") % 5).cast("string")), ("%c", (F.col("p_partkey") % 7).cast("string"))):
+        shape = F.replace(shape, F.lit(mark), value)
+    made = spread(read_table(spark, sf_dir, "part")).select("p_partkey", "p_type", F.array("p_brand").alias("gold"), shape.alias("output"), F.array(*[F.lit(str(x)) for x in range(4)]).alias("cases"), F.array(*[F.lit(x).cast("long") for x in range(3)]).alias("articles"))
+    return answers.parsed(made, "output")
+
+
+_ANSWERS_SQL = """m as (select p_partkey as k, p_type, p_brand as gold, p_partkey % 8 as s, case when p_partkey % 3 = 0 then 'Brand#11' else p_brand end as label from part),
+a as (select *, s in (0, 7) as full_ok, s = 1 as simplified_ok, s in (0, 1, 2, 6, 7) as repaired_ok, s in (0, 1, 2, 6, 7) as readable from m)"""
+
+
+@query(f"""with {_ANSWERS_SQL}
+select k as p_partkey, readable, full_ok, simplified_ok, repaired_ok, case when repaired_ok then label end as label, case when repaired_ok then case s when 0 then 'high' when 2 then 'high' when 7 then 'medium' else 'low' end end as confidence,
+  case s when 0 then '' when 1 then 'analysis:missing|extra:candidate_accusations' when 2 then 'analysis:missing|confidence:missing|requires_manual_review:missing|extra:是否需要人工复核|extra:置信度|extra:预测罪名'
+    when 6 then 'key_facts:type|confidence:value|extra:extra' when 7 then '' else 'not_an_object' end as full_faults, case when full_ok then [k % 5] end as articles from a""")
+def answer_faults(spark, sf_dir):
+    """What is wrong with each answer under the full schema, and what repair makes of it."""
+    rows = _answers(spark, sf_dir)
+    ok = {f"{form}_ok": F.size(f"{form}.faults") == 0 for form in ("full", "simplified", "repaired")}
+    return rows.select("p_partkey", "readable", *[c.alias(k) for k, c in ok.items()], F.get("repaired.candidate_accusations", F.lit(0)).alias("label"), F.col("repaired.confidence").alias("confidence"), F.array_join("full.faults", "|").alias("full_faults"), F.col("full.relevant_articles").alias("articles"))
+
+
+@query(f"""with {_ANSWERS_SQL},
+c as (select *, case when gold <> 'Brand#25' then 1 else 0 end as g, case when label <> 'Brand#25' then 1 else 0 end as t, case when gold = label and gold <> 'Brand#25' then 1 else 0 end as tp,
+  case when s = 0 and k % 7 > 3 then 1 else 0 end + case when full_ok and k % 5 > 2 then 1 else 0 end as bad from a),
+r as (select p_type, count(*) as rows, avg(readable::int) as json_rate, avg(full_ok::int) as full_schema_rate, avg(simplified_ok::int) as simplified_schema_rate, avg(repaired_ok::int) as repaired_schema_rate,
+  coalesce(2.0 * sum(tp * full_ok::int) / nullif(sum(g + t * full_ok::int), 0), 0) as full_micro_f1, coalesce(2.0 * sum(tp * simplified_ok::int) / nullif(sum(g + t * simplified_ok::int), 0), 0) as simplified_micro_f1,
+  coalesce(2.0 * sum(tp * repaired_ok::int) / nullif(sum(g + t * repaired_ok::int), 0), 0) as repaired_micro_f1, avg((full_ok and bad = 0)::int) as grounded_rate, sum(bad)::bigint as unsupported_citations,
+  count(*) filter (not readable) as no_or_truncated_json, count(*) filter (s = 5) as unreadable_json, count(*) filter (not full_ok) as full_schema_invalid, count(*) filter (not simplified_ok) as simplified_schema_invalid from c group by p_type)
+select * replace (round(json_rate, 6) as json_rate, round(full_schema_rate, 6) as full_schema_rate, round(simplified_schema_rate, 6) as simplified_schema_rate, round(repaired_schema_rate, 6) as repaired_schema_rate,
+  round(full_micro_f1, 6)::double as full_micro_f1, round(simplified_micro_f1, 6)::double as simplified_micro_f1, round(repaired_micro_f1, 6)::double as repaired_micro_f1, round(grounded_rate, 6) as grounded_rate) from r""")
+def answer_evaluation(spark, sf_dir):
+    """Metrics of answers by type of part; one brand is no known label."""
+    known = F.array(*[F.lit(f"Brand#{x}") for x in range(1, 100) if x != 25])
+    return answers.evaluation(_answers(spark, sf_dir), "gold", known, "cases", "articles", ["p_type"])
+
+
+@query("""
+with t as (select doc_id, coalesce(text, '') || ' [case-' || doc_id || '] so [' || coalesce(source, 'none') || ':c' || doc_id % 3 || '], [no citation], [case-' || doc_id || ']' as text, ['case-' || (doc_id - doc_id % 2), coalesce(source, 'none') || ':c0'] as known from documents),
+c as (select doc_id, known, list_sort(list_distinct(regexp_extract_all(text, '\\[(case-[^\\]]+|[^:\\]]+:c\\d+)\\]', 1))) as cited from t),
+u as (select doc_id, cited, list_sort(list_filter(cited, lambda x: not list_contains(known, x))) as unknown, list_sort(list_filter(known, lambda x: not list_contains(cited, x))) as uncited from c)
+select doc_id, cited, unknown, uncited, len(unknown) = 0 and len(cited) > 0 as valid from u
+""")
+def text_citations(spark, sf_dir):
+    """Citations found in whole texts, to each of which some are added."""
+    source = F.coalesce("source", F.lit("none"))
+    case = F.concat(F.lit("[case-"), "doc_id", F.lit("]"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), case, F.lit(" so ["), source, F.lit(":c"), F.col("doc_id") % 3, F.lit("], [no citation], "), case)
+    known = F.array(F.concat(F.lit("case-"), F.col("doc_id") - F.col("doc_id") % 2), F.concat(source, F.lit(":c0")))
+    r = spread(read_table(spark, sf_dir, "documents")).select("doc_id", grounding.citation_report(text, known).alias("r"))
+    return r.select("doc_id", "r.cited", "r.unknown", "r.uncited", "r.valid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import features, redaction, rules
-from sievework.operators import bm25, dense, fusion, metrics, mining, partitioned, saved
+from sievework.operators import bm25, dense, fusion, metrics, mining, partitioned, saved, tracing
 from sievework.session import read_table, spread
 from sievework.sources.files import fresh_path
 
@@ -139,7 +139,12 @@ x as (select query, doc, round(case when len(list_distinct(list_concat(qf, df)))
 select query, doc, round(score, 6) as score, row_number() over (partition by query order by score desc, doc)::int as rank from x qualify row_number() over (partition by query order by score desc, doc) <= 3""")
 def hybrid_topk(spark, sf_dir):
     """A sparse and a dense list, reciprocal-rank fusion, a structured reranker and case deduplication; letter profiles stand for an encoder."""
-    docs = spread(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), _factors(F.col("text")).alias("df"))
+    best, _ = _hybrid(spark, sf_dir)
+    return best.select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+def _hybrid(spark, sf_dir, case="doc", keep=None):
+    docs = spread(read_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), F.col("source").alias("case_id"), _factors(F.col("text")).alias("df"))
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), _factors(F.col("text")).alias("qf"))
 
     def rerank(hits):
@@ -148,8 +153,29 @@ def hybrid_topk(spark, sf_dir):
 
     profiles = [read_table(spark, sf_dir, t).select(F.col(k).alias("id"), features.letter_profile(F.col("text")).alias("v")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
     near = dense.search(spread(profiles[0]), profiles[1], "id", "v", 20, others=False)
-    best, _ = fusion.hybrid(_ranked(spark, sf_dir, 20), near, rerank)
-    return best.select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return fusion.hybrid(_ranked(spark, sf_dir, 20), near, rerank, case=case, keep=keep)
+
+
+def _place(stage, rows, score="score", by="query"):
+    order = f"partition by {by} order by {score} desc, doc"
+    return f"select '{stage}' as stage, query, doc, {score} as score, row_number() over ({order})::int as rank from {rows}"
+
+
+@query(f"""with {_HYBRID_SQL},
+l1 as ({_place('sparse', 's')} qualify rank <= 20), l2 as ({_place('dense', 'ds')} qualify rank <= 20), l3 as ({_place('fused', 'f')} qualify rank <= 50),
+tg as (select query, d.doc_id as doc, source, {_FACTOR_SQL.format(c='b.text')} as qf, {_FACTOR_SQL.format(c='d.text')} as df from l3 join benchmark b on b.item_id = query join documents d on d.doc_id = doc where rank <= 20),
+x as (select query, doc, source, round(case when len(list_distinct(list_concat(qf, df))) = 0 then 0.5 else len(list_intersect(qf, df)) / len(list_distinct(list_concat(qf, df))) end, 9) as score from tg),
+l4 as ({_place('reranked', 'x').replace(' from x', ', source from x')}),
+first as (select * from l4 qualify row_number() over (partition by query, source order by rank) = 1),
+l5 as (select 'final' as stage, query, doc, score, row_number() over (partition by query order by rank)::int as rank from first qualify row_number() over (partition by query order by rank) <= 3),
+e as (select * from l1 union all select * from l2 union all select * from l3 union all select stage, query, doc, score, rank from l4 union all select * from l5)
+select stage, query, doc, rank, round(score, 6)::double as score from e""")
+def hybrid_trace(spark, sf_dir):
+    """Ranks of every stage of a hybrid search; sources stand for cases."""
+    stages = tracing.Stages(spark, "hybrid")
+    best, _ = _hybrid(spark, sf_dir, "case_id", stages.keep)
+    stages.keep("final", best)
+    return stages.ranks().withColumn("score", F.round("score", 6))
 
 
 @query(f"""with {_bm25_sql('lang')}, p as (select query, part, probability, quota from (select item_id as query from benchmark) cross join (values ('en', 0.7::double, 2), ('fr', 0.3::double, 1)) v(part, probability, quota)),
