@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import rules
 from sievework.functions.redaction import leakage_hits, redaction_counts
+from sievework.sources.files import stored
 
 from .quality import violations
 from .stats import duplicate_count, floor_percentiles
@@ -39,6 +40,37 @@ def external(df: DataFrame, text: str, labels: Column, fine_status: Column, year
     }
 
 
+def external_report(df: DataFrame, text: str, year: str, fine_status: str, fine: str, groups: list[str] = (), privacy=rules.ZH_PRIVACY, leakage=rules.ZH_SENTENCE_LEAKAGE, boundary: str | None = rules.ZH_BOUNDARY) -> DataFrame:
+    """groups, section, key, value: counters, years, states of fines, and floor percentiles of lengths and of positive fines.
+
+    Rows without a text count as such and are left out of all else. Texts are read
+    once, into a narrow table of the shared folder that all sections read. Numbers
+    of 0 duplicates and percentiles of nothing have no row.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    narrow = df.select(*groups, F.length(t).alias("n"), F.sha2(t, 256).alias("fp"), _total(redaction_counts(t, privacy)).alias("private"), _total(leakage_hits(t, leakage, boundary)).alias("leaks"), F.col(year).cast("string").alias("year"), F.col(fine_status).alias("status"), F.col(fine).cast("long").alias("fine"))
+    rows = stored(narrow, "audit")
+    told = rows.where("n > 0")
+    parts = {"rows": F.count("*"), "empty_texts": F.count_if(F.col("n") == 0), "private_hits": F.sum("private"), "private_rows": F.count_if(F.col("private") > 0), "leakage_hits": F.sum("leaks"), "leaking_rows": F.count_if(F.col("leaks") > 0)}
+    counted = rows.groupBy(*groups).agg(*[c.cast("double").alias(k) for k, c in parts.items()]).unpivot(list(groups), list(parts), "key", "value")
+    copies = duplicate_count(told, F.col("fp"), list(groups)).where("duplicates > 0").select(*groups, F.lit("duplicates").alias("key"), F.col("duplicates").cast("double").alias("value"))
+    points = [0.5, 0.9, 0.99, 1.0]
+
+    def counts(column: str) -> DataFrame:
+        return told.groupBy(*groups, F.coalesce(column, F.lit("missing")).alias("key")).agg(F.count("*").cast("double").alias("value"))
+
+    def percentiles(of: DataFrame, value: str) -> DataFrame:
+        key = F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int"))
+        return floor_percentiles(of, list(groups), value, points).select(*groups, key.alias("key"), F.col("value").cast("double").alias("value"))
+
+    sections = {"counters": counted.unionByName(copies), "years": counts("year"), "fines": counts("status"), "lengths": percentiles(told, "n"), "positive_fines": percentiles(told.where("fine > 0"), "fine")}
+    every = None
+    for name, part in sections.items():
+        part = part.select(*groups, F.lit(name).alias("section"), "key", "value")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
 def amounts(df: DataFrame, amount: str, limit: int = 100_000_000) -> DataFrame:
     """Missing, negative and outlying amounts."""
     a = F.col(amount)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import features, redaction, rules
 from sievework.functions.money import bucket
-from sievework.operators import audits, policy, sentencing
+from sievework.operators import audits, policy, sentencing, validation
 from sievework.session import read_table, spread
 from sievework.sources.files import stored
 
@@ -135,3 +135,106 @@ def sentencing_model(spark, sf_dir):
     truth = rows.where(part).select("doc_id", "grams", F.col("sentence_type").alias("truth"), F.col("months").alias("true_months"), (F.col("fine") > 0).alias("true_fine"))
     p = model.predict(truth)
     return p.agg(F.count("*").alias("rows"), F.round(F.avg((F.col("truth") == F.col("sentence_type")).cast("int")), 6).alias("type_accuracy"), F.round(F.avg((F.col("true_fine") == F.col("fine_imposed")).cast("int")), 6).alias("fine_accuracy"), F.round(F.avg(F.abs(F.col("true_months") - F.col("imprisonment_months"))), 6).alias("months_mae"))
+
+
+# Training rows made of documents: each eighth has another fault.
+_ROWS_SQL = """r as (select doc_id % 8 as s, case when doc_id % 5 = 0 then 'validation' else 'train' end as split, doc_id // 6 as case_id, case when doc_id % 11 = 0 then '' else 'sft-' || (doc_id // 2) end as sft_id, lang, doc_id from documents)"""
+
+
+@query(f"""with {_ROWS_SQL},
+e as (select unnest(list_filter([case when s = 1 then 'source_split_mismatch' end, case when s in (1, 2) then 'invalid_review_status' end, case when s = 3 then 'target_schema_invalid' end, case when s = 4 then 'assistant_json_invalid' end,
+  case when s = 5 then 'assistant_target_mismatch' end, case when s = 6 then 'insufficient_information_has_accusation' end, case when s in (6, 7) then 'insufficient_information_not_escalated' end], lambda x: x is not null)) as error from r),
+i as (select split, nullif(sft_id, '') as id, count(*) as n from r group by all), d as (select sum(case when id is null then n else n - 1 end)::bigint as n from i),
+o as (select count(*) as n from (select case_id from r group by case_id having count(distinct split) > 1))
+select error, count(*) as n from e group by error union all select 'missing_or_duplicate_sft_id', n from d where n > 0 union all select 'source_case_cross_split_overlap', n from o where n > 0""")
+def training_validation(spark, sf_dir):
+    """Errors of chat training rows made of the documents."""
+    d = read_table(spark, sf_dir, "documents").withColumn("s", F.col("doc_id") % 8)
+    split = F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train")
+    sound = F.concat(F.lit('{"candidate_accusations": ["'), F.coalesce("lang", F.lit("none")), F.lit('"], "key_facts": [], "confidence": "high", "requires_manual_review": true}'))
+    other = F.replace(sound, F.lit('"key_facts": []'), F.lit('"key_facts": ["seen"]'))
+    bare = F.lit('{"confidence": "low", "requires_manual_review": false}')
+    rows = d.select(
+        split.alias("split"),
+        F.expr("doc_id div 6").alias("case_id"),
+        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("sft-"), F.expr("doc_id div 2"))).alias("sft_id"),
+        F.when(F.col("s") == 1, "test").otherwise(split).alias("source_split"),
+        F.when(F.col("s") == 1, None).when(F.col("s") == 2, "reviewed").otherwise("unreviewed").alias("review_status"),
+        F.when(F.col("s") >= 6, "deterministic_insufficient_information").otherwise("plain").alias("construction_type"),
+        F.when(F.col("s") == 3, "{}").when(F.col("s") == 7, bare).otherwise(sound).alias("target"),
+        F.when(F.col("s") == 4, "none").when(F.col("s") == 5, other).when(F.col("s") == 7, bare).otherwise(sound).alias("answer"),
+    )
+    return validation.training_errors(rows)
+
+
+@query("""
+with q as (select item_id as query_id, item_id % 4 = 0 as other, item_id % 6 = 0 as seen from benchmark), c as (select doc_id as candidate_id, lang = 'en' as other from documents where doc_id % 7 <> 0),
+j as (select l_suppkey * 3 as query_id, l_partkey as candidate_id, l_linenumber = 1 as claims, l_linenumber = 2 as seen from lineitem),
+e as (select 'query_not_validation' as error from q where other union all select 'query_review_status_invalid' from q where seen union all select 'candidate_not_train' from c where other
+  union all select 'dangling_qrel' from j where query_id not in (select query_id from q) or candidate_id not in (select candidate_id from c)
+  union all select 'qrel_claims_non_proxy_judgment' from j where claims union all select 'qrel_review_status_invalid' from j where seen
+  union all select 'reviewed_qrels_must_be_empty_before_human_review' from labels where toxic = 1)
+select error, count(*) as n from e group by error
+""")
+def retrieval_validation(spark, sf_dir):
+    """Errors of a retrieval set: benchmark items as queries, documents as candidates, order lines as judgments."""
+    t = lambda name: read_table(spark, sf_dir, name)
+    items = t("benchmark")
+    queries = items.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, "test").otherwise("validation").alias("source_split"), F.when(F.col("item_id") % 6 != 0, "unreviewed").alias("review_status"))
+    candidates = t("documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("candidate_id"), F.when(F.col("lang") == "en", "validation").otherwise("train").alias("source_split"))
+    qrels = t("lineitem").select((F.col("l_suppkey") * 3).alias("query_id"), F.col("l_partkey").alias("candidate_id"), F.when(F.col("l_linenumber") == 1, "people").otherwise("silver_proxy").alias("judgment_source"), F.when(F.col("l_linenumber") == 2, "reviewed").otherwise("unreviewed").alias("review_status"))
+    return validation.retrieval_errors(queries, candidates, qrels, t("labels").where("toxic = 1"))
+
+
+@query("""
+with r as (select ['train', 'validation', 'test'][doc_id % 3 + 1] as split, case when lang = 'en' then 0 when lang = 'fr' then 1 else 9 end as label, doc_id % 50 = 0 as claims, sha256(text) as fact, substr(md5(lower(regexp_replace(text, '[^a-zA-Z]', '', 'g'))), 1, 20) as grp from documents),
+f as (select distinct split, fact from r where fact is not null), g as (select distinct split, grp from r where grp is not null)
+select 'size' as "check", split as splits, count(*) as n from r group by split union all select 'invalid_label_rows', split, count(*) filter (label = 9) from r group by split union all select 'manually_reviewed_rows', split, count(*) filter (claims) from r group by split
+union all select 'shared_facts', a.split || '|' || b.split, count(*) from f a join f b on a.fact = b.fact and a.split < b.split group by all
+union all select 'shared_groups', a.split || '|' || b.split, count(*) from g a join g b on a.grp = b.grp and a.split < b.split group by all
+""")
+def dataset_report(spark, sf_dir):
+    """Sizes, unknown labels, claimed reviews and overlaps of three splits of the documents."""
+    label = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(9)
+    split = F.get(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("doc_id") % 3).cast("int"))
+    group = F.substring(F.md5(F.lower(F.regexp_replace("text", "[^a-zA-Z]", ""))), 1, 20)
+    rows = spread(read_table(spark, sf_dir, "documents")).select(split.alias("split"), F.array(label).alias("label_ids"), F.when(F.col("doc_id") % 50 == 0, "manually_reviewed").otherwise("unreviewed").alias("review_status"), F.sha2("text", 256).alias("fact_sha256"), group.alias("group_id"))
+    return validation.dataset_report(rows, F.array(F.lit(0), F.lit(1)))
+
+
+@query("""
+with f as (select doc_id, sha256(text) as fact_sha256, text, case when doc_id % 9 = 0 then null when doc_id % 9 = 1 then -5 else length(text) * 1000 end as fine from documents)
+select doc_id, fact_sha256, fine::bigint as fine, unnest(list_filter([case when fine is null or fine < 0 then 'invalid_fine' end, case when fine >= 1000000 then 'fine_outlier' end, case when regexp_matches(text, '[Ll]icen[sc]e') then 'residual_marker' end], lambda x: x is not null)) as finding from f
+""")
+def sentencing_findings(spark, sf_dir):
+    """Documents with an invalid or outlying amount or a marker left in their text."""
+    fine = F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 9 == 1, -5).otherwise(F.length("text") * 1000).cast("long")
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fact_sha256"), fine.alias("fine"), "text")
+    return validation.sentencing_findings(rows, "fine", "text", "[Ll]icen[sc]e", 1_000_000).drop("text")
+
+
+_LEAK = "[Ll]icen[sc]e[d]?"
+_YEAR = "20[0-9]{2}"
+
+
+@query(f"""
+with r as (select coalesce(source, 'none') as source, coalesce(text, '') as t, sha256(coalesce(text, '')) as fp, regexp_extract(coalesce(text, ''), '{_YEAR}') as y, case when doc_id % 6 = 0 then null when doc_id % 6 = 1 then -1 when doc_id % 6 = 2 then 0 else doc_id end as fine from documents),
+p as (select source, t, fp, case when y = '' then 'missing' else y end as y, case when fine is null then 'missing' when fine < 0 then 'invalid' when fine = 0 then 'zero' else 'positive' end as st, fine from r),
+q as (select source, list_sort(list(length(t)) filter (t <> '')) as lens, list_sort(list(fine) filter (fine > 0 and t <> '')) as fines from p group by source),
+d as (select source, sum(n - 1)::bigint as n from (select source, fp, count(*) as n from p where t <> '' group by all) group by source)
+select source, 'counters' as section, 'rows' as key, count(*)::double as value from p group by source union all select source, 'counters', 'empty_texts', count(*) filter (t = '') from p group by source
+union all select source, 'counters', 'leakage_hits', sum(len(regexp_extract_all(t, '{_LEAK}'))) from p group by source union all select source, 'counters', 'leaking_rows', count(*) filter (regexp_matches(t, '{_LEAK}')) from p group by source
+union all select source, 'counters', 'private_hits', sum(len(regexp_extract_all(t, '{_P}'))) from p group by source union all select source, 'counters', 'private_rows', count(*) filter (regexp_matches(t, '{_P}')) from p group by source
+union all select source, 'counters', 'duplicates', n from d where n > 0
+union all select source, 'years', y, count(*) from p where t <> '' group by source, y union all select source, 'fines', st, count(*) from p where t <> '' group by source, st
+union all select source, 'lengths', 'p' || k, lens[((len(lens) - 1) * k // 100 + 1)::int] from q, (values (50), (90), (99), (100)) v(k) where len(lens) > 0
+union all select source, 'positive_fines', 'p' || k, fines[((len(fines) - 1) * k // 100 + 1)::int] from q, (values (50), (90), (99), (100)) v(k) where len(fines) > 0
+""")
+def external_report(spark, sf_dir):
+    """The whole audit of each source as one table."""
+    d = spread(read_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    fine = F.when(F.col("doc_id") % 6 == 0, None).when(F.col("doc_id") % 6 == 1, -1).when(F.col("doc_id") % 6 == 2, 0).otherwise(F.col("doc_id")).cast("long")
+    status = F.when(fine.isNull(), "missing").when(fine < 0, "invalid").when(fine == 0, "zero").otherwise("positive")
+    rows = d.select(F.coalesce("source", F.lit("none")).alias("source"), text.alias("text"), fine.alias("fine"), status.alias("status"), F.coalesce(F.nullif(F.regexp_extract(text, _YEAR, 0), F.lit("")), F.lit("missing")).alias("year"))
+    return audits.external_report(rows, "text", "year", "status", "fine", ["source"], rules.PRIVACY[:1], [("licence", _LEAK)], None)
