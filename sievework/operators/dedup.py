@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import character_ngrams, duplicate_text, hamming, md5_bits
+from sievework.sources.files import stored
 
 BITS = 64
 #: Blocks that a key of near_pairs() joins on, besides those that may differ.
@@ -48,6 +49,7 @@ def near_pairs(hashes: DataFrame, key: str, distance: int = 3) -> DataFrame:
     are one node, paired only with the first of them, so a group of n copies gives
     n - 1 rows instead of all its pairs.
     """
+    hashes = stored(hashes, "hashes")  # read for the nodes and for their copies
     blocks = distance + SHARED
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
