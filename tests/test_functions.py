@@ -24,6 +24,13 @@ def test_ngrams(one, t, n, grams):
     assert one(text.ngram_count(F.col("t"), n), t=t) == len(grams)
 
 
+def test_word_boundaries_are_ascii(one):
+    """As in other engines, a letter with an accent is no part of a word."""
+    assert one(redaction.tags(F.col("t"), rules.FACTORS), t="vu, laéouell inäßzu bin the_ Of of") == ["of", "in", "la"]
+    assert one(redaction.scan(F.col("t"), rules.PRIVACY), t="é1234567890123456é x12345678901234567")["bank_card"] == 1
+    assert redaction.portable(r"a\\b\d") == r"a\\b\d"
+
+
 def test_redaction_in_order(one):
     t = "被告人张三，出生于1990年1月2日，住址：某市某路一号，电话13812345678，证号110101199001021234。"
     counts = one(redaction.redaction_counts(F.col("t"), rules.ZH_PRIVACY), t=t)
