@@ -67,7 +67,8 @@ def selected(hits: DataFrame, k: int = 3) -> DataFrame:
 
 def search(index: bm25.Index, queries: DataFrame, key: str, text: str, given: DataFrame, k: int, multiplier: int = 20) -> DataFrame:
     """query, part, doc, bm25, probability, quota: candidates of each part that has a quota."""
-    scored = bm25.scores(index, queries, key, text, parts=given.select("query", "part"))
+    most = max((given.agg(F.max("quota")).first()[0] or 0) * multiplier, k)
+    scored = bm25.best(index, queries, key, text, most, parts=given.select("query", "part"))
     ranked = scored.join(given, ["query", "part"])
     order = Window.partitionBy("query", "part").orderBy(F.desc("score"), "doc")
     return ranked.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.greatest(F.col("quota") * multiplier, F.lit(k))).select("query", "part", "doc", F.col("score").alias("bm25"), "probability", "quota")

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import audits, policy, sentencing
+from sievework.operators import audits, bm25, policy, sentencing
 
 
 def test_statutes_are_of_different_articles(spark):
@@ -46,3 +50,27 @@ def test_gate_and_errors(spark):
     assert r["failed"] == ["rate"] and not r["passed"]
     df = spark.createDataFrame([([0, 5],), ([1],)], "ids array<int>")
     assert audits.unknown_labels(df, "ids", 5).first()["invalid_label_rows"] == 1
+
+
+@pytest.mark.parametrize("by", ["id", "name"])
+def test_bm25_scan_equals_joins(spark, by):
+    """Texts are passed over, and no gram of theirs is a row; the joins of term tables are the reference."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcde é \t") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", " ", "a", "b c", "法律条文", "x" * 400] + ["abcde abcde"] * 9
+    docs = spark.createDataFrame([(i, f"n{i:03}", t, rng.choice(["p", "q", None])) for i, t in enumerate(texts)], "id long, name string, t string, part string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["abc de", "a", "", None, "éa b", "法律", "zzz", "abcde abcde abcde"])], "q long, t string")
+    for part in (None, "part"):
+        index = bm25.build(docs, by, "t", part)
+        plain = replace(index, texts=None)
+        for n, where in ((2, None), (1, None), (3, F.col("id" if by == "name" else "name") < ("n200" if by == "id" else 200))):
+            keys = ["query", "part"]
+            got = bm25.best(bm25.build(docs, by, "t", part, n), asked, "q", "t", 4, n, where=where)
+            assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+            scored = bm25.scores(replace(bm25.build(docs, by, "t", part, n), texts=None), asked, "q", "t", n)
+            if where is not None:
+                scored = scored.join(docs.where(where).select(F.col(by).alias("doc")), "doc", "left_semi")
+            rows = [sorted((tuple(r[c] for c in ("query", "part", "rank", "doc", "score")) for r in bm25.top(x, 4, keys).collect()), key=str) for x in (got, scored)]
+            assert rows[0] == rows[1] and rows[0]
+        if part is None:
+            every = [sorted(map(tuple, bm25.okapi_top(x, asked, "q", "t", 5).select("query", "doc", "score", "rank").collect())) for x in (index, plain)]
+            assert every[0] == every[1]
