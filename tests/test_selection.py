@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import audits, bm25, policy, sentencing
+from sievework.functions.text import md5_bits
+from sievework.operators import audits, bm25, dedup, policy, sentencing
 
 
 def test_statutes_are_of_different_articles(spark):
@@ -74,3 +75,19 @@ def test_bm25_scan_equals_joins(spark, by):
         if part is None:
             every = [sorted(map(tuple, bm25.okapi_top(x, asked, "q", "t", 5).select("query", "doc", "score", "rank").collect())) for x in (index, plain)]
             assert every[0] == every[1]
+
+
+def test_simhash_votes_without_gram_rows(spark):
+    texts = ["", " ", "a", "ab", "abc", "abcabc déjà vu", "x" * 3000, "法律 条文", None, "-!", "the same the same"]
+    docs = spark.createDataFrame([*enumerate(texts), (5, "another row of a key")], "k long, t string")
+    for letters in (False, True):
+        got = dedup.simhash(docs, "k", F.col("t"), letters_only=letters)
+        want = dedup.simhash(docs, "k", F.col("t"), letters_only=letters, bits64=lambda g: md5_bits(g, 16))
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_near_pairs_broadcast_nothing(spark):
+    """Twenty keys a hash are far more than the planner's estimate."""
+    plan = dedup.near_pairs(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 7).alias("simhash")), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
