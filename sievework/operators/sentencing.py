@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, StringIndexer
@@ -16,8 +21,7 @@ from sievework.functions.redaction import tags
 from sievework.functions.text import character_ngrams, md5_bits
 from sievework.session import spread
 
-from . import sparse
-from .dense import normalized
+from . import scan, sparse
 
 #: Buckets of hashed n-grams, sizes of the n-grams.
 BUCKETS, SIZES = 1 << 18, (2, 3, 4)
@@ -49,13 +53,42 @@ def vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def packed(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, buckets, weights: the same vectors, one row each."""
-    # texts are dealt by key once, so that grams are counted and gathered where they are made
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    dealt = df.select(F.col(key).alias("key"), text.alias("text")).repartition(tasks, "key")
-    counts = dealt.select("key", F.explode(ngrams(F.col("text"))).alias("gram")).groupBy("key", (md5_bits(F.col("gram")) % BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
-    rows = counts.groupBy("key").agg(F.collect_list(F.struct("bucket", "n")).alias("entries"))
-    return rows.select(F.col("key").alias(key), F.col("entries.bucket").alias("buckets"), normalized(F.transform("entries", lambda e: e["n"].cast("double"))).alias("weights"))
+    """key, buckets, weights: the same vectors, one row each, made where the texts are read; every row is a text of its own, those without grams have none."""
+    kind = df.schema[key].dataType.simpleString()
+    return spread(df.select(key, text.alias("text")).where("text is not null")).mapInArrow(_packed, f"{key} {kind}, buckets array<bigint>, weights array<double>")
+
+
+def _bucket(gram: str) -> int:
+    """The bucket of md5_bits()."""
+    return (int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "big") >> 4) % BUCKETS
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for slab in scan.slabs(batch, scan.CELLS):
+            rows, buckets = [], []
+            for n in SIZES:
+                chars, row, _ = scan.grams(slab.column(1), n)
+                # characters by their place among the slab's own, so that a gram is one number
+                place = np.zeros(scan.NONE + 1, np.int64)
+                place[chars.ravel()] = 1
+                letters = np.flatnonzero(place)
+                place[letters] = np.arange(len(letters))
+                number = np.zeros(chars.shape[1], object if len(letters) ** n >= 1 << 63 else np.int64)
+                for c in chars:
+                    number = number * len(letters) + place[c]
+                _, first, where = np.unique(number, return_index=True, return_inverse=True)
+                made = [_bucket("".join(chr(c) for c in g if c != scan.NONE)) for g in chars[:, first].T.tolist()]
+                rows.append(row)
+                buckets.append(np.array(made, np.int64)[where])
+            pairs, many = np.unique(np.concatenate(rows) * np.int64(BUCKETS) + np.concatenate(buckets), return_counts=True)
+            row = pairs // BUCKETS
+            held, begin = np.unique(row, return_index=True)
+            size = np.diff(np.append(begin, len(row)))
+            norm = np.sqrt(np.bincount(row, many.astype(float) ** 2, slab.num_rows)[held])
+            offsets = pa.array(np.append(begin, len(row)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (pairs % BUCKETS, many / np.repeat(norm, size))]
+            yield pa.RecordBatch.from_arrays([slab.column(0).take(pa.array(held)), *lists], [batch.schema.names[0], "buckets", "weights"])
 
 
 def similar_cases(docs: DataFrame, queries: DataFrame, k: int = 3, multiplier: int = 20) -> DataFrame:

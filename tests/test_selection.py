@@ -91,3 +91,12 @@ def test_near_pairs_broadcast_nothing(spark):
     """Twenty keys a hash are far more than the planner's estimate."""
     plan = dedup.near_pairs(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 7).alias("simhash")), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_packed_vectors_without_gram_rows(spark):
+    texts = ["", " ", "a", "abc", "abcd", "déjà vu déjà", "x" * 2000, "法律 条文法律", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "k long, t string")
+    got = sentencing.packed(docs, "k", F.col("t"))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["k"], b, round(w, 9)) for r in got.collect() for b, w in zip(r["buckets"], r["weights"]))
+    assert rows == sorted((r["k"], r["bucket"], round(r["weight"], 9)) for r in sentencing.vectors(docs, "k", F.col("t")).collect())
