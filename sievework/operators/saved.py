@@ -2,11 +2,12 @@
 
 An index is one published version (sources/publish.py) of a few tables. Tables that
 a search joins are bucketed and sorted by the join's keys, and the commit lists
-each one's schema, buckets and number of rows; opening an index compares these
-with what is there. A sparse index has its postings by (part, term), and those of
-terms with more than ``HOT`` postings in a table of their own by (part, term,
-salt), so no bucket holds a whole hot term; the table of terms lists the number
-of salts. A dense index has blocks of vectors by (dim, gate, slot).
+each one's schema, buckets and number of rows (of postings: their number); opening
+an index compares these with what is there. A sparse index has its postings by
+(part, term), a row for each term of a slab of documents with its postings in
+lists, and those of terms with more than ``HOT`` postings in a table of their own
+by (part, term, salt), so no bucket holds a whole hot term; the table of terms
+lists the number of salts. A dense index has blocks of vectors by (dim, gate, slot).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sievework.sources.publish import Publication
 
-from . import bm25, dense
+from . import bm25, dense, scan
 
 #: Postings of a term under one salt.
 HOT = 1_000_000
@@ -37,8 +38,8 @@ class Tables:
         self.spark, self.publication = spark, Publication(spark, root)
         self.folder, self.tables = self.publication.stage(), {}
 
-    def add(self, name: str, df: DataFrame, by: list[str] | None = None, dealt: bool = False) -> DataFrame:
-        """Writes a table, bucketed by columns if some are given (``dealt``: df is already), and gives it back as it can be read."""
+    def add(self, name: str, df: DataFrame, by: list[str] | None = None, dealt: bool = False, lists: str | None = None) -> DataFrame:
+        """Writes a table, bucketed by columns if some are given (``dealt``: df is already), and gives it back as it can be read; ``lists``: whose entries are its rows."""
         path, count = f"{self.folder}/{name}", buckets(self.spark)
         if by:
             table = f"saved_{uuid.uuid4().hex}"
@@ -46,9 +47,9 @@ class Tables:
             self.spark.sql(f"drop table {table}")  # the catalog's entry; the files stay
         else:
             df.write.parquet(path)
-        self.tables[name] = {"schema": df.schema.toDDL(), "by": by or [], "buckets": count if by else 0}
+        self.tables[name] = {"schema": df.schema.toDDL(), "by": by or [], "buckets": count if by else 0, "lists": lists}
         back = opened(self.spark, path, self.tables[name])
-        self.tables[name]["rows"] = back.count()
+        self.tables[name]["rows"] = rows(back, lists)
         del df
         gc.collect()  # shuffle files that only served the writing go with the driver's garbage
         self.spark.sparkContext._jvm.System.gc()
@@ -74,6 +75,11 @@ def opened(spark: SparkSession, path: str, spec: dict) -> DataFrame:
     return df
 
 
+def rows(table: DataFrame, lists: str | None) -> int:
+    """The rows of a table, or the entries of its lists."""
+    return table.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else table.count()
+
+
 def load(spark: SparkSession, root: str, kind: str) -> tuple[dict[str, DataFrame], dict]:
     """The tables of the current version and its commit; a wrong kind or number of rows is an error."""
     publication = Publication(spark, root)
@@ -83,7 +89,7 @@ def load(spark: SparkSession, root: str, kind: str) -> tuple[dict[str, DataFrame
     folder, tables = publication.folder(commit), {}
     for name, spec in commit["tables"].items():
         table = tables[spec.get("serves", name)] = opened(spark, f"{folder}/{name}", spec)
-        found = table.count()
+        found = rows(table, spec.get("lists"))
         if found != spec["rows"]:
             raise ValueError(f"{folder}/{name} has {found} rows instead of {spec['rows']}")
     return tables, commit
@@ -93,8 +99,10 @@ class SparseIndex(bm25.Index):
     """A saved index in the place of one that is built from texts."""
 
     def __init__(self, tables: dict[str, DataFrame], commit: dict):
-        super().__init__(tables["docs"], tables["postings"], tables["sizes"])
-        self.vocabulary, self.hot, self.n = tables["terms"], tables.get("hot"), commit["n"]
+        self.cold, self.hot = tables["postings"], tables.get("hot")
+        every = self.cold if self.hot is None else self.cold.unionByName(self.hot.drop("salt"))
+        super().__init__(tables["docs"], _listed(every), tables["sizes"], slabs=every)
+        self.vocabulary, self.n = tables["terms"], commit["n"]
 
     def idf(self, wanted: DataFrame) -> DataFrame:
         return bm25.with_idf(self.vocabulary.join(wanted.select("term").distinct(), "term", "left_semi").select("part", "term", "df"), self.sizes)
@@ -102,26 +110,41 @@ class SparseIndex(bm25.Index):
     def hits(self, kept: DataFrame, few: bool) -> DataFrame:
         # the query's side is hashed, so that the index is neither shuffled nor sorted
         if self.hot is None:
-            return self.terms.join(kept.hint("shuffle_hash"), ["part", "term"])
+            return _listed(self.cold.join(kept.hint("shuffle_hash"), ["part", "term"]))
         salted = kept.join(self.vocabulary.select("part", "term", "salts"), ["part", "term"])
-        cold = self.terms.join(salted.where("salts = 1").drop("salts").hint("shuffle_hash"), ["part", "term"])
+        cold = self.cold.join(salted.where("salts = 1").drop("salts").hint("shuffle_hash"), ["part", "term"])
         each = salted.where("salts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        return cold.unionByName(self.hot.join(each.hint("shuffle_hash"), ["part", "term", "salt"]).drop("salt"))
+        return _listed(cold.unionByName(self.hot.join(each.hint("shuffle_hash"), ["part", "term", "salt"]).drop("salt")))
+
+
+def _listed(slabs: DataFrame) -> DataFrame:
+    """doc, dl, tf of each posting, with the other columns."""
+    others = [c for c in slabs.columns if c not in ("slab", "docs", "dls", "tfs")]
+    each = slabs.select(*others, F.explode(F.arrays_zip("docs", "dls", "tfs")).alias("x"))
+    return each.select(*others, F.col("x.docs").alias("doc"), F.col("x.dls").alias("dl"), F.col("x.tfs").cast("long").alias("tf"))
+
+
+def _slabs(index: bm25.Index, n: int) -> DataFrame:
+    if index.texts is not None and n <= scan.LONGEST:
+        return scan.inverted(index.texts, n)
+    slab = F.xxhash64("doc") % max(1, index.docs.count() // 1024)
+    rows = index.terms.groupBy("part", slab.alias("slab"), "term").agg(F.collect_list(F.struct("doc", "dl", "tf")).alias("x"))
+    return rows.select("part", "slab", "term", F.col("x.doc").alias("docs"), F.col("x.dl").alias("dls"), F.col("x.tf").cast("array<int>").alias("tfs"))
 
 
 def save_sparse(index: bm25.Index, root: str, n: int = 2, hot: int = HOT, **info) -> dict:
     """Writes an index that ``bm25.build`` made of n-grams of size n; returns its commit."""
-    out = Tables(index.terms.sparkSession, root)
+    out = Tables(index.docs.sparkSession, root)
     out.add("docs", index.docs)
     out.add("sizes", index.sizes)
-    postings = out.add("postings", index.terms.select("part", "term", "doc", "dl", "tf"), ["part", "term"])
+    postings = out.add("postings", _slabs(index, n), ["part", "term"], lists="docs")
     salts = F.greatest(F.lit(1), F.ceil(F.col("df") / hot)).cast("int").alias("salts")
-    terms = out.add("terms", postings.groupBy("part", "term").agg(F.count("*").alias("df")).select("part", "term", "df", salts), ["term"])
+    terms = out.add("terms", postings.groupBy("part", "term").agg(F.sum(F.size("docs")).alias("df")).select("part", "term", "df", salts), ["term"])
     many = terms.where("salts > 1").select("part", "term", "salts")
     if not many.isEmpty():
-        salted = postings.join(many.hint("shuffle_hash"), ["part", "term"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
-        out.add("hot", salted.select("part", "term", "salt", "doc", "dl", "tf"), ["part", "term", "salt"])
-        out.add("cold", postings.join(many.hint("shuffle_hash"), ["part", "term"], "left_anti"), ["part", "term"], dealt=True)
+        salted = postings.join(many.hint("shuffle_hash"), ["part", "term"]).withColumn("salt", F.pmod(F.xxhash64("slab"), F.col("salts")).cast("int"))
+        out.add("hot", salted.select("part", "term", "salt", "slab", "docs", "dls", "tfs"), ["part", "term", "salt"], lists="docs")
+        out.add("cold", postings.join(many.hint("shuffle_hash"), ["part", "term"], "left_anti"), ["part", "term"], dealt=True, lists="docs")
         out.drop("postings")
         out.tables["cold"]["serves"] = "postings"
     return out.commit(kind="sparse", n=n, hot=hot, **info)
