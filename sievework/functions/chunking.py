@@ -5,13 +5,16 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Chunk size, overlap and the characters after which a sentence ends.
 SIZE, OVERLAP, ENDS = 448, 64, "。！？；\n"
 
+#: Characters of texts whose chunks are held at once.
+SLAB = 1 << 20
+
 _SCHEMA = "case_id string, chunk_id string, chunk_index int, start_char int, end_char int, text string"
 
 
@@ -48,13 +51,27 @@ def _farthest(fits: Callable[[int], bool], low: int, high: int) -> int:
     return low
 
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in _SCHEMA.split(", ")])
+
+
 def chunks(cases: DataFrame, id_col: str = "case_id", text_col: str = "fact", size: int = SIZE, overlap: int = OVERLAP, ends: str = ENDS) -> DataFrame:
     """One row a chunk, with its offsets and SHA-256."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, f"{k}:c{i}", i, a, b, t[a:b]) for k, t in zip(frame["k"], frame["t"]) for i, (a, b) in enumerate(cuts(t, size, overlap, ends))]
-            yield pd.DataFrame(rows, columns=["case_id", "chunk_id", "chunk_index", "start_char", "end_char", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for k, t in zip(batch.column(0), batch.column(1)):
+                k, t = k.as_py(), t.as_py()
+                rows += [(k, f"{k}:c{i}", i, a, b, t[a:b]) for i, (a, b) in enumerate(cuts(t, size, overlap, ends))]
+                held += len(t)
+                if held >= SLAB:
+                    yield _table(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _table(rows)
 
     keyed = cases.select(F.col(id_col).cast("string").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return keyed.mapInPandas(run, _SCHEMA).withColumn("text_sha256", F.sha2("text", 256))
+    return keyed.mapInArrow(run, _SCHEMA).withColumn("text_sha256", F.sha2("text", 256))
