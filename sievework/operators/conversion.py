@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import rules
-from sievework.functions.redaction import drop_leaking_sentences, leakage_hits, redact, redaction_counts
-from sievework.functions.text import duplicate_group_id, duplicate_text
+from sievework.functions.redaction import drop_leaking_sentences, leakage_total, redact, redaction_total
+from sievework.functions.text import duplicate_text
+from sievework.sources.files import stored
 
 SPLITS = ["train", "validation", "test"]
 
 
-def _total(counts: Column) -> Column:
-    return F.aggregate(F.map_values(counts), F.lit(0), lambda a, n: a + n)
-
-
 def _id(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(value, 256), 1, 20))
 
@@ -44,12 +41,13 @@ def converted(cases: DataFrame, source: str, schema_version: str, privacy=rules.
     Unicode NFKC.
     """
     clean = drop_leaking_sentences(F.col("fact"), leakage, boundary, ends)
-    first = cases.withColumns({"__clean": clean, "__dropped": _total(leakage_hits(F.col("fact"), leakage, boundary)), "__s": sentence(F.col("death"), F.col("life"), F.col("months")), "__f": fine(F.col("fine"))})
-    masked = first.withColumns({"__fact": redact(F.col("__clean"), privacy), "__private": _total(redaction_counts(F.col("__clean"), privacy))})
-    left = masked.withColumns({"__left": _total(leakage_hits(F.col("__fact"), leakage, boundary)), "__norm": F.sha2(duplicate_text(F.col("__fact"), composed), 256)})
+    first = cases.withColumns({"__clean": clean, "__dropped": leakage_total(F.col("fact"), leakage, boundary), "__s": sentence(F.col("death"), F.col("life"), F.col("months")), "__f": fine(F.col("fine"))})
+    masked = first.withColumns({"__fact": redact(F.col("__clean"), privacy), "__private": redaction_total(F.col("__clean"), privacy)})
+    left = masked.withColumns({"__left": leakage_total(F.col("__fact"), leakage, boundary), "__norm": F.sha2(duplicate_text(F.col("__fact"), composed), 256)})
     why = F.when(F.coalesce("__clean", F.lit("")) == "", "empty_after_leakage_clean").when(F.col("__left") > 0, "residual_leakage_rows_excluded")
     order = reduce(lambda w, s: w.when(F.col("split") == s[1], s[0]), enumerate(SPLITS), F.when(F.lit(False), -1)).otherwise(len(SPLITS))
-    judged = left.withColumns({"excluded": why, "__order": order})
+    # written once, because it is read twice
+    judged = stored(left.withColumns({"excluded": why, "__order": order}).drop("fact", "__clean"), "cases")
     earliest = judged.where("excluded is null").groupBy("__norm").agg(F.min("__order").alias("__first"))
     met = judged.join(earliest, "__norm", "left").withColumn("excluded", F.when(F.col("excluded").isNull() & (F.col("__order") > F.col("__first")), "cross_split_duplicates_excluded").otherwise(F.col("excluded")))
     kind, status = F.col("__s.sentence_type"), F.col("__f.status")
@@ -91,7 +89,7 @@ def converted(cases: DataFrame, source: str, schema_version: str, privacy=rules.
         F.when(kind == "fixed_term", "coarse_legacy").otherwise("reliable_special").alias("sentence_type_quality"),
         F.when(F.col("__private") > 0, "redacted").otherwise("clear").alias("privacy_status"),
         F.when(~ok, "blocked").when(F.col("__dropped") > 0, "cleaned").otherwise("clean").alias("leakage_status"),
-        duplicate_group_id(F.col("__fact"), composed).alias("duplicate_group_id"),
+        F.concat(F.lit("DG-"), F.substring("__norm", 1, 20)).alias("duplicate_group_id"),
         _id("CASE-", raw_id).alias("source_case_group_id"),
         F.struct(*[c.alias(n) for n, c in masks.items()]).alias("task_masks"),
         F.struct(*[c.alias(n) for n, c in flags.items()]).alias("data_quality"),
