@@ -135,8 +135,8 @@ def _slabs(index: bm25.Index, n: int) -> DataFrame:
 def save_sparse(index: bm25.Index, root: str, n: int = 2, hot: int = HOT, **info) -> dict:
     """Writes an index that ``bm25.build`` made of n-grams of size n; returns its commit."""
     out = Tables(index.docs.sparkSession, root)
-    out.add("docs", index.docs)
-    out.add("sizes", index.sizes)
+    docs = out.add("docs", index.docs)
+    out.add("sizes", docs.groupBy("part").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
     postings = out.add("postings", _slabs(index, n), ["part", "term"], lists="docs")
     salts = F.greatest(F.lit(1), F.ceil(F.col("df") / hot)).cast("int").alias("salts")
     terms = out.add("terms", postings.groupBy("part", "term").agg(F.sum(F.size("docs")).alias("df")).select("part", "term", "df", salts), ["term"])
