@@ -8,7 +8,9 @@ the next window.
 
 A corpus of one shard is packed in one task. In a larger one the inverted index
 lies in shards by a hash, and many lanes fill a window each. A round asks every
-shard for the lanes' neighbours; the driver gives documents to the lanes in turn.
+shard for the lanes' neighbours; the shards' answers are merged for each seed
+before the driver gives documents to the lanes in turn, so what it gets a round is
+bounded by the lanes, of which there are LANES at most.
 A shard names its best ones only until they would fill the window a few times, so
 a lane takes no document that is worse than what a shard may have kept back, and
 asks again in the next round instead. Lanes decide who takes a document first,
@@ -31,10 +33,12 @@ from . import storage, textops, tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WINDOW = 4096
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 8_000_000
-#: Windows a lane fills, about; how often a shard's answer would fill the room of a window.
-LANE_WINDOWS, ANSWER = 32, 8
+#: Bytes of text and rows in a shard, about.
+SHARD_BYTES, SHARD_ROWS = 8_000_000, 50_000
+#: Windows a lane fills, about; most lanes; how often a shard's answer, and that of all shards, would fill the room of a window.
+LANE_WINDOWS, LANES, ANSWER, MERGED = 32, 1024, 8, 64
+#: Cells of the matrix of a shard's scores or weights, at most; pieces that the driver holds before they are written, about.
+CELLS, HELD = 1 << 25, 50_000
 #: Terms whose weights are multiplied as a matrix, at most, and the share of documents they are in, at least.
 DENSE, DENSE_SHARE = 4096, 0.01
 _K1, _B = 1.2, 0.75
@@ -240,9 +244,15 @@ class Query:
         """Answers of one shard: (place of the seed, document, score, size, mark)."""
         base = self.base[shard]
         bits = np.unpackbits(self.free[base // 8 : (base + len(size) + 7) // 8])[base % 8 :][: len(size)].astype(bool)
-        here = np.flatnonzero(bits)
-        if not len(here):
-            return
+        free = np.flatnonzero(bits)
+        most = max(1, CELLS // max(len(self.dense), block))
+        for at in range(0, len(free), most):
+            yield from self._ask(base, free[at : at + most], size, term, doc, tf, block)
+
+    def _ask(self, base: int, here: np.ndarray, size: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, block: int):
+        """Answers of the documents ``here`` of a shard, as if they were a shard of their own."""
+        bits = np.zeros(len(size), bool)
+        bits[here] = True
         spot = np.cumsum(bits) - 1
         held = bits[doc]
         term, doc, tf = term[held], doc[held], tf[held]
@@ -314,12 +324,28 @@ def _asker(query):
                 if sum(len(x[0]) for x in found) > 2_000_000:
                     found = [tuple(merged())]
         if found:
-            k, doc, score, _, more = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(doc.astype(np.int64)), pa.array(score.astype(np.float32)), pa.array(more.astype(bool))], names=["k", "doc", "score", "more"])
+            yield from _answers(*merged()).to_batches()
 
     return ask
 
 
+ANSWERS = "k long, doc long, score float, size long, more boolean"
+
+
+def _answers(k: np.ndarray, doc: np.ndarray, score: np.ndarray, size: np.ndarray, more: np.ndarray) -> pa.Table:
+    columns = [pa.array(x.astype(kind)) for x, kind in ((k, np.int64), (doc, np.int64), (score, np.float32), (size, np.int64), (more, bool))]
+    return pa.table(columns, names=["k", "doc", "score", "size", "more"])
+
+
+def _merger(query):
+    """The best of all tasks' answers to a seed."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _answers(*best(*(table.column(c).to_numpy() for c in ("k", "doc", "score", "size", "more")), MERGED // ANSWER * query.value.enough))
+
+    return merge
+
+
 def _encoded(path: str, end_id: int, table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """A shard's documents in order, their ids and offsets."""
     encoder = tokens.encoder(path)
@@ -416,11 +442,12 @@ def _pack_shards(dealt: DataFrame, path: str, window: int, end_id: int) -> DataF
             known |= {base[r["shard"]] + r["place"]: np.frombuffer(r["own"], np.int32) for r in got}
         own = [known[s] for s in seeds.tolist()]
         query = spark.sparkContext.broadcast(Query(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]), ANSWER * rooms, free, base, df, len(size), size.mean()))
-        found = index.select("shard", "sizes", "terms", "counts", "docs", "tfs").mapInArrow(_asker(query), "k long, doc long, score float, more boolean").toArrow()
+        told = index.select("shard", "sizes", "terms", "counts", "docs", "tfs").mapInArrow(_asker(query), ANSWERS)
+        found = told.groupBy("k").applyInArrow(_merger(query), ANSWERS).select("k", "doc", "score", "more").toArrow()
         query.destroy()
         return tuple(found.column(c).to_numpy(zero_copy_only=False) for c in ("k", "doc", "score", "more"))
 
-    lanes = max(1, int(size.sum(dtype=np.int64)) // window // LANE_WINDOWS)
+    lanes = min(LANES, max(1, int(size.sum(dtype=np.int64)) // window // LANE_WINDOWS))
     laid = storage.fresh_uri(spark, "packing-pieces")
     batch: list[tuple[int, int, int, int, int]] = []
 
@@ -432,7 +459,7 @@ def _pack_shards(dealt: DataFrame, path: str, window: int, end_id: int) -> DataF
 
     for pieces in pack_lanes(size, lanes, window, neighbours):
         batch += pieces
-        if len(batch) > 200_000:
+        if len(batch) > HELD:
             write()
     if batch:
         write()
@@ -443,8 +470,8 @@ def _pack_shards(dealt: DataFrame, path: str, window: int, end_id: int) -> DataF
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, end_id: int = tokens.END_ID) -> DataFrame:
     """One row a piece: which ids of which document lie where in which sequence."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-total // shard_bytes), -(-n // SHARD_ROWS))
     path = tokenizer or tokens.tokenizer_path()
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     if shards > 1:

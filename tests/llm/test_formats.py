@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -225,3 +226,28 @@ def test_chat_query_holds_the_probe(spark):
     p = queries.PROBE
     assert r["n_turns"] == 2 and r["loss_chars"] == len(p) and r["loss_sha256"] == hashlib.sha256(p.encode()).hexdigest()
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{p}\nassistant\n{p}\n".encode()).hexdigest()
+
+
+def test_packing_answers_are_merged_and_asked_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(3, 60, rng.integers(2, 12))) for _ in range(90)]
+    ids, off = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    size, df = np.diff(off), np.bincount(ids, minlength=60)
+    own = docs[:20]
+    q = packing.Query(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]), np.full(20, 40), np.ones(90, bool), {0: 0}, df, 90, size.mean())
+
+    def asked():
+        return [np.concatenate(x) for x in zip(*q.ask(0, size, *packing.postings(ids, off)))]
+
+    whole = packing.best(*asked(), q.enough)
+    monkeypatch.setattr(packing, "CELLS", 7 * 1024)  # seven documents at once
+    parts = asked()
+    assert len(parts[0]) > len(whole[0])
+    for got, want in zip(packing.best(*parts, q.enough), whole):
+        assert np.allclose(got, want)
+    # what reaches the driver is some windows of documents for each seed, however many tasks have answered
+    monkeypatch.setattr(packing, "MERGED", packing.ANSWER)
+    seed = packing._answers(*(x[parts[0] == 3] for x in parts))
+    merged = packing._merger(SimpleNamespace(value=q))(seed)
+    assert merged.num_rows < seed.num_rows and sum(merged.column("size").to_pylist()[:-1]) < 40
+    assert merged.column("doc").to_pylist() == whole[1][whole[0] == 3].tolist()
