@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import character_ngrams
+from sievework.operators import scan
 from sievework.session import spread
 from sievework.sources.files import stored
 
@@ -43,12 +44,19 @@ def compare(docs: DataFrame, share: int = 5) -> DataFrame:
 
 #: Sizes of the n-grams, most of them in the vocabulary, documents that a gram needs.
 SIZES, FEATURES, LEAST_DOCS = (2, 3, 4), 60_000, 2
+#: Rows of a slab, at most; pairs of characters up to which they are counted in a table.
+SLAB_ROWS, TABLE = 1 << 18, 1 << 24
 #: Rows that a task fits at once, times it goes through them, rows of a step, and the step's size.
 CHUNK, TURNS, STEP_ROWS, RATE = 2048, 20, 16, 0.5
 
 
+def plain_text(text: Column) -> Column:
+    """Small letters, runs of white space as one space; null is empty."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def _grams(text: Column) -> Column:
-    """All n-grams of a text in small letters, with runs of white space as one space."""
+    """All n-grams of a text's plain_text()."""
 
     def of(chars: Column, n: int) -> Column:
         """Characters zipped with themselves; a substring would scan the text from its start."""
@@ -58,20 +66,23 @@ def _grams(text: Column) -> Column:
             out = F.zip_with(out, tail, lambda a, b: F.concat(a, b))
         return out
 
-    plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     # bound to a variable, or it would be made anew for each part
-    return F.flatten(F.transform(F.array(F.split(plain, "")), lambda c: F.concat(*[of(c, n) for n in SIZES])))
+    return F.flatten(F.transform(F.array(F.split(plain_text(text), "")), lambda c: F.concat(*[of(c, n) for n in SIZES])))
 
 
 def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, gram, tf."""
+    """key, gram, tf; every gram is a row. Of whole texts, gram_totals() and vectors() make the same without these rows."""
     return spread(docs.select(key, F.explode(_grams(F.col(text))).alias("gram"))).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, key: str, rows: int, features: int = FEATURES) -> DataFrame:
     """gram, feature (from 0, by gram), idf: the most frequent grams of all texts that are in several of them, ties by gram."""
-    total = counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= LEAST_DOCS)
-    best = total.orderBy(F.desc("tf"), "gram").limit(features).withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
+    return chosen(counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), rows, features)
+
+
+def chosen(total: DataFrame, rows: int, features: int = FEATURES) -> DataFrame:
+    """vocabulary() of gram, tf, df."""
+    best = total.where(F.col("df") >= LEAST_DOCS).orderBy(F.desc("tf"), "gram").limit(features).withColumn("idf", F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0)
     # at most ``features`` rows are numbered
     listed = best.agg(F.array_sort(F.collect_list(F.struct("gram", "idf"))).alias("all"))
     return listed.select(F.posexplode("all").alias("feature", "x")).select("x.gram", "feature", "x.idf")
@@ -84,6 +95,92 @@ def weighted(counts: DataFrame, key: str, words: DataFrame) -> DataFrame:
     return rows.select(key, F.col("e.feature").alias("features"), F.transform("e", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
+class Slab:
+    """The n-grams of some texts as numbers, made of the places of their first and last pair of characters."""
+
+    def __init__(self, texts: pa.Array):
+        rows = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
+        points = np.concatenate([np.zeros(0, np.uint32), *rows])
+        self.rows, self.row = len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        place = np.zeros(0x110000, np.int64)
+        place[points] = 1
+        letters = np.flatnonzero(place)
+        place[letters] = np.arange(len(letters))
+        letter = place[points]
+        pair = letter[:-1] * len(letters) + letter[1:]
+        if len(letters) ** 2 <= TABLE:
+            known = np.zeros(len(letters) ** 2, np.int64)
+            known[pair] = 1
+            pairs = np.flatnonzero(known)
+            known[pairs] = np.arange(len(pairs))
+            self.pair = known[pair]
+        else:
+            pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.first, self.second = (letters[x].astype("<u4") for x in np.divmod(pairs, max(1, len(letters))))
+
+    def counts(self, n: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams (n: 2 to 4), and place among them, row and count of each that a row has, by place."""
+        at = np.flatnonzero(self.row[: len(self.row) - n + 1] == self.row[n - 1 :])
+        number = self.pair[at]
+        if n > 2:
+            number = number * len(self.first) + self.pair[at + n - 2]
+        met, tf = np.unique(number * self.rows + self.row[at], return_counts=True)
+        number, row = np.divmod(met, max(1, self.rows))
+        new = np.append(True, number[1:] != number[:-1])[: len(number)]
+        head, tail = np.divmod(number[new], len(self.first)) if n > 2 else (number[new], number[new])
+        chars = [self.first[head], self.second[head], self.first[tail], self.second[tail]]
+        joined = np.stack(chars[:2] + chars[6 - n :], axis=1).tobytes().decode("utf-32-le")
+        return [joined[i : i + n] for i in range(0, len(joined), n)], np.cumsum(new) - 1, row, tf
+
+
+def gram_totals(texts: DataFrame) -> DataFrame:
+    """gram, tf, df of texts (text: plain_text()), counted in slabs where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in scan.slabs(batch, SLAB_ROWS):
+                slab = Slab(part.column(0))
+                for n in SIZES:
+                    grams, place, _, tf = slab.counts(n)
+                    total = [np.bincount(place, x, len(grams)).astype(np.int64) for x in (tf, None)]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, total)], ["gram", "tf", "df"])
+
+    each = texts.select("text").mapInArrow(run, "gram string, tf long, df long")
+    return each.groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def vectors(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """The columns before text (plain_text(), the last one) and features, weights, as weighted() makes them; empty lists for texts without known grams.
+
+    words: gram, feature, idf, which go to every task.
+    """
+    held = words.orderBy("feature").toArrow()
+    sent = texts.sparkSession.sparkContext.broadcast((held.column("gram").to_pylist(), held.column("idf").to_numpy()))
+    kept = texts.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, idf = sent.value
+        number = {g: i for i, g in enumerate(grams)}
+        for batch in batches:
+            for part in scan.slabs(batch, SLAB_ROWS):
+                slab, found = Slab(part.column(len(kept))), []
+                for n in SIZES:
+                    own, place, row, tf = slab.counts(n)
+                    feature = np.fromiter((number.get(g, -1) for g in own), np.int64, len(own))[place]
+                    some = feature >= 0
+                    found.append((row[some], feature[some], (1.0 + np.log(tf[some])) * idf[feature[some]]))
+                row, feature, weight = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(row, kind="stable")
+                row, feature, weight = row[order], feature[order], weight[order]
+                weight = weight / np.sqrt(np.bincount(row, weight**2, slab.rows))[row]
+                ends = pa.array(np.searchsorted(row, np.arange(slab.rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(feature, pa.int32()), pa.array(weight))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], [*kept, "features", "weights"])
+
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.mapInArrow(run, f"{kinds}, features array<int>, weights array<double>")
+
+
 class Linear:
     """One linear model a label over sparse rows, all updated at once by logistic loss."""
 
@@ -99,14 +196,22 @@ class Linear:
         return out
 
     def step(self, begin: np.ndarray, feature: np.ndarray, weight: np.ndarray, y: np.ndarray) -> None:
-        """Adaptive gradient descent on a few rows; rare grams take larger steps."""
-        error = (1 / (1 + np.exp(-self.scores(begin, feature, weight))) - y).astype(np.float32)
-        row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        own, at = np.unique(feature, return_inverse=True)
-        gradient = np.zeros((len(own), y.shape[1]), np.float32)
-        np.add.at(gradient, at, error[row] * weight[:, None])
-        self.past[own] += gradient**2
-        self.w[own] -= RATE * gradient / np.sqrt(self.past[own])
+        """Adaptive gradient descent on a few rows, whose features are distinct; rare grams take larger steps."""
+        met = np.zeros(len(self.w), bool)
+        met[feature] = True
+        own = np.flatnonzero(met)
+        place = np.zeros(len(self.w), np.int32)
+        place[own] = np.arange(len(own))
+        x = np.zeros((len(y), len(own)), np.float32)
+        x[np.repeat(np.arange(len(y)), np.diff(begin)), place[feature]] = weight
+        w, past = self.w[own], self.past[own]
+        error = (1 / (1 + np.exp(-(x @ w + self.bias))) - y).astype(np.float32)
+        gradient = x.T @ error
+        past += gradient**2
+        gradient *= RATE
+        gradient /= np.sqrt(past)
+        w -= gradient
+        self.w[own], self.past[own] = w, past
         b = error.sum(axis=0)
         self.past_bias += b**2
         self.bias -= RATE * b / np.sqrt(self.past_bias)
@@ -166,19 +271,21 @@ def multilabel(train: DataFrame, validation: DataFrame, key: str, text: str, lab
     A row gets the labels with a probability of 0.5 or more, else its likeliest.
     Labels that no training row has count as missed.
     """
+    spark = train.sparkSession
     listed = F.array_distinct(F.coalesce(F.array_compact(labels), F.array().cast("array<string>")))
-    train, validation = (d.select(key, text, listed.alias("labels")) for d in (train, validation))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # dealt by a hash, so that a task's rows are of all kinds
+    train, validation = (stored(d.select(listed.alias("labels"), plain_text(F.col(text)).alias("text"), key).repartition(parts, key).drop(key), "texts") for d in (train, validation))
     support = {r["label"]: r["n"] for r in train.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
     names = sorted(support)
     number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map().cast("map<string,int>")
     rows = train.count()
-    counts = stored(gram_counts(train, key, text), "grams")
-    words = stored(vocabulary(counts, key, rows, features), "vocabulary")
+    words = stored(chosen(gram_totals(train), rows, features), "vocabulary")
     size = words.count()
-    fitted = weighted(counts, key, words).join(train.select(key, F.transform("labels", lambda x: F.element_at(number, x)).alias("ys")), key)
-    w, bias = fit(fitted, size, len(names))
-    asked = validation.select(key, "labels").join(weighted(gram_counts(validation, key, text), key, words), key, "left")
-    sent = train.sparkSession.sparkContext.broadcast((w, bias))  # as large as labels times features
+    fitted = vectors(train.coalesce(max(1, -(-rows // CHUNK))).select(F.transform("labels", lambda x: F.element_at(number, x)).alias("ys"), "text"), words)
+    w, bias = fit(fitted.where(F.size("features") > 0), size, len(names))
+    asked = vectors(validation, words)
+    sent = spark.sparkContext.broadcast((w, bias))  # as large as labels times features
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Linear(0, 0)
@@ -193,8 +300,7 @@ def multilabel(train: DataFrame, validation: DataFrame, key: str, text: str, lab
                     chosen[empty, score[empty].argmax(axis=1)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([[names[j] for j in np.flatnonzero(c)] for c in chosen], pa.list_(pa.string())), batch.column(2)], ["predicted", "labels"])
 
-    none = {"features": F.array().cast("array<int>"), "weights": F.array().cast("array<double>")}
-    told = asked.select(*[F.coalesce(c, v).alias(c) for c, v in none.items()], "labels").mapInArrow(predict, "predicted array<string>, labels array<string>")
+    told = asked.select("features", "weights", "labels").mapInArrow(predict, "predicted array<string>, labels array<string>")
     usual = min(names, key=lambda n: (-support[n], n)) if names else None
     guessed = validation.select(F.array(F.lit(usual).cast("string")).alias("predicted"), "labels")
 

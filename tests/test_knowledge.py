@@ -7,7 +7,10 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.functions import chunking
 from sievework.operators import baselines, knowledge
@@ -158,6 +161,25 @@ def test_vocabulary_and_weights_are_those_of_brute_force(spark):
         assert dict(zip(r["features"], [round(x, 9) for x in r["weights"]])) == {k: round(x / length, 9) for k, x in raw.items()}
 
 
+def test_grams_counted_in_tasks_are_those_of_tables(spark, monkeypatch):
+    texts = ["Aba  ba", "abab", "", None, "xyz\nab", "a", "\U00020000é\x00 ab\x00", "é\x00 é", "ab" * 300, "ÄB İab", "abab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    counts = baselines.gram_counts(df, "id", "t")
+    words = baselines.vocabulary(counts, "id", len(texts), 40)
+    want = {r["id"]: sorted(zip(r["features"], [round(x, 9) for x in r["weights"]])) for r in baselines.weighted(counts, "id", words).collect()}
+    plain = df.select("id", baselines.plain_text(F.col("t")).alias("text"))
+    totals = baselines.gram_totals(plain)
+    assert sorted(map(tuple, totals.collect())) == sorted((r["gram"], r["tf"], r["df"]) for r in counts.groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).collect())
+    assert sorted(map(tuple, baselines.chosen(totals, len(texts), 40).collect())) == sorted(map(tuple, words.collect()))
+    got = {r["id"]: sorted(zip(r["features"], [round(x, 9) for x in r["weights"]])) for r in baselines.vectors(plain, words).collect()}
+    assert got == {i: want.get(i, []) for i in range(len(texts))}
+    slab = pa.array([t or "" for t in texts])
+    in_table = [baselines.Slab(slab).counts(n) for n in baselines.SIZES]
+    monkeypatch.setattr(baselines, "TABLE", 4)  # pairs of characters are sorted instead
+    assert all(a[0] == b[0] and all(map(np.array_equal, a[1:], b[1:])) for a, b in zip(in_table, [baselines.Slab(slab).counts(n) for n in baselines.SIZES]))
+    assert baselines.Slab(pa.array(["", ""])).counts(4)[0] == []
+
+
 def test_linear_models_beat_the_majority(spark):
     rng = random.Random(4)
     stems = {"theft": "stolen phone taken purse", "fraud": "forged cheque false claim", "assault": "struck injured fist wound"}
