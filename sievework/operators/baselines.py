@@ -8,22 +8,79 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, StringIndexer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.functions.text import character_ngrams
+from sievework.functions.text import compact
 from sievework.operators import scan
 from sievework.session import spread
 from sievework.sources.files import stored
 
 
-def ngram_model(features: int = 1 << 14, iterations: int = 15) -> Pipeline:
-    """Hashed n-gram frequencies, inverse document frequencies and multinomial logistic regression."""
+def bucket(gram: str, features: int) -> int:
+    """Where HashingTF puts a term: 32-bit Murmur3 of its UTF-8 bytes."""
+    data, h, full = gram.encode(), 42, 0xFFFFFFFF
+    for a in range(0, len(data), 4):
+        k = int.from_bytes(data[a : a + 4], "little") * 0xCC9E2D51 & full
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & full
+        if a + 4 <= len(data):
+            h = ((h << 13 | h >> 19) & full) * 5 + 0xE6546B64 & full
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return (h - (h >> 31 << 32)) % features
+
+
+def hashed(docs: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """doc_id, label, tf: hashed frequencies of the distinct n-grams of texts (doc_id, text, label), as HashingTF makes them of character_ngrams() of 2 and 3.
+
+    They are counted in slabs where the texts are read, and written once, since the
+    fit goes through them several times.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def of(grams: list[str]) -> np.ndarray:
+            if len(known) > 1 << 20:
+                known.clear()
+            for g in grams:
+                if g not in known:
+                    known[g] = bucket(g, features)
+            return np.array([known[g] for g in grams], np.int64)
+
+        for batch in batches:
+            for part in scan.slabs(batch, SLAB_ROWS):
+                slab = Slab(part.column(2))
+                single = [(i, t) for i, t in enumerate(part.column(2).to_pylist()) if len(t) == 1]
+                cells = [np.array([i for i, _ in single], np.int64) * features + of([t for _, t in single])]
+                for n in (2, 3):
+                    grams, place, row, _ = slab.counts(n)
+                    cells.append(row * features + of(grams)[place])
+                cells, tf = np.unique(np.concatenate(cells), return_counts=True)
+                row, index = np.divmod(cells, features)
+                ends = pa.array(np.searchsorted(row, np.arange(slab.rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(index, pa.int32()), pa.array(tf.astype(float)))]
+                same = [pa.array(np.full(slab.rows, x, kind)) for x, kind in ((0, np.int8), (features, np.int32))]
+                vector = pa.StructArray.from_arrays([*same, *lists], ["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], vector], ["doc_id", "label", "tf"])
+
+    rows = spread(docs).select("doc_id", "label", compact(F.col("text")).alias("text"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    counted = rows.mapInArrow(run, T.StructType([T.StructField(c, kinds[c]) for c in ("doc_id", "label")] + [T.StructField("tf", VectorUDT.sqlType())]))
+    # a vector's stored form is read as a vector
+    return stored(counted, "tf", T.StructType([*counted.schema.fields[:2], T.StructField("tf", VectorUDT())]))
+
+
+def ngram_model(iterations: int = 15) -> Pipeline:
+    """Inverse document frequencies of hashed n-grams and multinomial logistic regression."""
     return Pipeline(
         stages=[
             StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"),
-            HashingTF(inputCol="grams", outputCol="tf", numFeatures=features),
             IDF(inputCol="tf", outputCol="x", minDocFreq=2),
             LogisticRegression(featuresCol="x", labelCol="y", maxIter=iterations, regParam=0.01),
         ]
@@ -32,9 +89,9 @@ def ngram_model(features: int = 1 << 14, iterations: int = 15) -> Pipeline:
 
 def compare(docs: DataFrame, share: int = 5) -> DataFrame:
     """model, rows, accuracy on the documents whose hash falls into one of ``share`` parts (doc_id, text, label)."""
-    grams = spread(docs.where("label is not null and text is not null")).select("doc_id", "label", F.array_union(character_ngrams(F.col("text"), 2), character_ngrams(F.col("text"), 3)).alias("grams"))
+    rows = hashed(docs.where("label is not null and text is not null"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
-    train, test = grams.where(~part), grams.where(part)
+    train, test = rows.where(~part), rows.where(part)
     usual = train.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1).select(F.col("label").alias("usual"))
     majority = test.select("label").crossJoin(F.broadcast(usual)).agg(F.count("*").alias("rows"), F.round(F.avg((F.col("label") == F.col("usual")).cast("int")), 6).alias("accuracy"))
     model = ngram_model().fit(train)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import chunking
+from sievework.functions.text import character_ngrams
 from sievework.operators import baselines, knowledge
 from sievework.sources import models, remote
 from sievework.sources.publish import Publication
@@ -193,3 +194,15 @@ def test_linear_models_beat_the_majority(spark):
     got = {r["model"]: r for r in baselines.multilabel(df.where("id % 4 > 0"), df.where("id % 4 = 0"), "id", "t", "l", 500).collect()}
     assert got["ngrams"]["rows"] == got["majority"]["rows"] == df.where("id % 4 = 0").count() and got["ngrams"]["features"] == 500
     assert got["ngrams"]["micro_f1"] > 0.95 > 0.6 > got["majority"]["micro_f1"]
+
+
+def test_hashed_grams_are_those_of_hashing_tf_and_made_once(spark):
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["stolen phone", "a", "ab", " a\nb c", "", "\U00020000é", "第一案。被告人", "ab" * 500, "é\u2003é", "\x00", "aaaa"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, label string").repartition(2)
+    tf = baselines.hashed(df, 64)
+    grams = df.select("doc_id", F.array_union(character_ngrams(F.col("text"), 2), character_ngrams(F.col("text"), 3)).alias("g"))
+    want = HashingTF(inputCol="g", outputCol="tf", numFeatures=64).transform(grams)
+    assert {r["doc_id"]: r["tf"] for r in tf.collect()} == {r["doc_id"]: r["tf"] for r in want.collect()}
+    assert tf.inputFiles()  # the fit's passes read what was written, not texts
