@@ -103,6 +103,8 @@ def compare(docs: DataFrame, share: int = 5) -> DataFrame:
 SIZES, FEATURES, LEAST_DOCS = (2, 3, 4), 60_000, 2
 #: Rows of a slab, at most; pairs of characters up to which they are counted in a table.
 SLAB_ROWS, TABLE = 1 << 18, 1 << 24
+#: Multiplications of one product in a step, at most.
+SMALL = 1 << 17
 #: Rows that a task fits at once, times it goes through them, rows of a step, and the step's size.
 CHUNK, TURNS, STEP_ROWS, RATE = 2048, 20, 16, 0.5
 
@@ -259,11 +261,16 @@ class Linear:
         own = np.flatnonzero(met)
         place = np.zeros(len(self.w), np.int32)
         place[own] = np.arange(len(own))
-        x = np.zeros((len(y), len(own)), np.float32)
-        x[np.repeat(np.arange(len(y)), np.diff(begin)), place[feature]] = weight
-        w, past = self.w[own], self.past[own]
-        error = (1 / (1 + np.exp(-(x @ w + self.bias))) - y).astype(np.float32)
-        gradient = x.T @ error
+        cells = np.zeros(len(y) * len(own), np.float32)
+        cells[np.repeat(np.arange(len(y)) * len(own), np.diff(begin)) + place[feature]] = weight
+        x = cells.reshape(len(y), len(own))
+        w, past = self.w.take(own, axis=0), self.past.take(own, axis=0)
+        # in products so small that BLAS starts no threads for them; those of a step would only wait for each other
+        cols = max(1, SMALL // y.size) if y.size else 1
+        parts = [slice(a, a + cols) for a in range(0, len(own), cols)]
+        score = sum((x[:, p] @ w[p] for p in parts), np.zeros(y.shape, np.float32))
+        error = (1 / (1 + np.exp(-(score + self.bias))) - y).astype(np.float32)
+        gradient = np.concatenate([x[:, p].T @ error for p in parts]) if parts else np.zeros_like(w)
         past += gradient**2
         gradient *= RATE
         gradient /= np.sqrt(past)
