@@ -37,19 +37,28 @@ WINDOW = 4096
 SHARD_BYTES, SHARD_ROWS = 8_000_000, 50_000
 #: Windows a lane fills, about; most lanes; how often a shard's answer, and that of all shards, would fill the room of a window.
 LANE_WINDOWS, LANES, ANSWER, MERGED = 32, 1024, 8, 64
+#: Bytes of text encoded at once, tokens whose pairs are sorted at once, and chunks whose ids a worker keeps, about.
+TEXT, TOKENS, CHUNKS = 1 << 19, 1 << 18, 400_000
 #: Cells of the matrix of a shard's scores or weights, at most; pieces that the driver holds before they are written, about.
 CELLS, HELD = 1 << 25, 50_000
 #: Terms whose weights are multiplied as a matrix, at most, and the share of documents they are in, at least.
-DENSE, DENSE_SHARE = 4096, 0.01
+DENSE, DENSE_SHARE = 4096, 0.05
 _K1, _B = 1.2, 0.75
 
 
 def postings(ids: np.ndarray, off: np.ndarray):
     """Term, document and count of each pair that occurs, by term and document."""
-    n = max(len(off) - 1, 1)
-    doc = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(off))
-    pairs, tf = np.unique(ids.astype(np.uint64) * np.uint64(n) + doc, return_counts=True)
-    return (pairs // np.uint64(n)).astype(np.int64), (pairs % np.uint64(n)).astype(np.int64), tf
+    parts, a = [(np.zeros(0, np.int64),) * 3], 0
+    while a < len(off) - 1:  # a pair lies in one document, so documents are counted a few at a time
+        b = max(a + 1, int(np.searchsorted(off, off[a] + TOKENS, "right")) - 1)
+        n = np.uint64(b - a)
+        doc = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(off[a : b + 1]))
+        pairs, tf = np.unique(ids[off[a] : off[b]].astype(np.uint64) * n + doc, return_counts=True)
+        parts.append(((pairs // n).astype(np.int64), (pairs % n).astype(np.int64) + a, tf))
+        a = b
+    term, doc, tf = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(term, kind="stable")
+    return term[order], doc[order], tf[order]
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -276,7 +285,7 @@ class Query:
             low, high = np.searchsorted(term, own), np.searchsorted(term, own, "right")
             many = high - low
             at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            np.add.at(score, (np.repeat(row, many), doc[at]), w[at])
+            np.add.at(score.reshape(-1), np.repeat(row * len(here), many) + doc[at], w[at])
             yield from self._top(score, here, size[here], base, a)
 
     def _top(self, score: np.ndarray, here: np.ndarray, size: np.ndarray, base: int, a: int):
@@ -303,6 +312,12 @@ class Query:
             rows, some = rows[~full], some * 8
 
 
+def _rows(batch: pa.RecordBatch):
+    """The batch's rows one by one; bytes stay where they are."""
+    for i in range(batch.num_rows):
+        yield {name: x.as_buffer() if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type) else x.as_py() for name, x in zip(batch.schema.names, (c[i] for c in batch.columns))}
+
+
 def _arrays(row: dict) -> tuple[np.ndarray, ...]:
     """size, term, doc and tf of a row of the index."""
     terms, counts = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int32)
@@ -318,7 +333,7 @@ def _asker(query):
             return list(best(*(np.concatenate(x) for x in zip(*found)), query.value.enough))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 for answer in query.value.ask(row["shard"], *_arrays(row)):
                     found.append(answer)
                 if sum(len(x[0]) for x in found) > 2_000_000:
@@ -348,10 +363,10 @@ def _merger(query):
 
 def _encoded(path: str, end_id: int, table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """A shard's documents in order, their ids and offsets."""
-    encoder = tokens.encoder(path)
+    encoder = tokens.encoder(path, CHUNKS)
     table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     flat, sizes = [], []
-    for part in textops.slabs(iter(table.to_batches()), "text"):
+    for part in textops.slabs(iter(table.to_batches()), "text", TEXT):
         ids, off = encoder.encode(*textops.byte_view(textops.text_column(part, "text")), end_id)
         flat.append(ids)
         sizes.append(np.diff(off))
@@ -376,13 +391,13 @@ def _indexer(path: str, end_id: int):
 
 def _term_counts(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int32).astype(np.int64)) for c in ("terms", "counts")], names=["term", "df"])
 
 
 def _term_sets(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             size, term, doc, _ = _arrays(row)
             order = np.argsort(doc, kind="stable")
             term, cut = term[order].astype(np.int32), np.searchsorted(doc[order], np.arange(len(size) + 1))

@@ -34,7 +34,8 @@ def tokenizer_path(name: str = DEFAULT_FILE) -> str:
 class ChunkEncoder:
     """Encodes byte columns; keeps the ids of chunks by their hash."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -129,7 +130,7 @@ class ChunkEncoder:
             known[inside] = self.keys[pos[inside]] == keys[inside]
             if not known.all():
                 raw, lost = low.tobytes(), np.flatnonzero(~known)
-                if len(self.keys) + len(lost) > CACHE or len(self.raw) > CACHE_BYTES:
+                if len(self.keys) + len(lost) > self.most or len(self.raw) > CACHE_BYTES:
                     self._clear()
                     lost = np.arange(len(keys))
                 where = zip(s[first[lost]].tolist(), e[first[lost]].tolist())
@@ -160,14 +161,14 @@ class ChunkEncoder:
         return out, out_off
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each tokenizer file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHE) -> ChunkEncoder:
+    """One encoder for each tokenizer file, number of kept chunks and Python worker."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = ChunkEncoder(path, most)
+    return _encoders[path, most]
 
 
 def crc(ids: np.ndarray) -> int:

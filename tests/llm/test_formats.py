@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 from types import SimpleNamespace
 
@@ -251,3 +252,29 @@ def test_packing_answers_are_merged_and_asked_in_blocks(monkeypatch):
     merged = packing._merger(SimpleNamespace(value=q))(seed)
     assert merged.num_rows < seed.num_rows and sum(merged.column("size").to_pylist()[:-1]) < 40
     assert merged.column("doc").to_pylist() == whole[1][whole[0] == 3].tolist()
+
+
+def test_packing_indexes_in_bounded_memory():
+    # pairs are counted a few documents at a time, so a shard's tokens are never sorted at once
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 2000, 1500)
+    ids, off = rng.zipf(1.3, size.sum()).clip(max=40_000).astype(np.uint32), np.concatenate([[0], np.cumsum(size)])
+    tracemalloc.start()
+    term, doc, tf = packing.postings(ids, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(ids), peak  # 31 before
+    pairs, counts = np.unique(ids.astype(np.int64) * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
+    assert np.array_equal(term * len(size) + doc, pairs) and np.array_equal(tf, counts)
+
+
+def test_packing_workers_keep_few_chunks(monkeypatch):
+    texts = [" ".join(f"{a}{b}" for a in "abcdefgh" for b in range(k, k + 9)) for k in range(40)]
+    table = pa.table({"doc_id": list(range(40)), "text": texts})
+    monkeypatch.setattr(packing, "CHUNKS", 100)
+    monkeypatch.setattr(packing, "TEXT", 600)
+    got = packing._encoded(tokens.tokenizer_path(), 2, table)
+    held = tokens.encoder(tokens.tokenizer_path(), 100)
+    assert len(held.keys) <= 300
+    plain = [np.append(held.tok.encode(t, add_special_tokens=False).ids, 2) for t in texts]
+    assert np.array_equal(got[1], np.concatenate(plain)) and np.array_equal(np.diff(got[2]), [len(x) for x in plain])
