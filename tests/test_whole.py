@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sievework.functions import features
+from sievework.operators import dense
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +38,22 @@ def test_every_term_of_a_query_finds_documents(spark, tmp_path, name):
     docs = [(1, rare, "en", "a"), (2, weak, "en", "a"), (3, "xy", "en", "b")] + [(i, f"xy{weak}", "en", "b") for i in range(4, 9)] + [(9, "", "en", "b")]
     got = beside_sql(spark, tables(spark, tmp_path, docs, [(1, rare + weak), (2, f"{rare} xy")]), name)
     assert {(1, 2), (2, 3)} <= {(r[0], r[1]) for r in got}
+
+
+def test_hybrid_search_gives_one_hit_of_a_case(spark, tmp_path):
+    docs = [(i, f"fraud and theft of money {i}", "en", "a" if i < 6 else f"s{i % 2}") for i in range(9)]
+    folder = tables(spark, tmp_path, docs, [(1, "theft of money")])
+    got = beside_sql(spark, folder, "hybrid_topk")
+    sources = {d[0]: d[3] for d in docs}
+    assert sorted(sources[r[1]] for r in got) == ["a", "s0", "s1"]
+
+
+def test_letter_profiles_are_counted_in_bytes(spark):
+    """As by functions; also for the two other characters with a small letter from a to z."""
+    texts = ["", None, "Abc zZ", "\u212a\u0130k\u0131 \u00e4\U0001f600", "\u212a", "\u0130" * 3 + "x", "@[`{", "法律 K" * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r[0]: r[1] for r in rows.where("text is not null").select("id", features.letter_profile(F.col("text"))).collect()}
+    got = dense.letter_profiles(rows.coalesce(1))
+    assert {r[0]: r[1] for r in got.collect()} == want and len(want) == 7
+    plan = entry.queries()["hybrid_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan.lower()
