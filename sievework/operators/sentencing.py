@@ -20,11 +20,16 @@ from sievework.functions.money import bucket, bucket_range
 from sievework.functions.redaction import tags
 from sievework.functions.text import character_ngrams, md5_bits
 from sievework.session import spread
+from sievework.sources.files import stored
 
 from . import scan, sparse
 
 #: Buckets of hashed n-grams, sizes of the n-grams.
 BUCKETS, SIZES = 1 << 18, (2, 3, 4)
+#: Numbers that are looked up in a table, grams whose buckets a task keeps, at most.
+TABLE, KEPT = 1 << 23, 1_000_000
+#: Entries of queries' vectors that are sent to every task; queries of a bucket from which on it is in a matrix.
+SENT, OFTEN = 2_000_000, 8
 # Parts of the evidence score, its least value, texts that are too short, the confidence below which a person reviews.
 WEIGHTS, MIN_SCORE, MIN_CHARS, REVIEW = (0.70, 0.20, 0.10), 0.20, 20, 0.60
 
@@ -63,34 +68,173 @@ def _bucket(gram: str) -> int:
     return (int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "big") >> 4) % BUCKETS
 
 
+class _Counter:
+    """Counts of the hashed grams of texts; buckets that were found are kept."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def _buckets(self, grams: list[str]) -> np.ndarray:
+        if len(self.known) > KEPT:
+            self.known = {}
+        made = list(map(self.known.get, grams))
+        for i, b in enumerate(made):
+            if b is None:
+                made[i] = self.known[grams[i]] = _bucket(grams[i])
+        return np.array(made, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, bucket and count of each pair that occurs, by row and bucket."""
+        met = scan._chars(texts)
+        # characters by their place among the slab's own
+        place = np.zeros(scan.NONE + 1, np.int64)
+        place[met[0]] = place[scan.NONE] = 1
+        letters = np.flatnonzero(place)
+        place[letters] = np.arange(len(letters))
+        pairs = []
+        for n in SIZES:
+            chars, row, _ = scan.grams(texts, n, met)
+            # a gram's number is that of its beginning and its last character, numbered anew after each
+            number, size = place[chars[0]], len(letters)
+            for c in chars[1:]:
+                number, size = _renumbered(number * len(letters) + place[c], size * len(letters))
+            first = np.zeros(size, np.int64)
+            first[number] = np.arange(len(number))
+            some = chars[:, first].T if size else np.zeros((0, n), np.uint32)
+            if letters[0]:
+                # text of numpy ends before its last zeros
+                grams = np.ascontiguousarray(np.where(some == scan.NONE, 0, some).astype(np.uint32)).view(f"<U{n}").ravel().tolist()
+            else:
+                grams = ["".join(chr(c) for c in g if c != scan.NONE) for g in some.tolist()]
+            pairs.append(row * np.int64(BUCKETS) + self._buckets(grams)[number])
+        pairs, many = np.unique(np.concatenate(pairs), return_counts=True)
+        return pairs // BUCKETS, pairs % BUCKETS, many
+
+
+def _renumbered(number: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Numbers below ``size`` as places among those that occur, and how many these are."""
+    if size > TABLE:
+        own, number = np.unique(number, return_inverse=True)
+        return number, len(own)
+    seen = np.zeros(size, bool)
+    seen[number] = True
+    own = np.flatnonzero(seen)
+    place = np.zeros(size, np.int64)
+    place[own] = np.arange(len(own))
+    return place[number], len(own)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = _Counter()
     for batch in batches:
         for slab in scan.slabs(batch, scan.CELLS):
-            rows, buckets = [], []
-            for n in SIZES:
-                chars, row, _ = scan.grams(slab.column(1), n)
-                # characters by their place among the slab's own, so that a gram is one number
-                place = np.zeros(scan.NONE + 1, np.int64)
-                place[chars.ravel()] = 1
-                letters = np.flatnonzero(place)
-                place[letters] = np.arange(len(letters))
-                number = np.zeros(chars.shape[1], object if len(letters) ** n >= 1 << 63 else np.int64)
-                for c in chars:
-                    number = number * len(letters) + place[c]
-                _, first, where = np.unique(number, return_index=True, return_inverse=True)
-                made = [_bucket("".join(chr(c) for c in g if c != scan.NONE)) for g in chars[:, first].T.tolist()]
-                rows.append(row)
-                buckets.append(np.array(made, np.int64)[where])
-            pairs, many = np.unique(np.concatenate(rows) * np.int64(BUCKETS) + np.concatenate(buckets), return_counts=True)
-            row = pairs // BUCKETS
+            row, bucket, many = count(slab.column(1))
             held, begin = np.unique(row, return_index=True)
             size = np.diff(np.append(begin, len(row)))
             norm = np.sqrt(np.bincount(row, many.astype(float) ** 2, slab.num_rows)[held])
             offsets = pa.array(np.append(begin, len(row)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (pairs % BUCKETS, many / np.repeat(norm, size))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (bucket, many / np.repeat(norm, size))]
             yield pa.RecordBatch.from_arrays([slab.column(0).take(pa.array(held)), *lists], [batch.schema.names[0], "buckets", "weights"])
 
 
+class _Asked:
+    """Some queries' vectors by bucket: a matrix of the buckets that many of them have, and lists of the others."""
+
+    def __init__(self, start: int, query: np.ndarray, bucket: np.ndarray, weight: np.ndarray, size: int, least: int):
+        self.start, self.size = start, size
+        many = np.bincount(bucket, minlength=BUCKETS)
+        often = np.flatnonzero(many >= least)
+        often = often[np.argsort(-many[often], kind="stable")[: scan.CELLS // scan.BLOCK]]
+        self.column = np.full(BUCKETS, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        inside = self.column[bucket] >= 0
+        self.matrix = np.zeros((len(often), size))
+        np.add.at(self.matrix, (self.column[bucket[inside]], query[inside]), weight[inside])
+        order = np.argsort(bucket[~inside], kind="stable")
+        self.query, self.weight = query[~inside][order], weight[~inside][order]
+        self.first = np.searchsorted(bucket[~inside][order], np.arange(BUCKETS + 1))
+
+    def scores(self, rows: int, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Rows by queries."""
+        at = self.column[bucket]
+        inside = at >= 0
+        own = np.zeros((rows, len(self.matrix)))
+        own[row[inside], at[inside]] = weight[inside]
+        score = own @ self.matrix
+        row, bucket, weight = row[~inside], bucket[~inside], weight[~inside]
+        many = self.first[bucket + 1] - self.first[bucket]
+        row, bucket, weight, many = (x[many > 0] for x in (row, bucket, weight, many))
+        at = np.repeat(self.first[bucket] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return score + np.bincount(np.repeat(row * self.size, many) + self.query[at], np.repeat(weight, many) * self.weight[at], rows * self.size).reshape(rows, self.size)
+
+
+def _near(asked, k: int, block: int, least: int):
+    """The k best documents (doc, gates, text) of each query among a task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, begin, bucket, weight, gates = asked.value
+        query, starts = np.repeat(np.arange(len(ids)), np.diff(begin)), range(0, len(ids), block)
+        blocks = []
+        for start in starts:
+            size = min(block, len(ids) - start)
+            own = slice(begin[start], begin[start + size])
+            blocks.append(_Asked(start, query[own] - start, bucket[own], weight[own], size, least))
+        number = {g: i for i, g in enumerate(dict.fromkeys(g for gs in gates for g in gs))}
+        wanted = np.zeros((len(number), len(ids)), np.float32)
+        for q, gs in enumerate(gates):
+            wanted[[number[g] for g in gs], q] = 1
+        top, count = scan._Best(len(ids), k, once=True), _Counter()
+        most = max(1, scan.CELLS // max(block, len(number), *(len(b.matrix) for b in blocks)))
+        for batch in batches:
+            for slab in scan.slabs(batch, scan.CELLS):
+                doc = np.asarray(slab.column(0))
+                row, bucket, many = count(slab.column(2))
+                norm = np.sqrt(np.bincount(row, many.astype(float) ** 2, slab.num_rows))
+                weight = many / norm[row]
+                listed = slab.column(1).to_pylist()
+                for a in range(0, slab.num_rows, most):
+                    rows = min(most, slab.num_rows - a)
+                    own = slice(*np.searchsorted(row, [a, a + rows]))
+                    has = np.zeros((rows, len(number)), np.float32)
+                    for i, gs in enumerate(listed[a : a + rows]):
+                        has[i, [number[g] for g in gs if g in number]] = 1
+                    for b in blocks:
+                        raw = b.scores(rows, row[own] - a, bucket[own], weight[own])
+                        score = np.round(raw, 9)
+                        r, q = np.nonzero((raw > 0) & (score >= top.low[b.start : b.start + b.size]) & (has @ wanted[:, b.start : b.start + b.size] > 0))
+                        top.add(q + b.start, score[r, q], doc[a + r])
+        if len(top.query):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top.query]), pa.array(top.doc), pa.array(top.score)], ["query", "doc", "cosine"])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, queries: DataFrame, k: int = 3, multiplier: int = 20) -> DataFrame:
+    """similar_cases() of documents without vectors yet (doc, text, labels).
+
+    Queries that fit a task are sent to where the texts are read, so that no vector
+    of a document is written or shuffled; for more queries the vectors are made.
+    """
+    most = max(k * multiplier, k)
+    queries = stored(queries.where(F.col("query").isNotNull() & (F.size("buckets") > 0)), "asked")
+    docs = docs.where("doc is not null and text is not null")
+    size, n = queries.agg(F.coalesce(F.sum(F.size("buckets")), F.lit(0)), F.count("*")).first()
+    if size > SENT or n > SENT // 100:
+        # rows of one id are texts of their own, each with its own labels
+        made = stored(packed(docs.select(F.struct("doc", "labels").alias("key"), "text"), "key", F.col("text")), "vectors")
+        return similar_cases(made.select("key.*", "buckets", "weights"), queries, k, multiplier)
+    if not n:
+        return docs.sparkSession.createDataFrame([], "query long, doc long, cosine double")
+    held = queries.select(F.col("query").cast("long"), "buckets", "weights", sparse.asked_gates(F.col("labels")).alias("gates")).toArrow().combine_chunks()
+    buckets, weights = (held.column(c).combine_chunks() for c in ("buckets", "weights"))
+    begin = np.concatenate([[0], np.cumsum(np.asarray(buckets.value_lengths()))])
+    asked = docs.sparkSession.sparkContext.broadcast((held.column("query").to_numpy(), begin, np.asarray(buckets.flatten()), np.asarray(weights.flatten()), held.column("gates").to_pylist()))
+    rows = spread(docs.select(F.col("doc").cast("long").alias("doc"), sparse.gates(F.col("labels")).alias("gates"), "text"))
+    found = rows.mapInArrow(_near(asked, most, scan.BLOCK, OFTEN), "query long, doc long, cosine double").distinct()
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"), "doc")
+    return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
 def similar_cases(docs: DataFrame, queries: DataFrame, k: int = 3, multiplier: int = 20) -> DataFrame:
     """query, doc, cosine of each query's best candidates for evidence(); gates are lists of labels.
 

@@ -34,13 +34,16 @@ def sentencing_evidence(spark, sf_dir):
     docs, asked = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     predicted = F.get(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("item_id") % 5).cast("int"))
 
-    def told(df, key, labels, more):
-        return df.select(F.col(key).alias(more), labels.alias("labels"), redaction.tags(F.col("text"), rules.FACTORS).alias(f"{more}_tags"), F.length("text").alias(f"{more}_size"), *(["source"] if more == "doc" else []))
+    def told(df, more):
+        return df.withColumns({f"{more}_tags": redaction.tags(F.col("text"), rules.FACTORS), f"{more}_size": F.length("text")}).drop("text")
 
-    d, q = told(docs, "doc_id", F.array_compact(F.array("lang")), "doc"), told(asked, "item_id", F.array_compact(F.array(predicted)), "query")
-    vectors = stored(sentencing.packed(docs, "doc_id", F.col("text")), "vectors").withColumnRenamed("doc_id", "doc").join(d.select("doc", "labels"), "doc")
+    cases = docs.select(F.col("doc_id").alias("doc"), "text", "source")
+    near = docs.select(F.col("doc_id").alias("doc"), "text", F.array_compact(F.array("lang")).alias("labels"))
+    q = asked.select(F.col("item_id").alias("query"), "text", F.array_compact(F.array(predicted)).alias("labels"))
     queries = sentencing.packed(asked, "item_id", F.col("text")).withColumnRenamed("item_id", "query").join(q.select("query", "labels"), "query")
-    met = sentencing.similar_cases(vectors, queries).join(d.drop("labels"), "doc").join(q, "query")
+    # candidates are written, so that texts are met by them where they are read, and only theirs are searched for factors
+    found = stored(sentencing.similar_texts(near, queries), "candidates")
+    met = told(cases.join(found, "doc"), "doc").join(told(q, "query"), "query")
     scored = met.select("query", "doc", "cosine", F.col("source").alias("case_id"), features.evidence_similarity(F.col("query_tags"), F.col("doc_tags"), F.col("query_size"), F.col("doc_size")).alias("structure"), (F.size("labels") > 0).alias("same_labels"))
     return sentencing.evidence(scored).select("query", "doc", "case_id", F.round("score", 6).alias("score"), "rank")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievework.functions import features
-from sievework.operators import dense
+from sievework.operators import dense, sentencing
+from sievework.sources import files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +61,28 @@ def test_letter_profiles_are_counted_in_bytes(spark):
     assert {r[0]: r[1] for r in got.collect()} == want and len(want) == 7
     plan = entry.queries()["hybrid_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "replace(" not in plan.lower()
+
+
+def test_evidence_writes_no_vectors_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "shared_dir", lambda _: f"file://{tmp_path}")
+    data = Path("/root/testdata/sf0.001")
+    assert entry.queries()["sentencing_evidence"](spark, str(data)).count()
+    assert not list(tmp_path.glob("vectors*"))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_texts_are_found_as_by_vectors(spark, monkeypatch, block):
+    """Also of equal ids, with several labels or none, and in several blocks of queries."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd 法") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", "a\x00", "abc\x00\x00d"] + ["abcd abcd"] * 8
+    docs = [(i // 2 if i < 20 else i, t, rng.choice([["p"], ["q"], ["p", "q"], [], None, [None]])) for i, t in enumerate(texts)]
+    asked = [(i, t, g) for i, (t, g) in enumerate([("abc da", ["p"]), ("dd法", []), ("", ["p"]), ("abcd abcd", ["q", "p"]), ("ab", None), ("c", ["z"]), ("bcda", ["q"]), ("abcd abcd", [None])])]
+    docs = spark.createDataFrame(docs, "doc long, text string, labels array<string>")
+    asked = spark.createDataFrame(asked, "query long, text string, labels array<string>")
+    queries = sentencing.packed(asked.select(F.struct("query", "labels").alias("key"), "text"), "key", F.col("text")).select("key.*", "buckets", "weights")
+    monkeypatch.setattr(sentencing.scan, "BLOCK", block)
+    monkeypatch.setattr(sentencing, "OFTEN", 2)
+    got = sorted(map(tuple, sentencing.similar_texts(docs, queries, 1, 5).collect()))
+    monkeypatch.setattr(sentencing, "SENT", 0)
+    want = sorted(map(tuple, sentencing.similar_texts(docs, queries, 1, 5).collect()))
+    assert got == want and {r[0] for r in got} == {0, 1, 3, 4, 6, 7}
